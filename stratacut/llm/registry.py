@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacut.llm import line_dedup, packing
+from stratacut.llm import decontaminate, line_dedup, media, packing
 
-MODULES = (packing, line_dedup)
+MODULES = (packing, decontaminate, media, line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
