@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,39 +38,62 @@ WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTE
 
 
 class WordIds:
-    """Ids of whole texts by a public tokenizer file, remembered word by word (at most ``most`` words)."""
+    """Ids of whole texts by a public tokenizer file, remembered word by word: the ``most`` latest words, and the ones before."""
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 200_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.most = most
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Words that the rule splits no further: one call for many, cut again after each id that ends a word."""
+        parts = [words[at : at + 128] for at in range(0, len(words), 128)]
+        for some, coded in zip(parts, self._library([" ".join(x) for x in parts]), strict=True):
+            ends = (np.flatnonzero(self.ends_word[np.frombuffer(coded, "<u4")]) + 1) * 4
+            if len(ends) == len(some):
+                self.known.update(zip(some, map(coded.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+            else:
+                self.known.update(zip(some, self._library(some), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for at in range(0, len(texts), 64):
             some = texts[at : at + 64]
             words = [WORD.findall(t.lower()) if PLAIN.fullmatch(t) and not self.special.search(t) else None for t in some]
-            missing = list({w for ws in words if ws for w in ws if w not in self.known})
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = list({w for ws in words if ws for w in ws})
-            self.known.update(zip(missing, self._library(missing), strict=True))
+            new = {w for ws in words if ws for w in ws if w not in self.known}
+            if len(self.known) > self.most:
+                self.before, self.known = self.known, {}
+                new = {w for ws in words if ws for w in ws}
+            for w in [w for w in new if w in self.before]:
+                self.known[w] = self.before[w]
+                new.remove(w)
+            self._learn(list(new))
             for text, ws in zip(some, words, strict=True):
                 yield b"".join(map(self.known.__getitem__, ws)) if ws is not None else self._library([text])[0]
 
 
+@lru_cache(maxsize=1)
+def word_ids(file: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(file)
+
+
 def pieces(docs: DataFrame, file: str = "word_bpe_49k.json", capacity: int = 4096) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(file)
+        ids = word_ids(file)
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
