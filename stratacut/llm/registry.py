@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacut.llm import decontaminate, line_dedup, media, near_dedup, packing
+from stratacut.llm import decontaminate, line_dedup, media, near_dedup, packing, quality, toxicity
 
-MODULES = (near_dedup, packing, decontaminate, media, line_dedup)
+MODULES = (quality, toxicity, near_dedup, packing, decontaminate, media, line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
