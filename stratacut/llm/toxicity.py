@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from stratacut.llm.common import crc_of_id, fresh, read
 from stratacut.llm.quality import known_share, learnt_from, scored
 
-POSITIVE, UNLABELLED, EPOCHS = 2000, 6000, 6
+POSITIVE, UNLABELLED, EPOCHS = 2000, 6000, 10
 BITS, TOP = 20, 3
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -79,15 +79,19 @@ class Toxicity:
         size = 1 << BITS
         coded: dict[str, np.ndarray] = {w: np.array(features(w)) for w in set().union(*positive, *unlabelled)}
         documents = [[coded[w] for w in sorted(d)] for d in [*positive, *unlabelled]]
-        seen = np.zeros((2, size))
-        for k, d in enumerate(documents):
-            if d:
-                seen[int(k < len(positive))][np.unique(np.concatenate(d))] += 1
-        p, u = seen[1] / len(positive), seen[0] / len(unlabelled)
-        clean = np.maximum(0, u - prior * p) / (1 - prior)
-        # features that few toxic documents have prove nothing
-        floor = 2 / len(positive) + 2 / len(unlabelled)
-        weight = np.log((p + floor) / (clean + floor)) * (seen[1] >= 2)
+        odds = np.zeros((2, size))
+        for half in range(2):
+            seen, n = np.zeros((2, size)), np.ones(2)
+            for k, d in enumerate(documents):
+                if k % 2 == half and d:
+                    seen[int(k < len(positive))][np.unique(np.concatenate(d))] += 1
+                    n[int(k < len(positive))] += 1
+            p, u = seen[1] / n[1], seen[0] / n[0]
+            clean = np.maximum(0, u - prior * p) / (1 - prior)
+            floor = 1 / n[1] + 1 / n[0]
+            odds[half] = np.log((p + floor) / (clean + floor))
+        # the weaker of what two halves say: a word that is in a few toxic documents by chance isn't in as many of others
+        weight = np.where((odds > 0).all(0), odds.min(0), np.where((odds < 0).all(0), odds.max(0), 0))
         rng = np.random.default_rng(seed)
         toxic = np.arange(len(documents)) < len(positive)
         self.out = np.array([-2.0, 0.6, 0.3, 0.2, 0.0])
@@ -121,12 +125,13 @@ class Toxicity:
                 else:  # step back from a clean risk below none
                     g = np.where(t, prior * q / n_p, -q / n_u)
                 old = self.out.copy()
-                self.out -= 8 * rate * (g @ x)
+                self.out -= 4 * rate * (g @ x)
+                self.out[1 : 1 + TOP] = np.maximum(self.out[1 : 1 + TOP], [0.2, 0.1, 0.05])  # more evidence is never less toxic
                 for k, i in enumerate(own):
                     for j, b in enumerate(tops[k]):
                         if x[k, 1 + j] > 0:
                             f = flat[i][starts[i][b] : starts[i][b] + sizes[i][b]]
-                            weight[f] -= rate * 20 * g[k] * old[1 + j] / len(f)
+                            weight[f] -= rate * 2 * g[k] * old[1 + j] / len(f)
         self.evidence = {int(k): float(weight[k]) for k in np.flatnonzero(weight)}
 
 
