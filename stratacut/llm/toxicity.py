@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from stratacut.llm.common import crc_of_id, fresh, read
 from stratacut.llm.quality import known_share, learnt_from, scored
 
-POSITIVE, UNLABELLED, EPOCHS = 2000, 6000, 10
+POSITIVE, UNLABELLED, EPOCHS, LEAST_STEPS = 2000, 6000, 10, 300
 BITS, TOP = 20, 3
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -100,8 +100,9 @@ class Toxicity:
         sizes = [[len(f) for f in d] for d in documents]
         flat = [np.concatenate(d) if d else np.zeros(0, np.int64) for d in documents]
         starts = [np.concatenate([[0], np.cumsum(s)[:-1]]).astype(int) if s else np.zeros(0, int) for s in sizes]
-        for _ in range(EPOCHS):
-            for own in np.array_split(rng.permutation(len(documents)), max(1, len(documents) // 256)):
+        parts = max(1, len(documents) // 256)
+        for _ in range(max(EPOCHS, LEAST_STEPS // parts)):
+            for own in np.array_split(rng.permutation(len(documents)), parts):
                 x, tops = np.zeros((len(own), 2 + TOP)), []
                 x[:, 0] = 1
                 for k, i in enumerate(own):

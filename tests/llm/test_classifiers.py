@@ -47,11 +47,11 @@ def test_every_byte_counts():
 
 
 def test_risk_needs_no_clean_labels():
-    """Toxic words are told apart though half of the unlabelled text is toxic too."""
+    """Toxic words are told apart though a fifth of the unlabelled text is toxic too."""
     rng = np.random.default_rng(2)
     common = [f"w{chr(97 + k)}xyz" for k in range(26)]
     document = lambda bad: set(rng.choice(common, 12)) | ({"nastyword"} if bad else set())
     model = toxicity.Toxicity()
-    model.fit([document(True) for _ in range(200)], [document(k % 2 == 0) for k in range(600)], 0.5)
+    model.fit([document(True) for _ in range(200)], [document(k % 5 == 0) for k in range(600)], 0.2)
     scores = model.score([" ".join(document(True)).encode(), " ".join(document(False)).encode(), b""])
     assert scores[0] > 0.5 > 0.3 > scores[1] and scores[2] < 0.3
