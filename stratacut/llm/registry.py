@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacut.llm import decontaminate, line_dedup, media, near_dedup, packing, quality, toxicity
+from stratacut.llm import decontaminate, html_text, line_dedup, media, near_dedup, packing, pii, quality, toxicity
 
-MODULES = (quality, toxicity, near_dedup, packing, decontaminate, media, line_dedup)
+MODULES = (html_text, quality, toxicity, near_dedup, packing, decontaminate, media, line_dedup, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
