@@ -103,3 +103,22 @@ def linked_width(height_mm: Column, width: Column, height: Column) -> Column:
 
 def file_name(layer_id: Column) -> Column:
     return F.concat(F.lit("stencil-layer-"), F.lpad((layer_id + 1).cast("string"), 2, "0"), F.lit(".svg"))
+
+
+def with_svg_marks(svg: Column, width: Column, height: Column, arm: int = 14, thick: int = 3, margin: int = 24, color: str = "black") -> Column:
+    """A document of ``mask_svg`` on a canvas with ``margin`` on every side: content moved, a cross in each corner."""
+    w, h = width + 2 * margin, height + 2 * margin
+    text = lambda v: F.regexp_replace(v.cast("double").cast("string"), r"\.0$", "")
+    m = F.lit(margin / 2)
+
+    def stroke(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        parts: list[Column] = []
+        for name, v in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2)):
+            parts += [F.lit(f'{"<line " if name == "x1" else " "}{name}="'), text(v), F.lit('"')]
+        return F.concat(*parts, F.lit(f' stroke="{color}" stroke-width="{thick}" stroke-linecap="round"/>'))
+
+    marks = [stroke(*ends) for cx, cy in ((m, m), (w - m, m), (m, h - m), (w - m, h - m)) for ends in ((cx - arm, cy, cx + arm, cy), (cx, cy - arm, cx, cy + arm))]
+    out = F.regexp_replace(svg, F.lit('viewBox="[^"]*"'), F.concat(F.lit('viewBox="0 0 '), text(w), F.lit(" "), text(h), F.lit('"')))
+    out = F.regexp_replace(out, F.lit('^(?<a><svg[^>]* width=")[^"]*(?<b>" height=")[^"]*'), F.concat(F.lit("${a}"), text(w), F.lit("${b}"), text(h)))
+    out = F.regexp_replace(out, F.lit("^(<svg[^>]*>)<rect[^>]*/>"), F.concat(F.lit('$1<rect width="'), text(w), F.lit('" height="'), text(h), F.lit(f'" fill="white"/><g transform="translate({margin},{margin})">')))
+    return F.concat(F.regexp_replace(out, "</svg>$", "</g>"), F.lit('<g id="corner-markers">'), *marks, F.lit("</g></svg>"))

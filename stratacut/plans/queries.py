@@ -459,6 +459,14 @@ def e04_raster_marks(spark, sf):
     return export.with_raster_marks(dark_mask(pixels), neighborhood.images_of(pixels)).select("image_id", "x", "y")
 
 
+@query
+def e05_svg_marks(spark, sf):
+    pixels = fixtures.thumbs(spark, sf)
+    images = neighborhood.images_of(pixels)
+    made = export.mask_svg(export.rectangles(neighborhood.runs(dark_mask(pixels))), images, F.lit("#000000")).join(images, "image_id")
+    return made.select("image_id", export.with_svg_marks(F.col("svg"), F.col("width"), F.col("height")).alias("svg"))
+
+
 @query
 def e06_physical_size(spark, sf):
     h = export.linked_height(F.col("image_id") % 90 + 10, F.lit(8), F.lit(6))

@@ -103,6 +103,11 @@ def away(c: str) -> str:
     return f"(case when abs({ANGLE}-{c}) > pi() then 2*pi()-abs({ANGLE}-{c}) else abs({ANGLE}-{c}) end)"
 
 
+MARKS = "".join(
+    f'<line x1="{cx - dx}" y1="{cy - dy}" x2="{cx + dx}" y2="{cy + dy}" stroke="black" stroke-width="3" stroke-linecap="round"/>'
+    for cx, cy in ((12, 12), (44, 12), (12, 44), (44, 44))
+    for dx, dy in ((14, 0), (0, 14))
+)
 SIZE = "(select image_id, max(x)+1 width, max(y)+1 height from {v} group by 1)"
 LIVE = f"ev as (select * from {EDITS}), rs as (select session_id, max((ts, event_id)) r from ev where setting='reset' group by 1), lv as (select ev.* from ev left join rs using (session_id) where setting <> 'reset' and (r is null or (ts, event_id) > r))"
 
@@ -166,6 +171,7 @@ select doc_id, contour_id, seq, edge, round(d2, 6) d2 from (select *, row_number
     "e04_raster_marks": f"""with m as (select image_id, x+24 x, y+24 y from {DARK_THUMBS}), i as (select distinct image_id from m), c as (select * from (values (12,12),(44,12),(12,44),(44,44)) t(cx,cy)),
 k as (select image_id, cx+a x, cy+d y from i, c, range(-14,15) t(a), range(-1,2) u(d) union select image_id, cx+d, cy+a from i, c, range(-14,15) t(a), range(-1,2) u(d))
 select image_id, x, y from m union select image_id, x, y from k where x between 0 and 55 and y between 0 and 55""",
+    "e05_svg_marks": f"""select image_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 56 56" width="56" height="56"><rect width="56" height="56" fill="white"/><g transform="translate(24,24)"><path d="' || string_agg('M ' || x0 || ' ' || y0 || ' H ' || (x1+1) || ' V ' || (y1+1) || ' H ' || x0 || ' Z', ' ' order by y0, x0) || '" fill="#000000"/></g><g id="corner-markers">{MARKS}</g></svg>' svg from {BOXES.format(r=runs(DARK_THUMBS))} group by 1""",
     "e06_physical_size": f"""select image_id, cast(floor((image_id%90+10)/(8/6::DOUBLE)+0.5) as bigint) height_mm, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 8 8" width="' || (image_id%90+10) || 'mm" height="' || cast(floor((image_id%90+10)/(8/6::DOUBLE)+0.5) as bigint) || 'mm"' head from (select distinct image_id from {DARK_THUMBS})""",
     "x02_stack_colours": f"select event_id, {STACK_SQL}[event_id%8+1] color from {EDITS}",
     "x03_merged_layers": f"select image_id, layer_id, x, y from {masks(THUMBS)} where layer_id > 1 union all select distinct image_id, 0, x, y from {masks(THUMBS)} where layer_id < 2",
