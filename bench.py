@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON. Each runs once warm and is then timed, median of three."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON. Each runs once warm and is then timed, median of two."""
 
 import json
 import os
@@ -26,7 +26,7 @@ def headline(spark: SparkSession, sf: str):
         "tone_preview_posters": lambda: queries.tone_preview(spark, sf, posters()),
         "components_swatches": lambda: components_of(swatches()),
         "components_posters": lambda: components_of(posters()),
-        "palette_swatches": lambda: palette.quantize(swatches(), 4, 3),
+        "palette_swatches": lambda: palette.quantize(swatches(), 4, 2),
         "blur_posters": lambda: neighborhood.blur(posters().withColumn("luma", luma()), 3),
         "ring_bridges": lambda: vector.shortest(vector.clear(vector.candidates(fixtures.rings(spark, sf)), fixtures.rings(spark, sf))),
     }
@@ -39,7 +39,7 @@ def main() -> None:
     took = {}
     for name, make in headline(spark, sf).items():
         times = []
-        for _ in range(4):
+        for _ in range(3):
             began = time.time()
             make().write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)
