@@ -4,7 +4,7 @@ Base spans come from fixed patterns and always stay. Generators of high recall p
 or bracketed mail addresses, telephone numbers without a country's sign, card numbers with other separators or in groups, defanged
 and long-form network addresses. Boosted trees (numpy, logistic loss) score each by its format and its surroundings; thresholds
 are set per kind on examples kept apart, and of overlapping spans the best scored stays. The trees learn from at most
-``EXAMPLES`` spans of the corpus by hash of their place: base spans, and the same rewritten in other notations, are examples of
+``EXAMPLES`` base spans and as many candidates of each kind, by hash of their surroundings, so no kind crowds out another: base spans, and the same rewritten in other notations, are examples of
 personal data; candidates whose checks fail (check digit, ranges, counts) and base spans spoilt in that way are examples of none.
 
 Defined results: a null or empty text has no spans; repeated rows have the same spans; offsets are code points, ends exclusive;
@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratacut.llm.common import fresh, read
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES, TREES, DEPTH, RATE, PRECISION = 4000, 40, 3, 0.3, 0.98
+EXAMPLES, TREES, DEPTH, RATE, PRECISION = 1000, 40, 3, 0.3, 0.98
 Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -214,39 +215,50 @@ class Trees:
 
 
 def examples(docs: DataFrame, most: int = EXAMPLES) -> list[tuple[str, str, int, int, bool]]:
-    """(context, kind, start, end, base): spans of the corpus with their surroundings, at most ``most`` by hash of place."""
+    """(context, kind, start, end, base): spans of the corpus with their surroundings, of each kind at most ``most`` base ones and as many others, by hash."""
+    columns = ("hash", "context", "kind", "a", "b", "base")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[str, bool], set] = {}
         for batch in batches:
-            rows = []
             for text in batch.column(0).to_pylist():
                 for base, spans in ((True, base_spans(text)), (False, candidates(text))):
                     for kind, a, b in spans:
                         if b - a <= 160:
                             at = max(0, a - AROUND)
-                            rows.append((text[at : b + 8], kind, a - at, b - at, base))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["context", "kind", "a", "b", "base"])
+                            own = (text[at : b + 8], kind, a - at, b - at, base)
+                            cell = cells.setdefault((kind, base), set())
+                            cell.add((zlib.crc32(repr(own).encode("utf-8", "replace")), *own))
+                            if len(cell) > 4 * most:
+                                cells[kind, base] = set(sorted(cell)[:most])
+        rows = [x for cell in cells.values() for x in sorted(cell)[:most]]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], list(columns))
 
-    found = docs.where("text is not null").select(F.col("text").cast("string")).mapInArrow(emit, "context string, kind string, a int, b int, base boolean")
-    keys = ("context", "kind", "a", "b", "base")
-    return [tuple(r) for r in found.distinct().orderBy(F.xxhash64(*keys), *keys).limit(most).collect()]
+    found = docs.where("text is not null").select(F.col("text").cast("string")).mapInArrow(emit, "hash long, context string, kind string, a int, b int, base boolean")
+    nth = F.row_number().over(Window.partitionBy("kind", "base").orderBy(*columns))
+    # at most 2 * most rows of each kind
+    return sorted((tuple(r)[1:-1] for r in found.distinct().withColumn("nth", nth).where(F.col("nth") <= most).collect()), key=lambda x: (x[1], x[4], x))
 
 
 def train(docs: DataFrame, most: int = EXAMPLES) -> Trees:
-    model, rows, marks = Trees(), [], []
+    model, rows, marks, apart = Trees(), [], [], []
+    seen: Counter = Counter()
     for context, kind, a, b, base in examples(docs, most):
         span = (kind, a, b)
         made = rewritten(np.random.default_rng(zlib.crc32(context.encode())), context, span) if base else [(context, span, sound(context, span))]
         for text, s, true in made:
             rows.append(row(text, s))
             marks.append(true)
+            apart.append(seen[kind, base] % 4 == 3)
+        seen[kind, base] += 1
     if len(set(marks)) < 2:
         return model
-    x, y = np.array(rows, float), np.array(marks, float)
-    kept = np.arange(len(x)) % 4 == 3
+    x, y, kept = np.array(rows, float), np.array(marks, float), np.array(apart)
     model.fit(x[~kept], y[~kept])
+    for k in range(len(KINDS)):  # a kind with too few examples to keep some apart has its threshold from all of them
+        if not (kept & (x[:, k] == 1) & (y == 1)).any():
+            kept = kept | (x[:, k] == 1)
     model.calibrate(x[kept], y[kept])
     return model
 

@@ -88,3 +88,13 @@ def test_trees_and_redaction(spark):
     out = {r.doc_id: r.text for r in pii.redact(docs, model).where("doc_id >= 1000").collect()}
     assert [out[1000 + k] for k in range(7)] == ["write to <email> please", "phone <phone> now", "host <ip> down", "card <card> ok", None, "", more[6]]
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_rare_kinds_are_learnt(spark):
+    """However many examples other kinds have."""
+    texts = [f"user{k}@example.org wrote on 2024-03-{k % 28 + 1:02d}" for k in range(3000)] + [f"card 4111 1111 1111 1111 of host {k}.2.3.4" for k in range(3)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = pii.examples(docs, 20)
+    kinds = [(kind, base) for _, kind, _, _, base in got]
+    assert kinds.count(("email", True)) == 20 and kinds.count(("card", True)) == 1 and kinds.count(("ip", True)) == 3
+    assert all(pii.train(docs, 20).limits[kind] <= 1 for kind in ("email", "card", "ip"))
