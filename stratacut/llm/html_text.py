@@ -68,6 +68,7 @@ class Blocks(HTMLParser):
         self.count = self.tags = self.links = self.linked = 0
         self.held: list[str] = []
         self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.articles: set[int] = set()  # numbers of article and main elements
 
     def border(self) -> None:
         if self.held:
@@ -93,6 +94,8 @@ class Blocks(HTMLParser):
         inside = any(x[0] in ("article", "main") for x in self.stack)
         out = bool(self.stack) and self.stack[-1][2] or tag in UNSEEN or tag in OUTSIDE or tag == "header" and not inside
         self.stack.append((tag, self.count, out or tag not in ("html", "body") and bool(attrs) and named(attrs, inside or tag in ("article", "main"))))
+        if tag in ("article", "main"):
+            self.articles.add(self.count)
         self.count += 1
 
     def handle_endtag(self, tag):
@@ -149,10 +152,11 @@ def high_cluster(x: np.ndarray) -> np.ndarray:
 
 
 def main_blocks(page: str) -> list[str]:
-    blocks = [b for b in Blocks().of(page)]
+    parser = Blocks()
+    blocks = every = parser.of(page)
     if not blocks:
         return []
-    # three or more links in a row with hardly any text between are a menu
+    # three or more links in a row with hardly any text between are a menu, unless they turn out to be in the article
     linked = [b[1] > 0.8 * len(b[0]) for b in blocks]
     keep, k = [True] * len(blocks), 0
     while k < len(blocks):
@@ -174,6 +178,11 @@ def main_blocks(page: str) -> list[str]:
             share[element] = share.get(element, 0) + m
     least = SHARE * mass.sum()
     region = max((element for element, m in share.items() if m >= least), default=None)  # elements are numbered as they open: the last is innermost
+    if region is not None:
+        path = next(b[3] for b in blocks if region in b[3])
+        around = [e for e in path[: path.index(region) + 1] if e in parser.articles]
+        if around:  # headline, lead and all sections, and lists of links among them
+            return [b[0] for b in every if around[-1] in b[3]]
     inside = [b for b in blocks if region is None or region in b[3]]
     # a paragraph that holds it all is no region of its own if there are others beside it
     if len(inside) < len(blocks) and len(inside) == 1:

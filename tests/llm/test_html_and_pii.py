@@ -98,3 +98,11 @@ def test_rare_kinds_are_learnt(spark):
     kinds = [(kind, base) for _, kind, _, _, base in got]
     assert kinds.count(("email", True)) == 20 and kinds.count(("card", True)) == 1 and kinds.count(("ip", True)) == 3
     assert all(pii.train(docs, 20).limits[kind] <= 1 for kind in ("email", "card", "ip"))
+
+
+def test_headline_lead_and_sources_of_an_article():
+    body = "".join(f"<p>Paragraph {k} of the body goes on for a long while with many words of its own.</p>" for k in range(9))
+    sources = "".join(f"<li><a href='/{k}'>Source {k}</a></li>" for k in range(4))
+    page = f"<body><nav>Menu</nav><article><h1>Headline</h1><p>Lead.</p><div class='body'>{body}</div><ul>{sources}</ul></article><p>Elsewhere</p></body>"
+    got = html_text.main_text(page).split("\n")
+    assert got[:2] == ["Headline", "Lead."] and got[-1] == "Source 3" and len(got) == 15
