@@ -12,6 +12,7 @@ they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -23,64 +24,131 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacut.llm.common import read, stored
+from stratacut.llm.common import read, settled, slices, stored
+from stratacut.llm.hashing import word_bounds, word_hashes
 
 END_ID = 1
 BUCKETS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Texts of these characters alone are split by WORD below just as by the tokenizer's own rule: they are stable under NFC,
-#: lower case maps one to one, and their white space is plain. All other texts go to the library whole.
+#: lower case maps one to one, and their white space is plain. No word reaches over white space, so what stands between it can be
+#: coded by itself. All other texts go to the library whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ–—‘’“”…]*")
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+MARKS = ".,;:!?"
+SEEN = np.arange(256) > ord(" ")
+GROUP = 1 << 19  # characters of text that are looked up at a time, or one text
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 class WordIds:
-    """Ids of whole texts by a public tokenizer file, remembered word by word: the ``most`` latest words, and the ones before."""
+    """Ids of whole texts by a public tokenizer file. What stands between white space is coded once and remembered by a 64-bit hash.
 
-    def __init__(self, file: str, most: int = 200_000):
+    The memory is a few sorted arrays of at most ``most`` runs (some 40 bytes each); beyond that, those used longest ago go.
+    """
+
+    def __init__(self, file: str, most: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads that wait would burn others
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.most = most
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that the rule splits no further: one call for many, cut again after each id that ends a word."""
-        parts = [words[at : at + 128] for at in range(0, len(words), 128)]
-        for some, coded in zip(parts, self._library([" ".join(x) for x in parts]), strict=True):
-            ends = (np.flatnonzero(self.ends_word[np.frombuffer(coded, "<u4")]) + 1) * 4
-            if len(ends) == len(some):
-                self.known.update(zip(some, map(coded.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+        self.most, self.turn = most, 0
+        self.keys = np.zeros(0, np.uint64)  # sorted; of each run the place and number of its ids, and when it was last used
+        self.first = self.size = self.used = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+        self.marks = {m: int(i[0]) for m, i in zip(MARKS, self._library(list(MARKS)), strict=True) if len(i) == 1}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _coded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs, one after another, and how many each has: one call for many, cut again after as many ids that end a word as a run has words."""
+        # a mark after a letter is a word of its own
+        heads = [r[:-1] if r[-1] in self.marks and r[-2:-1].isalpha() else r for r in runs]
+        distinct = sorted(set(heads))
+        parts, sizes = [], []
+        for at in range(0, len(distinct), 256):
+            some = distinct[at : at + 256]
+            whole = self._library([" ".join(some)])[0]
+            last = np.cumsum([1 if x.isalpha() else len(WORD.findall(x)) for x in some])
+            ends = np.flatnonzero(self.ends_word[whole]) + 1
+            if len(ends) == last[-1]:
+                parts.append(whole)
+                sizes.append(np.diff(ends[last - 1], prepend=0))
             else:
-                self.known.update(zip(some, self._library(some), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            words = [WORD.findall(t.lower()) if PLAIN.fullmatch(t) and not self.special.search(t) else None for t in some]
-            new = {w for ws in words if ws for w in ws if w not in self.known}
-            if len(self.known) > self.most:
-                self.before, self.known = self.known, {}
-                new = {w for ws in words if ws for w in ws}
-            for w in [w for w in new if w in self.before]:
-                self.known[w] = self.before[w]
-                new.remove(w)
-            self._learn(list(new))
-            for text, ws in zip(some, words, strict=True):
-                yield b"".join(map(self.known.__getitem__, ws)) if ws is not None else self._library([text])[0]
+                each = self._library(some)
+                parts += each
+                sizes.append(np.array([len(x) for x in each]))
+        flat, size = np.concatenate(parts), np.concatenate(sizes)
+        nth = dict(zip(distinct, range(len(distinct)), strict=True))
+        of = np.array([nth[h] for h in heads])
+        mark = np.array([-1 if len(h) == len(r) else self.marks[r[-1]] for h, r in zip(heads, runs, strict=True)])
+        total = size[of] + (mark >= 0)
+        begin = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), "<u4")
+        out[spread(begin, size[of])] = flat[spread((np.cumsum(size) - size)[of], size[of])]
+        out[(begin + size[of])[mark >= 0]] = mark[mark >= 0]
+        return out, total
+
+    def _learn(self, keys: np.ndarray, runs: list[str]) -> None:
+        """``keys`` ascend and aren't known yet."""
+        ids, size = self._coded(runs)
+        at = np.searchsorted(self.keys, keys)
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.used = np.insert(self.size, at, size), np.insert(self.used, at, self.turn)
+        self.keys, self.ids = np.insert(self.keys, at, keys), np.concatenate([self.ids, ids])
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        self.keys, self.size, self.used = self.keys[keep], self.size[keep], self.used[keep]
+        self.ids = self.ids[spread(self.first[keep], self.size)]
+        self.first = np.cumsum(self.size) - self.size
+
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of a few lower-cased plain texts."""
+        sizes = np.array([len(t) + 1 for t in texts])
+        b = np.frombuffer(b" ".join(texts), np.uint8)
+        starts, ends = word_bounds(b, SEEN)
+        keys, sample, inverse = np.unique(word_hashes(b, starts, ends), return_index=True, return_inverse=True)
+        self.turn += 1
+        if len(self.keys) > self.most:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            self._learn(keys[new], [b[i:j].tobytes().decode() for i, j in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        self.used[at] = self.turn
+        first, size = self.first[at][inverse], self.size[at][inverse]
+        ids = self.ids[spread(first, size)]
+        cuts = np.append(0, np.cumsum(size))[np.searchsorted(starts, np.append(0, np.cumsum(sizes)))].tolist()
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        at = 0
+        while at < len(texts):
+            held, some = 0, []
+            while at + len(some) < len(texts) and held < GROUP:
+                held += len(texts[at + len(some)])
+                some.append(texts[at + len(some)])
+            plain = [PLAIN.fullmatch(t) is not None and not self.special.search(t) for t in some]
+            fast = iter(self._group([t.lower().encode() for t, p in zip(some, plain, strict=True) if p]) if any(plain) else ())
+            for text, p in zip(some, plain, strict=True):
+                yield next(fast) if p else self._library([text])[0]
+            at += len(some)
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 @lru_cache(maxsize=1)
@@ -92,13 +160,14 @@ def word_ids(file: str) -> WordIds:
 def pieces(docs: DataFrame, file: str = "word_bpe_49k.json", capacity: int = 4096) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
+    @settled
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(file)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int | None, int, int, int, int]] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, coded in zip(batch.column(0).to_pylist(), ids.encode(texts), strict=True):
-                coded += END_ID.to_bytes(4, "little")
+            for doc_id, own in zip(batch.column(0).to_pylist(), ids.encode(texts), strict=True):
+                coded = own.tobytes() + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
