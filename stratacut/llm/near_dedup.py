@@ -1,23 +1,21 @@
 """Operator 5: near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are ``WIDTH`` words (runs of ASCII letters, digits and all non-ASCII characters, A-Z in lower case); a text of fewer
-words is one shingle. A shingle weighs tf * (1 + SLOPE * ln(N / max(df, floor)) / ln(N + 2)). The slope is small on purpose: a
-steep inverse document frequency lets the words that a large group of copies shares count for so little, by the group's own
-size, that its members look different. Document frequencies are exact for every shingle that
-``COUNTERS`` counters can prove frequent (a mergeable Misra-Gries summary finds them, a second pass counts them), and the
-floor is the frequency below which they can't, so the table that tasks get has at most ``COUNTERS`` rows at any size.
+words is one shingle. A shingle weighs tf * idf, idf = 1 + ln(1 / max(p, ``RARE``)), p being the share of the documents that have
+it: the weight depends on shares alone, not on how large the corpus is, and is flat for what fewer than one document in 32 has,
+so the edits of a copy don't outweigh all that it shares. Frequencies of the others are exact: a mergeable Misra-Gries summary
+proposes them (at most mean length / ``RARE`` can be that frequent, whatever the number of documents; the number of counters is
+doubled until it proves that none is missed) and a second pass counts them.
 
 Documents of equal words form one node. Nodes are sampled ``BANDS * ROWS`` times in proportion to their weights, equal bands
-make candidates, and candidates are verified by weighted Jaccard similarity of the whole texts. A bucket is never paired out:
-first all of its members are compared with the one that meets most others in all buckets (the origin, in a group of copies);
-then, where a bucket still holds several classes, the members outside its largest class are compared with those of other
-classes, but for pairs that can't be similar: of different classes, two documents share at most the weight of the shingles that
-other classes have too. No link inside a bucket that would join two classes is left out, and a group of copies costs about as
-many comparisons as it has members. Classes come from large-star/small-star
+make buckets, and links are verified by weighted Jaccard similarity of the whole texts. A bucket is never paired out. First all
+of its members are compared with the one that meets most others in all buckets (the origin, in a group of copies). Where a
+bucket still holds several classes, its members are completed by an exact index on the rarest shared shingles (``crossing``),
+which proposes every pair of different classes that can be similar, and hardly any other. Classes come from large-star/small-star
 rounds over tables in the shared folder.
 
-Defined results: documents without words (null, empty, punctuation) are alone; a row with a null doc_id has a null class;
-repeated rows get the class of their text; an empty table gives an empty result; further columns pass through.
+Defined results: documents without words (null, empty, punctuation) are alone; a row with a null doc_id has a null class and no
+links; repeated rows get the class of their text; an empty table gives an empty result; further columns pass through.
 """
 
 from __future__ import annotations
@@ -27,52 +25,35 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacut.llm.common import fresh, read, stored
+from stratacut.llm.common import fresh, read, settle, settled, slices, stored
+from stratacut.llm.hashing import BASE, U, mixed, word_bounds
+from stratacut.llm.hashing import word_hashes as hashes_of
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 6
 COUNTERS = 1 << 17
-SLOPE = 0.1
-U = np.uint64
+RARE = 1 / 32
+SLACK = 1 - 1e-9  # sums of weights differ by how they are added up
 
-_rng = np.random.default_rng(20)
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+_rng = np.random.default_rng(21)
 IS_WORD = np.zeros(256, bool)
 IS_WORD[ord("0") : ord("9") + 1] = IS_WORD[ord("a") : ord("z") + 1] = IS_WORD[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-BASE, MIX = U(0x9E3779B97F4A7C15), [U(x | 1) for x in _rng.integers(1 << 40, 1 << 63, WIDTH).tolist()]
+MIX = [U(x | 1) for x in _rng.integers(1 << 40, 1 << 63, WIDTH).tolist()]
 #: One draw of (r, c, beta) for each of 2^16 values; which one a shingle takes in a sample is a hash of both.
 R, C, B = _rng.gamma(2, 1, 1 << 16), _rng.gamma(2, 1, 1 << 16), _rng.random(1 << 16)
 SEEDS = _rng.integers(1 << 40, 1 << 63, BANDS * ROWS, dtype=np.uint64) | U(1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> U(33)) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ x >> U(33)) * U(0xC4CEB9FE1A85EC53)
-    return x ^ x >> U(33)
-
-
-@lru_cache(maxsize=4)
-def powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, BASE, np.uint64))
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words, in order."""
     b = LOWER[np.frombuffer(text, np.uint8)]
-    inside = np.concatenate([[False], IS_WORD[b], [False]])
-    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    position = np.arange(len(b)) - np.repeat(np.append(0, starts[1:]), np.diff(np.append(np.append(0, starts[1:]), len(b))))
-    parts = np.where(inside[1:-1], BYTE[b] * powers(1 << int(len(b)).bit_length())[position], U(0))
-    # gaps add nothing; bytes before the first word have no word
-    return mixed(np.add.reduceat(parts, starts) + (ends - starts).astype(np.uint64))
+    return hashes_of(b, *word_bounds(b, IS_WORD))
 
 
 def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +73,12 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Weights:
     """Inverse document frequencies: those of frequent shingles, and one for all others."""
 
-    def __init__(self, rows: list[tuple[int, int]], n_docs: int, floor: float):
+    def __init__(self, rows: list[tuple[int, int]], n_docs: int):
         self.keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
         order = np.argsort(self.keys)
         self.keys = self.keys[order]
-        least = min(max(floor, 1), max(n_docs, 1))
-        idf = lambda df: 1 + SLOPE * np.log(max(n_docs, 1) / np.maximum(df, least)) / np.log(n_docs + 2)
-        self.values = idf(np.array([r[1] for r in rows], float))[order]
-        self.rest = float(idf(least))
+        self.values = 1 - np.log(np.maximum(np.array([r[1] for r in rows], float) / max(n_docs, 1), RARE))[order]
+        self.rest = 1 - float(np.log(RARE))
 
     def of(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = np.full(len(h), self.rest)
@@ -167,14 +146,14 @@ def _heaviest(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarr
     return keys, counts
 
 
-def weights(texts: DataFrame, counters: int = COUNTERS) -> Weights:
-    """Exact document frequencies of all shingles that are frequent enough to matter (see above)."""
-    spark = texts.sparkSession
+def likely(texts: DataFrame, counters: int) -> tuple[DataFrame, int, int]:
+    """(key, n) of a Misra-Gries summary of the shingles, the number of documents and of their distinct shingles in all."""
 
+    @settled
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, n_docs, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0
         pending = 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(1).to_pylist():
                 held.append(shingles(text)[0])
                 n_docs, pending = n_docs + 1, pending + len(held[-1])
@@ -190,33 +169,45 @@ def weights(texts: DataFrame, counters: int = COUNTERS) -> Weights:
 
     summed = stored(texts.mapInArrow(summarise, "key long, n long, kind int").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     totals = {r["kind"]: r["n"] for r in summed.where("kind > 0").collect()}
-    n_docs, total = totals.get(1, 0), totals.get(2, 0)
-    likely = summed.where("kind = 0").orderBy(F.desc("n"), "key").limit(counters).select("key").collect()  # at most ``counters`` rows
-    given = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in likely], np.int64).view(np.uint64)))
+    return summed.where("kind = 0"), totals.get(1, 0), totals.get(2, 0)
+
 
+def weights(texts: DataFrame, counters: int = COUNTERS) -> Weights:
+    """Exact document frequencies of all shingles that more than ``RARE`` of the documents have."""
+    summed, n_docs, total = likely(texts, counters)
+    while 2 * total >= RARE * n_docs * (counters + 1) and total:  # a summary's counts are short by total / (counters + 1) at most
+        counters *= 2
+        summed, n_docs, total = likely(texts, counters)
+    # a key that is frequent enough has at least this much left in the summary: at most 2 * mean length / RARE rows
+    some = summed.where(F.col("n") > F.lit(RARE * n_docs - total / (counters + 1))).select("key").collect()
+    given = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in some], np.int64).view(np.uint64)))
+
+    @settled
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = given.value
         n = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist() if len(keys) else ():
                 h = shingles(text)[0]
-                if len(h) and len(keys):
+                if len(h):
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     n[at[keys[at] == h]] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["key", "n"])
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[found].view(np.int64)), pa.array(n[found])], ["key", "n"])
 
-    floor = total / (counters + 1)
-    counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(floor))
-    return Weights([(r["key"], r["n"]) for r in counted.collect()], n_docs, floor)  # at most ``counters`` rows
+    counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(RARE * n_docs))
+    rows = [(r["key"], r["n"]) for r in counted.collect()]  # at most mean length / RARE rows
+    given.unpersist()
+    return Weights(rows, n_docs)
 
 
 def nodes(texts: DataFrame, given) -> DataFrame:
     """(doc_id, content, mass, bands): hash of the word sequence, total weight and band keys; documents without words have none."""
 
+    @settled
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Weights = given.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, contents, masses, bands = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, tf, words = shingles(text)
@@ -236,12 +227,16 @@ def nodes(texts: DataFrame, given) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, given, threshold: float) -> DataFrame:
-    """Of pairs (a, b), those whose whole texts are similar enough."""
+    """Of pairs (a, b), those whose whole texts are similar enough.
+
+    Both joins are between stored tables, so that a text with many partners is split by adaptive execution.
+    """
 
     @F.arrow_udf("double")
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
         table: Weights = given.value
         last: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        out: list[float] = []
 
         def weighed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             if text not in last:
@@ -251,31 +246,55 @@ def verified(pairs: DataFrame, texts: DataFrame, given, threshold: float) -> Dat
                 last[text] = h, table.of(h, tf)
             return last[text]
 
-        return pa.array([similarity(weighed(a), weighed(b)) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+        for at in range(0, len(left), 500):
+            out += [similarity(weighed(a), weighed(b)) for a, b in zip(left.slice(at, 500).to_pylist(), right.slice(at, 500).to_pylist(), strict=True)]
+        settle()
+        return pa.array(out, pa.float64())
 
-    known = texts.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge"), "doc_id", "left_semi")
+    known = stored(texts.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     both = pairs.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return both.where(compare("left", "right") >= threshold).select("a", "b")
+    return both.where(compare("left", "right") >= threshold * SLACK).select("a", "b")
 
 
-def common_mass(members: DataFrame, texts: DataFrame, given) -> DataFrame:
-    """(doc_id, common): of members (doc_id, label), the weight of shingles that a member of another class has too.
+def crossing(members: DataFrame, texts: DataFrame, given, threshold: float) -> DataFrame:
+    """(a, b): of members (doc_id, label, mass), all pairs of different labels that can be similar, by an index on rare shingles.
 
-    No more than that can two documents of different classes share, so it bounds their similarity.
+    Two documents share at least threshold * mass of each, and threshold / (1 + threshold) of their masses' sum. So a document
+    goes that has less in common with all other labels together. Of the others' common shingles, in order of how many documents
+    have them, only those count from which on there is still that much left: the lighter one of a similar pair has the first
+    shingle that they share among those that leave 2 * threshold / (1 + threshold) of its mass, the heavier one among those
+    that leave threshold of it. Within a shingle, the largest label's members meet those of other labels, never one another.
     """
 
+    @settled
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Weights = given.value
-        for batch in batches:
-            for doc_id, text, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for batch in slices(batches, 200):
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for doc_id, text, label, mass in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 h, tf, _ = shingles(text)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(table.of(h, tf)), pa.array(np.full(n, doc_id)), pa.array(np.full(n, label))], ["shingle", "w", "doc_id", "label"])
-
-    rows = texts.join(members.hint("merge"), "doc_id").select("doc_id", "text", "label").mapInArrow(explode, "shingle long, w double, doc_id long, label long")
-    shared = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
-    own = rows.join(shared, "shingle").groupBy("doc_id", "shingle").agg(F.max("w").alias("w")).groupBy("doc_id").agg(F.sum("w").alias("common"))
-    return members.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.coalesce("common", F.lit(0.0)).alias("common"))
+                for c, x in zip(columns, (h.view(np.int64), table.of(h, tf), np.full(len(h), doc_id), np.full(len(h), label), np.full(len(h), mass)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["shingle", "w", "doc_id", "label", "mass"])
+
+    own = texts.join(members.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label", "mass")
+    rows = stored(own.mapInArrow(explode, "shingle long, w double, doc_id long, label long, mass double"))
+    for _ in range(2):  # what only dropped documents shared no longer counts the second time
+        counts = stored(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle", "n"))
+        common = stored(rows.drop("n").join(counts, "shingle"))
+        keep = common.groupBy("doc_id", "mass").agg(F.sum("w").alias("common")).where(F.col("common") >= F.lit(threshold * SLACK) * F.col("mass")).select("doc_id")
+        rows = stored(common.join(keep.hint("merge"), "doc_id", "left_semi"))
+    left = F.sum("w").over(Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0))
+    index = stored(rows.withColumn("left", left).where(F.col("left") >= F.lit(threshold * SLACK) * F.col("mass")).drop("w", "n"))
+    top = index.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("labels"))
+    index = stored(index.join(stored(top.where("labels > 1").select("shingle", "top")), "shingle"))
+    heavy = index.select("shingle", "top", F.col("doc_id").alias("y"), F.col("label").alias("y_label"), F.col("mass").alias("y_mass"), F.col("left").alias("y_left"))
+    light = index.where(F.col("left") >= F.lit(2 * threshold / (1 + threshold) * SLACK) * F.col("mass"))
+    can = F.least("left", "y_left") >= F.lit(threshold / (1 + threshold) * SLACK) * (F.col("mass") + F.col("y_mass"))
+    can &= (F.col("label") != F.col("y_label")) & ((F.col("y_mass") > F.col("mass")) | (F.col("y_mass") == F.col("mass")) & (F.col("y") > F.col("doc_id")))
+    met = light.drop("top").join(heavy.where("y_label <> top"), "shingle").where(can).select("doc_id", "y")
+    met = met.union(light.where("label <> top").drop("top").join(heavy.where("y_label = top"), "shingle").where(can).select("doc_id", "y"))
+    return met.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -296,54 +315,53 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` with class_id: the smallest doc_id among the documents connected by similar texts; null for a null doc_id.
+    """``docs`` with class_id, the smallest doc_id among the documents connected by similar texts, and n_links, how many other
+    texts this one's was verified to be similar to.
 
-    If ``docs`` has a column of that name, underscores are appended to the new one.
+    class_id is null for a null doc_id. If ``docs`` has columns of those names, underscores are appended to the new ones.
     """
     spark, texts = docs.sparkSession, _texts(docs)
     given = spark.sparkContext.broadcast(weights(texts, counters))
     made = stored(nodes(texts, given))
-    alike = made.groupBy("content").agg(F.min(F.struct("doc_id", "mass", "bands")).alias("n"))
-    bands = stored(alike.select(F.col("n.doc_id").alias("doc_id"), F.col("n.mass").alias("mass"), F.explode("n.bands").alias("key")))
-    close = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9)  # noqa: E731  weighted Jaccard is at most the masses' ratio
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    alike = stored(made.groupBy("content").agg(F.min(F.struct("doc_id", "mass", "bands")).alias("n")).select("content", "n.*"))
+    bands = stored(alike.select("doc_id", "mass", F.explode("bands").alias("key")))
+    close = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (threshold * SLACK)  # noqa: E731  weighted Jaccard is at most the masses' ratio
+    sizes = stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     crowded = stored(bands.join(sizes, "key"))
-    meets = crowded.groupBy("doc_id").agg(F.sum("n").alias("meets"))
-    ranked = crowded.join(meets, "doc_id")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("back"), "mass")).alias("c"))
+    meets = stored(crowded.groupBy("doc_id").agg(F.sum("n").alias("meets")))
+    centres = stored(crowded.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("back"), "mass")).alias("c")))
     pairs = crowded.join(centres, "key").where((F.col("doc_id") != -F.col("c.back")) & close(F.col("mass"), F.col("c.mass")))
     tested = stored(pairs.select(F.least("doc_id", -F.col("c.back")).alias("a"), F.greatest("doc_id", -F.col("c.back")).alias("b")).distinct())
     links = stored(verified(tested, texts, given, threshold))
     labels = classes(links)
 
-    named = stored(crowded.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-    split = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("n_labels"))
-    inside = stored(named.join(split.where("n_labels > 1").select("key", F.col("top.label").alias("top")), "key"))
-    inside = inside.join(common_mass(inside.select("doc_id", "label").distinct(), texts, given), "doc_id")
-    outside = inside.where("label <> top").select("key", F.col("doc_id").alias("x"), F.col("mass").alias("x_mass"), F.col("label").alias("x_label"), F.col("common").alias("x_common"))
-    low = F.least("common", "x_common")
-    can = low >= (F.col("mass") + F.col("x_mass") - low) * (threshold - 1e-9)
-    more = inside.join(outside, "key").where((F.col("label") != F.col("x_label")) & close(F.col("mass"), F.col("x_mass")) & can)
-    more = more.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(verified(stored(more), texts, given, threshold))
+    named = stored(crowded.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "mass", F.coalesce("label", "doc_id").alias("label")))
+    mixed_keys = stored(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
+    members = stored(named.join(mixed_keys, "key", "left_semi").select("doc_id", "label", "mass").distinct())
+    more = stored(crossing(members, texts, given, threshold).join(tested, ["a", "b"], "left_anti"))
+    links = stored(links.union(verified(more, texts, given, threshold)))
     labels = classes(links)
 
-    members = made.join(alike.select("content", F.col("n.doc_id").alias("node")), "content").select("doc_id", "node").distinct()
-    final = members.join(labels, "node", "left").select(F.col("doc_id").alias("_id"), F.coalesce("label", "node").alias("_class")).groupBy("_id").agg(F.min("_class").alias("_class"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    named = alike.select("content", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degrees, "doc_id", "left")
+    named = stored(named.select("content", F.coalesce("label", "doc_id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    members = stored(made.select("doc_id", "content").join(named.hint("merge"), "content").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), F.col("n_links").alias("_links")))
+    final = members.groupBy("_id").agg(F.min("_class").alias("_class"), F.max("_links").alias("_links"))
     out = docs.join(final, F.col("doc_id") == F.col("_id"), "left")
-    return out.withColumn(fresh("class_id", docs.columns), F.coalesce("_class", F.col("doc_id").cast("long"))).drop("_id", "_class")
+    out = out.withColumn(fresh("class_id", docs.columns), F.coalesce("_class", F.col("doc_id").cast("long")))
+    return out.withColumn(fresh("n_links", docs.columns), F.coalesce("_links", F.lit(0)).cast("long")).drop("_id", "_class", "_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every class: that of the smallest doc_id. Rows with a null doc_id stay."""
     found = near_duplicates(docs)
-    own = found.columns[-1]
-    kept = found.where(F.col(own).isNull() | (F.col(own) == F.col("doc_id"))).drop(own)
+    own = found.columns[-2]
+    kept = found.where(F.col(own).isNull() | (F.col(own) == F.col("doc_id"))).drop(*found.columns[-2:])
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 QUERIES = {"op5_minhash_near_dedup": query}

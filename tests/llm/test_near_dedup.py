@@ -19,7 +19,7 @@ def brute(rows, threshold=0.8):
     made = [(d, shingled(t)) for d, t in rows]
     df = Counter(s for _, c in made for s in c)
     n = sum(1 for _, t in rows if t is not None)
-    made = [(d, {s: k * (1 + nd.SLOPE * np.log(n / df[s]) / np.log(n + 2)) for s, k in c.items()}) for d, c in made]
+    made = [(d, {s: k * (1 - np.log(max(df[s] / n, nd.RARE))) for s, k in c.items()}) for d, c in made]
     label = {d: d for d, _ in made}
 
     def find(x):
@@ -40,7 +40,7 @@ def brute(rows, threshold=0.8):
 def test_classes_equal_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 500").select("doc_id", "text").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()} == brute(rows)
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs, counters=8).collect()} == brute(rows)  # counters are doubled until they suffice
 
 
 def test_edges(spark):
@@ -48,7 +48,8 @@ def test_edges(spark):
     rows = [(5, long, 1), (9, long.upper() + "!", 1), (9, long, 2), (7, long + " one", 1), (3, None, 1), (2, "", 1), (1, "...", 1), (8, "two words", 1), (4, "Two, words", 1), (None, long, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
     out = nd.near_duplicates(docs)
-    assert out.columns == ["doc_id", "text", "class_id", "class_id_"]
+    assert out.columns == ["doc_id", "text", "class_id", "class_id_", "n_links"]
+    assert {r.doc_id: r.n_links for r in out.collect() if r.doc_id in (5, 7, 8, None)} == {5: 1, 7: 1, 8: 0, None: 0}
     assert sorted(((r[0] or 0), r[3] or 0) for r in out.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 5), (8, 4), (9, 5), (9, 5)]
     assert sorted(r.doc_id or 0 for r in nd.one_of_each(docs).collect()) == [0, 1, 2, 3, 4, 5]
     assert nd.near_duplicates(docs.limit(0)).count() == 0
@@ -79,3 +80,45 @@ def test_chains_have_one_class(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 99), (99, 98)], "a long, b long")
     got = {r.node: r.label for r in nd.classes(links).collect()}
     assert got == {k: 1 for k in range(2, 61)} | {99: 98, 100: 98}
+
+
+def test_index_proposes_every_similar_pair(spark):
+    """Copies of a few texts with edits, cuts and mixtures, all with labels of their own: brute force over all pairs finds no other link."""
+    rng = np.random.default_rng(8)
+    bases = [[f"{k}w{rng.integers(400)}" for _ in range(90)] for k in range(3)]
+    rows = []
+    for doc in range(260):
+        ws = list(bases[rng.integers(3)])
+        for _ in range(rng.integers(0, 9)):
+            ws[rng.integers(len(ws))] = f"e{rng.integers(6)}"
+        if rng.random() < 0.3:
+            ws = ws[: rng.integers(50, 90)]
+        if rng.random() < 0.2:
+            ws += bases[rng.integers(3)][:20]
+        rows.append((doc, " ".join(ws)))
+    texts = nd._texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    table = nd.weights(texts)
+    given = spark.sparkContext.broadcast(table)
+    weighed = {d: (x[0], table.of(x[0], x[1])) for d, t in rows for x in [nd.shingles(t.encode())]}
+    label = {d: d // 3 for d, _ in rows}
+    members = spark.createDataFrame([(d, label[d], float(w.sum())) for d, (_, w) in weighed.items()], "doc_id long, label long, mass double")
+    pairs = nd.crossing(members, texts, given, 0.8)
+    got = {(r.a, r.b) for r in nd.verified(pairs, texts, given, 0.8).collect()}
+    expect = {(a, b) for a in weighed for b in weighed if a < b and label[a] != label[b] and nd.similarity(weighed[a], weighed[b]) >= 0.8}
+    assert got == expect and len(expect) > 100
+    assert pairs.count() < 0.5 * 260 * 259 / 2
+
+
+def test_a_large_group_with_edits(spark):
+    """Most rows are copies of one text; links that a comparison with the origin can't see are found too."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(base)) for k in range(60)]
+    for k in range(60, 140):
+        ws = list(base)
+        for at in rng.choice(80, rng.integers(1, 6), replace=False):
+            ws[at] = f"e{k}x{at}" if k % 2 else f"e{at}"
+        rows.append((k, " ".join(ws)))
+    rows += [(k, " ".join(f"u{k}v{j}" for j in range(60))) for k in range(140, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()} == brute(rows)
