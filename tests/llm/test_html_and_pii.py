@@ -27,6 +27,40 @@ def test_main_text():
     assert html_text.main_text("<div><p>" + "w " * 60_000 + "</p></div>") == " ".join(["w"] * 60_000)
 
 
+LONG = "A paragraph of the article that is long enough to count as one, with words and more words in it"
+
+
+def test_all_parts_of_the_article_stay():
+    p = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    text = lambda page: html_text.main_text(f"<html><body><nav><a>Menu</a></nav>{page}<footer>foot</footer></body></html>").split("\n")
+    many = [f"{LONG} {k}." for k in range(8)]
+    assert text(f"<section>{p(*many)}</section><section>{p(LONG, 'short')}</section>") == [*many, LONG, "short"]
+    assert text(f"<article>{p(*many)}</article><article>{p('short one')}</article>") == [*many, "short one"]
+    assert text(f"<h1>Headline</h1><div class='body'>{p(*many)}</div>") == ["Headline", *many]
+    assert text(f"<article><h1>Headline</h1><p>Lead.</p><div class='body'>{p(*many)}</div></article>") == ["Headline", "Lead.", *many]
+    sources = "".join(f"<li><a href='{k}'>Source {k}</a></li>" for k in range(6))
+    assert text(f"<article>{p(*many)}<h2>Sources</h2><ol>{sources}</ol></article>") == [*many, "Sources", *[f"Source {k}" for k in range(6)]]
+    assert text(f"<div>{p(*many[:4])}<ul>{sources}</ul>{p(*many[4:])}</div>") == [*many[:4], *[f"Source {k}" for k in range(6)], *many[4:]]
+    assert text(f"<div><ul>{sources}</ul></div><div>{p(*many)}</div>") == many
+    assert text(f"<article>{p(*many)}<p class='related-work'>Kept.</p><section id='social-history'><p>Kept too.</p></section><div class='related-posts'>Gone</div><div class='comment-body'>Gone</div></article>") == [*many, "Kept.", "Kept too."]
+
+
+def test_spelling_of_breaks_makes_no_difference():
+    assert html_text.main_text(f"<p>{LONG}<br/>b<hr/>c</p>") == html_text.main_text(f"<p>{LONG}<br>b<hr>c</p>") == f"{LONG}\nb\nc"
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        page = "<div><p>x" * n + "</span></i></table>" * n
+        began = time.process_time()
+        assert html_text.main_text(page) == "\n".join(["x"] * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/=\"' apdivnbr&;#12\n", max_size=80))
 def test_any_markup_is_read(text):
