@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -87,18 +88,27 @@ def test_decode_other_makes():
 
 
 def test_media_rows(spark, sf):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (4, "straße"), (4, "straße"), (None, "y")], "doc_id long, text string")
+    texts = [None, "", "x" * 100_000, "straße", "straße", "y"]
+    docs = spark.createDataFrame([(k or None, t, "own", 7) for k, t in zip((1, 2, 3, 4, 4, 0), texts, strict=True)], "doc_id long, text string, media string, n_bytes int")
     stored = media.to_flac(docs)
-    rows = media.probe(stored).collect()
-    for r, text in zip(rows, ["", "", "x" * 100_000, "straße", "straße", "y"], strict=True):
-        data = text.encode()
-        data += b" " * (-len(data) % 192 or (0 if data else 192))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text.encode()), len(data), hashlib.sha256(data).hexdigest())
+    coded = [bytes(r.media) for r in stored.collect()]
+    rows = media.probe(stored, 1000).collect()
+    for r, text, stream in zip(rows, texts, coded, strict=True):
+        data = (text or "").encode()
+        n = len(data)
+        data += b" " * (-n % 192 or (0 if data else 192))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(data), hashlib.sha256(data).hexdigest())
+        assert (r.media_bytes, r.media_sha256, r.tail_crc32) == (len(stream), hashlib.sha256(stream).hexdigest(), zlib.crc32(data[-16:]))
+        x = [b - 128 for b in data]
+        changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert r.feature == f"peak={max(map(abs, x))};mean={sum(x) * 1000 // len(x)};ms={sum(v * v for v in x) * 1000 // len(x)};crossings={changes}"
+        pcm = [b"".join(v.to_bytes(2, "little", signed=True) for v in x[at : at + 1000]) for at in range(0, len(x), 1000)]
+        assert [tuple(b) for b in r.pcm_blocks] == [(1000 * k, len(p) // 2, zlib.crc32(p)) for k, p in enumerate(pcm)]
     assert rows[3][1:] == rows[4][1:]
     blocks = media.pcm_blocks(stored.where("doc_id = 3"), 1000).collect()
-    assert [b.first_sample for b in blocks] == list(range(0, 100_032, 1000)) and sum(b.n_samples for b in blocks) == 100_032
+    assert [(b.first_sample, b.n_samples, zlib.crc32(b.pcm)) for b in blocks] == [tuple(b) for b in rows[2].pcm_blocks]
     bad = spark.createDataFrame([(1, None), (2, b"fLaC"), (3, b"no")], "doc_id long, media binary")
     assert all(r.error and r.pcm is None for r in media.pcm_blocks(bad).collect())
     assert media.probe(media.to_flac(docs.limit(0))).count() == 0
     whole = media.query(spark, sf)
-    assert whole.count() == whole.where("payload_bytes = greatest(192, ceil(n_bytes / 192) * 192)").count()
+    assert whole.count() == whole.where("payload_bytes = greatest(192, ceil(n_bytes / 192) * 192) and size(pcm_blocks) > 0").count()
