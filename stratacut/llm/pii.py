@@ -5,10 +5,12 @@ or bracketed mail addresses, telephone numbers without a country's sign, card nu
 and long-form network addresses. Boosted trees (numpy, logistic loss) score each by its format and its surroundings; thresholds
 are set per kind on examples kept apart, and of overlapping spans the best scored stays. The trees learn from at most
 ``EXAMPLES`` base spans and as many candidates of each kind, by hash of their surroundings, so no kind crowds out another: base spans, and the same rewritten in other notations, are examples of
-personal data; candidates whose checks fail (check digit, ranges, counts) and base spans spoilt in that way are examples of none.
+personal data; candidates whose checks fail (check digit, ranges, counts) and base spans spoilt in that way are examples of none;
+candidates that pass them are no examples, the trees alone decide about them.
 
 Defined results: a null or empty text has no spans; repeated rows have the same spans; offsets are code points, ends exclusive;
-an empty table gives an empty result; without any base span to learn from only base spans (none) are found.
+an empty table gives an empty result; without any base span to learn from only base spans (none) are found; further columns pass
+through, and if one is called pii, underscores are appended to the new one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacut.llm.common import fresh, read
+from stratacut.llm.common import fresh, read, settle, settled, slices
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, TREES, DEPTH, RATE, PRECISION = 1000, 40, 3, 0.3, 0.98
@@ -69,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 GENERATORS = (
-    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+ {0,2}(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]| at |＠) {0,2}[A-Za-z0-9-]{1,63}+(?: {0,2}(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]| dot |\.) {0,2}[A-Za-z0-9-]{1,63}+){1,4}", re.IGNORECASE), re.compile(r"[(\[{<]at|[(\[]@| at .{1,64}?(?:dot|\.[a-z])|＠", re.IGNORECASE)),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+ {0,2}(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]| at |＠) {0,2}[A-Za-z0-9-]++(?: {0,2}(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]| dot |\.) {0,2}[A-Za-z0-9-]++)+", re.IGNORECASE), re.compile(r"[(\[{<]at|[(\[]@| at [^\n]*?(?:dot|\.[a-z])|＠", re.IGNORECASE)),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot ) ?[0-9]{1,3}+){3}(?![0-9])", re.IGNORECASE), re.compile(r"[0-9] ?(?:[\[(]\.|[\[(]dot| dot )", re.IGNORECASE)),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,5}(?![0-9A-Za-z:])"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?P<s>[ ./_  -]{1,3})[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?![0-9])"), re.compile(r"[0-9]{4}[ ./_  -]{1,3}[0-9]{4}[^0-9]")),
@@ -218,19 +220,19 @@ def examples(docs: DataFrame, most: int = EXAMPLES) -> list[tuple[str, str, int,
     """(context, kind, start, end, base): spans of the corpus with their surroundings, of each kind at most ``most`` base ones and as many others, by hash."""
     columns = ("hash", "context", "kind", "a", "b", "base")
 
+    @settled
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[tuple[str, bool], set] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for base, spans in ((True, base_spans(text)), (False, candidates(text))):
                     for kind, a, b in spans:
-                        if b - a <= 160:
-                            at = max(0, a - AROUND)
-                            own = (text[at : b + 8], kind, a - at, b - at, base)
-                            cell = cells.setdefault((kind, base), set())
-                            cell.add((zlib.crc32(repr(own).encode("utf-8", "replace")), *own))
-                            if len(cell) > 4 * most:
-                                cells[kind, base] = set(sorted(cell)[:most])
+                        at = max(0, a - AROUND)
+                        own = (text[at : b + 8], kind, a - at, b - at, base)
+                        cell = cells.setdefault((kind, base), set())
+                        cell.add((zlib.crc32(repr(own).encode("utf-8", "replace")), *own))
+                        if len(cell) > 4 * most:
+                            cells[kind, base] = set(sorted(cell)[:most])
         rows = [x for cell in cells.values() for x in sorted(cell)[:most]]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], list(columns))
@@ -246,7 +248,8 @@ def train(docs: DataFrame, most: int = EXAMPLES) -> Trees:
     seen: Counter = Counter()
     for context, kind, a, b, base in examples(docs, most):
         span = (kind, a, b)
-        made = rewritten(np.random.default_rng(zlib.crc32(context.encode())), context, span) if base else [(context, span, sound(context, span))]
+        # a candidate that passes its kind's checks may be either; only one that fails is an example, of none
+        made = rewritten(np.random.default_rng(zlib.crc32(context.encode())), context, span) if base else [(context, span, False)] if not sound(context, span) else []
         for text, s, true in made:
             rows.append(row(text, s))
             marks.append(true)
@@ -273,7 +276,7 @@ def more_spans(text: str, base: list[Span], model: Trees) -> list[Span]:
     scores = model.score(np.array([row(text, s) for s in proposed], float))
     taken: list[Span] = []
     for p, s in sorted(zip(scores.tolist(), proposed, strict=True), key=lambda x: (-x[0], x[1][1], x[1][2])):
-        if p >= model.limits[s[0]] and sound(text, s) and not any(s[1] < b and a < s[2] for _, a, b in taken):
+        if p >= model.limits[s[0]] and not any(s[1] < b and a < s[2] for _, a, b in taken):
             taken.append(s)
     return taken
 
@@ -290,11 +293,12 @@ def find(docs: DataFrame, model: Trees) -> DataFrame:
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
         bases, alls = [], []
-        for text in texts.to_pylist():
+        for text in (t for at in range(0, len(texts), 1000) for t in texts.slice(at, 1000).to_pylist()):
             base = base_spans(text or "")
             every = sorted(base + more_spans(text or "", base, given.value), key=lambda s: (order[s[0]], s[1]))
             bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             alls.append([{"kind": k, "start": a, "end": b} for k, a, b in every])
+        settle()
         return pa.StructArray.from_arrays([pa.array(bases, kind), pa.array(alls, kind)], ["base", "spans"])
 
     return docs.withColumn(fresh("pii", docs.columns), spans("text"))

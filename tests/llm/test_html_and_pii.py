@@ -140,3 +140,29 @@ def test_headline_lead_and_sources_of_an_article():
     page = f"<body><nav>Menu</nav><article><h1>Headline</h1><p>Lead.</p><div class='body'>{body}</div><ul>{sources}</ul></article><p>Elsewhere</p></body>"
     got = html_text.main_text(page).split("\n")
     assert got[:2] == ["Headline", "Lead."] and got[-1] == "Source 3" and len(got) == 15
+
+
+def test_recall_of_added_spans(spark):
+    """Of rewritten spans the trees have never seen, most are found, and of spoilt ones next to none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.train(docs.where("doc_id % 2 = 0"))
+    found, rng = {k: [0, 0, 0, 0] for k in pii.KINDS}, np.random.default_rng(77)
+    for r in docs.where("doc_id % 2 = 1 and text is not null").collect():
+        for span in pii.base_spans(r.text):
+            for text, (kind, a, b), true in pii.rewritten(rng, r.text, span):
+                if any(k == kind and x < b and a < y for k, x, y in pii.base_spans(text)):
+                    continue  # still a base span
+                got = any(k == kind and x < b and a < y for k, x, y in pii.more_spans(text, pii.base_spans(text), model))
+                n = found[kind]
+                n[0 if true else 2] += got
+                n[1 if true else 3] += 1
+    print(found)
+    true, wrong = (sum(n[k] for n in found.values()) for k in (0, 2))
+    assert true >= 0.85 * sum(n[1] for n in found.values()) and wrong <= 0.05 * sum(n[3] for n in found.values())
+
+
+def test_long_and_repeated_texts_have_their_spans(spark):
+    mail = "write to jane.doe@example.com now "
+    docs = spark.createDataFrame([(1, mail * 3000, "x"), (2, mail, "y"), (2, mail, "z"), (3, "a" * 300_000 + " at " + "b" * 300_000, "")], "doc_id long, text string, pii string")
+    out = {(r.doc_id, r.pii): r.pii_ for r in pii.find(docs, pii.train(docs)).collect()}
+    assert len(out[1, "x"]["base"]) == 3000 and out[2, "y"] == out[2, "z"] and len(out[2, "y"]["base"]) == 1
