@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacut.llm.common import fresh, read
+from stratacut.llm.common import fresh, read, settle, settled, slices
 
 SHARD = 500_000
 BLOCK = 200_000
@@ -230,9 +230,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     for own in blocks(benchmark, size):
         given = spark.sparkContext.broadcast(own)
 
+        @settled
         def look(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             block = Windows.of(given.value, size)
-            for batch in batches:
+            for batch in slices(batches, 4000):
                 names = batch.schema.names
                 texts = batch.column(names.index(text)).to_pylist()
                 counts: list[int] = []
@@ -283,7 +284,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, own in zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True):
+        for text, own in ((t, s) for at in range(0, len(texts), 1000) for t, s in zip(texts.slice(at, 1000).cast(pa.binary()).to_pylist(), spans.slice(at, 1000).to_pylist(), strict=True)):
             if own:
                 at = [m.span() for m in WORD.finditer(text.lower())]
                 parts, begin = [], 0
@@ -292,6 +293,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
                     begin = at[s["end"] - 1][1]
                 text = b"".join([*parts, text[begin:]])
             out.append(text)
+        settle()
         return pa.array(out, pa.binary()).cast(pa.string())
 
     return found.select(*[without("text", F.col(spans)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

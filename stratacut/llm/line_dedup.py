@@ -2,8 +2,9 @@
 
 Lines are cut at ``\\n``; a line's key is the line without white space (``[\\x20\\x09-\\x0D]``) at both ends and with
 A-Z in lower case. Per document each distinct key is emitted once as a 128-bit hash; the hashes are counted over distinct
-documents with map-side combining, frequent ones are joined back (salted, as one line may be in a third of all documents),
-and every document's text is put together again from the lines that stay, in their order.
+documents with map-side combining, frequent ones are stored and joined back, and every document's text is put together again
+from the lines that stay, in their order. One line may be in a third of all documents: both sides of that join are plain
+shuffles, one with a row a key, so adaptive execution splits such a key over as many tasks as its rows need.
 
 Defined results: a null text is an empty text, an empty text is one empty line; keys shorter than ``min_chars`` never go;
 repeated rows of one doc_id count as one document and lose the same lines; a row with a null doc_id counts for no line and
@@ -19,10 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacut.llm.common import fresh, read, stored
+from stratacut.llm.common import fresh, read, settle, settled, slices, stored
 
 WHITE = b" \t\n\x0b\x0c\r"
-SALTS = 32
 
 
 def line_hash(line: bytes, min_chars: int) -> bytes | None:
@@ -36,8 +36,9 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, key): each distinct key of each document once."""
 
+    @settled
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found = {h for line in text.lower().split(b"\n") if len(line) >= min_chars and (h := line_hash(line, min_chars))}
@@ -61,22 +62,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     If ``docs`` has columns of those names, underscores are appended to the new ones.
     """
     keys = line_keys(docs, min_chars)
-    frequent = stored(frequent_lines(keys, min_docs)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    drops = salted.join(frequent, ["key", "salt"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    frequent = stored(frequent_lines(keys, min_docs))
+    drops = keys.join(frequent.hint("merge"), "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     @F.arrow_udf("struct<text string, n_lines bigint, n_dropped bigint>")
     def rebuild(texts: pa.Array, goes: pa.Array) -> pa.Array:
         kept, before, dropped = [], [], []
-        for text, gone in zip(texts.cast(pa.binary()).to_pylist(), goes.to_pylist(), strict=True):
-            lines = (text or b"").split(b"\n")
-            stay = lines
-            if gone:
-                out = set(gone)
-                stay = [x for x in lines if line_hash(x.lower(), min_chars) not in out]
-            kept.append(b"\n".join(stay))
-            before.append(len(lines))
-            dropped.append(len(lines) - len(stay))
+        for at in range(0, len(texts), 500):
+            for text, gone in zip(texts.slice(at, 500).cast(pa.binary()).to_pylist(), goes.slice(at, 500).to_pylist(), strict=True):
+                if gone:
+                    lines, out = (text or b"").split(b"\n"), set(gone)
+                    stay = [x for x in lines if line_hash(x.lower(), min_chars) not in out]
+                    kept.append(b"\n".join(stay))
+                    before.append(len(lines))
+                    dropped.append(len(lines) - len(stay))
+                else:
+                    kept.append(text or b"")
+                    before.append(1 + kept[-1].count(b"\n"))
+                    dropped.append(0)
+        settle()
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
     gone, made = fresh("_gone", docs.columns), fresh("_made", docs.columns)

@@ -7,7 +7,8 @@ finds the tightest open bins in logarithmic time, a whole run of equal bins at a
 ranks go to which bins; ranks are dealt out by Spark over (length, bucket) so that a frequent length isn't one task.
 
 Defined results: a null text is an empty text and gives one piece with the end id alone; repeated rows are packed as often as
-they occur; an empty table gives an empty result.
+they occur, pieces of a null doc_id too; an empty table gives an empty result; only the columns of the contract come out, whatever
+further columns the documents have.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from stratacut.llm.common import read, settled, slices, stored
 from stratacut.llm.hashing import word_bounds, word_hashes
 
 END_ID = 1
-BUCKETS = 256
+RANKED = 50_000  # pieces of one length that one task ranks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Texts of these characters alone are split by WORD below just as by the tokenizer's own rule: they are stable under NFC,
@@ -249,10 +250,11 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     """``parts`` (doc_id, piece, length, ...) with sequence_id and offset. ``parts`` is read more than once: store it first."""
     spark = parts.sparkSession
-    counts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    buckets = max(8, -(-max(histogram.values(), default=0) // RANKED))  # of the commonest length as of any other
+    counts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     sizes = counts.groupBy("length", "_bucket").count()
     before = sizes.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     table = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     @F.arrow_udf("struct<sequence_id bigint, offset bigint>")
