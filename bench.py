@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON. Each runs once warm and is then timed, median of two."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON. Each runs once warm and is then timed, median of three."""
 
 import json
 import os
@@ -21,15 +21,16 @@ def headline(spark: SparkSession, sf: str):
         return components.facts(components.label(neighborhood.runs(mask), images), images)
 
     swatches, posters = (lambda: fixtures.swatches(spark, sf)), (lambda: fixtures.posters(spark, sf))
-    return {
-        "tone_preview_swatches": lambda: queries.tone_preview(spark, sf, swatches()),
-        "tone_preview_posters": lambda: queries.tone_preview(spark, sf, posters()),
-        "components_swatches": lambda: components_of(swatches()),
-        "components_posters": lambda: components_of(posters()),
-        "palette_swatches": lambda: palette.quantize(swatches(), 4, 2),
-        "blur_posters": lambda: neighborhood.blur(posters().withColumn("luma", luma()), 3),
-        "ring_bridges": lambda: vector.shortest(vector.clear(vector.candidates(fixtures.rings(spark, sf)), fixtures.rings(spark, sf))),
+    both = {"swatches": swatches, "posters": posters}
+    work = {
+        "tone_preview": lambda pixels: queries.tone_preview(spark, sf, pixels),
+        "components": components_of,
+        "palette": lambda pixels: palette.quantize(pixels, 4),
+        "blur": lambda pixels: neighborhood.blur(pixels.withColumn("luma", luma()), 3),
     }
+    made = {f"{name}_{kind}": lambda f=f, view=view: f(view()) for name, f in work.items() for kind, view in both.items()}
+    made["ring_bridges"] = lambda: vector.shortest(vector.clear(vector.candidates(fixtures.rings(spark, sf)), fixtures.rings(spark, sf)))
+    return made
 
 
 def main() -> None:
@@ -39,7 +40,7 @@ def main() -> None:
     took = {}
     for name, make in headline(spark, sf).items():
         times = []
-        for _ in range(3):
+        for _ in range(4):  # the first warms up
             began = time.time()
             make().write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)

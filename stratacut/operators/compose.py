@@ -23,6 +23,19 @@ def composite(masks: DataFrame, layers: DataFrame) -> DataFrame:
     return masks.join(shown, ["image_id", "layer_id"]).groupBy("image_id", "x", "y").agg(F.max_by("color", "paint_order").alias("color"))
 
 
+def on_canvas(pixels: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(image_id, x, y, color) of every pixel of the canvas ``pixels``: what is ``drawn`` there, null where it is transparent."""
+    return pixels.select("image_id", "x", "y").join(drawn, ["image_id", "x", "y"], "left")
+
+
+def shown_colours(layers: DataFrame, mode: str, custom: list[str] | None = None) -> DataFrame:
+    """``layers`` with color: cartoon and colourised layers keep their own; tone layers take ``custom`` colours, or the stack's, in turn."""
+    if mode == "cartoon" or mode == "colorized":
+        return layers
+    chosen = F.element_at(F.array(*map(F.lit, custom)), (F.col("layer_id") % len(custom) + 1).cast("int")) if custom else stack_colour(F.col("layer_id"))
+    return layers.withColumn("color", chosen)
+
+
 def merge_layers(masks: DataFrame, first: int, second: int, into: int) -> DataFrame:
     """Either's ink in layer ``into``; the other layer's mask goes."""
     both = masks.where(F.col("layer_id").isin(first, second)).select("image_id", F.lit(into).alias("layer_id"), "x", "y").distinct()

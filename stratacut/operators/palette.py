@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +73,48 @@ def farthest_seeds(samples: DataFrame, n: int) -> DataFrame:
     return seeds.select("image_id", "k", "r", "g", "b")
 
 
-def quantize(pixels: DataFrame, n: int, rounds: int = 12) -> DataFrame:
-    """(image_id, k, r, g, b): palettes of at most ``n`` colours by Lloyd's rounds over the stride sample, rounded at the end."""
-    samples = _saved(stride_sample(pixels, 80_000).where(opaque()).select("image_id", "idx", "r", "g", "b"))
-    palette = farthest_seeds(samples, n)
+PALETTE = "image_id long, k int, r int, g int, b int"
+
+
+def _lloyd(c: np.ndarray, n: int, rounds: int) -> np.ndarray:
+    """Farthest-point seeds of colours (in raster order) and Lloyd's rounds from them; sums of whole numbers are exact in any order."""
+    centres = [c[0]]
+    near = ((c - c[0]) ** 2).sum(1)
+    while len(centres) < n and near.max() > 0:
+        centres.append(c[int(near.argmax())])
+        near = np.minimum(near, ((c - centres[-1]) ** 2).sum(1))
+    p = np.array(centres, float)
     for _ in range(rounds):
-        new = _saved(update(assign(samples, palette), palette))
-        old = palette.select("image_id", "k", F.struct(*(F.col(c).cast("double").alias(c) for c in "rgb")).alias("old"))
-        moved = new.join(old, ["image_id", "k"]).where(F.struct("r", "g", "b") != F.col("old")).limit(1).count()
-        palette = new
-        if not moved:
+        k = np.zeros(len(c), np.int64)
+        best = ((c - p[0]) ** 2).sum(1)
+        for j in range(1, len(p)):
+            d = ((c - p[j]) ** 2).sum(1)
+            k = np.where(d < best, j, k)
+            best = np.minimum(best, d)
+        count = np.bincount(k, minlength=len(p))
+        new = np.stack([np.bincount(k, c[:, i], len(p)) for i in range(3)], 1) / np.maximum(count, 1)[:, None]
+        new[count == 0] = p[count == 0]
+        if (new == p).all():
             break
-    return palette.select("image_id", "k", *(rounded(F.col(c)).cast("int").alias(c) for c in "rgb"))
+        p = new
+    return np.floor(p + 0.5).astype(np.int32)
+
+
+def quantize(pixels: DataFrame, n: int, rounds: int = 12, counts: DataFrame | None = None) -> DataFrame:
+    """(image_id, k, r, g, b): palettes of at most ``n`` colours by Lloyd's rounds over the stride sample, rounded at the end.
+
+    A picture's sample has fewer than 160,000 pixels whatever its size, so all rounds of a picture run in one task, and no table
+    is written between them; pictures are what is dealt out. ``counts`` (image_id, n_colors) sets a picture's own number.
+    """
+    samples = stride_sample(pixels, 80_000).where(opaque()).select("image_id", "idx", "r", "g", "b")
+    own = samples.withColumn("n", F.lit(n)) if counts is None else samples.join(counts.select("image_id", F.least("n_colors", F.lit(n)).alias("n")), "image_id")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx", ignore_index=True)
+        p = _lloyd(rows[["r", "g", "b"]].to_numpy(float), int(rows["n"].iloc[0]), rounds)
+        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "k": np.arange(len(p), dtype=np.int32), "r": p[:, 0], "g": p[:, 1], "b": p[:, 2]})
+
+    return own.groupBy("image_id").applyInPandas(fit, PALETTE)
 
 
 def colour_layers(pixels: DataFrame, palette: DataFrame, tolerance: int = 15) -> DataFrame:

@@ -23,6 +23,28 @@ PRESETS = {
 }
 
 
+# Colours of the presets for 2 to 12 layers.
+PRESET_COLOURS = {
+    2: "000000 FFFFFF",
+    3: "000000 7F7F7F FFFFFF",
+    4: "000000 525252 A0A0A0 FFFFFF",
+    5: "000000 434343 7F7F7F B2B2B2 FFFFFF",
+    6: "000000 3D3D3D 676767 848484 B2B2B2 FFFFFF",
+    7: "000000 313131 585858 7C7C7C B0B0B0 CBCBCB FFFFFF",
+    8: "000000 2B2B2B 484848 5F5F5F 7C7C7C B0B0B0 CBCBCB FFFFFF",
+    9: "000000 202020 505050 646464 818181 A7A7A7 C2C2C2 D5D5D5 FFFFFF",
+    10: "000000 262626 3F3F3F 505050 6C6C6C 8B8B8B ABABAB C4C4C4 DFDFDF FFFFFF",
+    11: "000000 1D1D1D 303030 4A4A4A 5B5B5B 808080 9E9E9E BABABA D0D0D0 E3E3E3 FFFFFF",
+    12: "000000 1B1B1B 313131 3E3E3E 5A5A5A 676767 7C7C7C 9E9E9E BABABA D0D0D0 E3E3E3 FFFFFF",
+}
+OTHER_COLOUR = "#333"
+
+
+def colours(n: int) -> list[str]:
+    """The preset's colours, or one for all layers where there is no preset."""
+    return [f"#{c}" for c in PRESET_COLOURS[n].split()] if n in PRESET_COLOURS else [OTHER_COLOUR] * n
+
+
 def limits(n: int, given: list[int] | None = None) -> tuple[int, ...]:
     """Given ones if there are ``n``, else the preset, else an even split that ends in 255."""
     if given and len(given) == n:
@@ -36,12 +58,23 @@ def thresholds(spark: SparkSession, ns: list[int], given: list[int] | None = Non
     return spark.createDataFrame(rows, "n_layers int, layer_id int, upper int")
 
 
+def presets(spark: SparkSession, ns: list[int]) -> DataFrame:
+    """(n_layers, layer_id, upper, color); a few rows, fit for broadcasting."""
+    rows = [(n, k, v, c) for n in ns for k, (v, c) in enumerate(zip(limits(n), colours(n), strict=True))]
+    return spark.createDataFrame(rows, "n_layers int, layer_id int, upper int, color string")
+
+
+def lit_pixels(pixels: DataFrame) -> DataFrame:
+    """Opaque pixels with luma: their own, or the column of that name (after a blur)."""
+    return pixels.where(opaque()) if "luma" in pixels.columns else pixels.where(opaque()).withColumn("luma", luma())
+
+
 def layer_masks(pixels: DataFrame, upper: DataFrame) -> DataFrame:
     """(image_id, layer_id, x, y): layer 0 below its limit, layer k at or over its own; opaque pixels only.
 
     A range join against the few limits, broadcast, so pixels aren't shuffled.
     """
-    lit = pixels.where(opaque()).select("image_id", "x", "y", luma().alias("luma"))
+    lit = lit_pixels(pixels).select("image_id", "x", "y", "luma")
     inside = F.when(F.col("layer_id") == 0, F.col("luma") < F.col("upper")).otherwise(F.col("luma") >= F.col("upper"))
     return lit.join(F.broadcast(upper.select("layer_id", "upper")), inside).select("image_id", "layer_id", "x", "y")
 
@@ -54,12 +87,15 @@ def bands(upper: DataFrame) -> DataFrame:
 
 def band_of(pixels: DataFrame, upper: DataFrame) -> DataFrame:
     """Opaque pixels with the band lower <= luma < upper that they are in; none over the last limit."""
-    lit = pixels.where(opaque()).withColumn("luma", luma())
+    lit = lit_pixels(pixels)
     return lit.join(F.broadcast(bands(upper).select("layer_id", "lower", "upper")), (F.col("lower") <= F.col("luma")) & (F.col("luma") < F.col("upper")))
 
 
 def band_colours(pixels: DataFrame, upper: DataFrame) -> DataFrame:
-    """(image_id, layer_id, r, g, b): mean colour of every band of every picture, black where it is empty."""
+    """(image_id, layer_id, r, g, b): mean colour of every band of every picture, black where it is empty.
+
+    The join that makes every band of every picture has no condition on purpose: a stack has at most a few layers.
+    """
     mean = lambda c: rounded(F.sum(c) / F.count("*")).cast("int").alias(c)
     found = band_of(pixels, upper).groupBy("image_id", "layer_id").agg(mean("r"), mean("g"), mean("b"))
     every = pixels.select("image_id").distinct().join(F.broadcast(upper.select("layer_id")))

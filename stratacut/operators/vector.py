@@ -198,9 +198,14 @@ def ring_arrays(vertices: DataFrame) -> DataFrame:
     return listed.select("doc_id", "contour_id", F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("points"))
 
 
-def bridged_paths(vertices: DataFrame, width: float = 3) -> DataFrame:
-    """(doc_id, place, d): paths of all contours and bridges of a document; painted in one fill they are the union."""
-    shapes = ring_arrays(vertices).select("doc_id", F.concat(F.lit("c"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("points")).alias("d"))
+def bridged_paths(vertices: DataFrame, width: float = 3, tolerance: float = 0) -> DataFrame:
+    """(doc_id, place, d): paths of all contours and bridges of a document; painted in one fill they are the union.
+
+    With a ``tolerance`` bridges are searched between simplified contours; the contours themselves stay as they are.
+    """
+    full = vertices
+    vertices = simplify(vertices, tolerance) if tolerance > 0 else vertices
+    shapes = ring_arrays(full).select("doc_id", F.concat(F.lit("c"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("points")).alias("d"))
     joins = shortest(clear(candidates(vertices), vertices)).withColumn("box", bridge_rectangle(width)).where("box is not null")
     return shapes.unionByName(joins.select("doc_id", F.concat(F.lit("x"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("box")).alias("d")))
 

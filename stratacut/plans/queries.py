@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacut.functions import scalars as s
-from stratacut.operators import bridges, components, compose, export, neighborhood, palette, tone, vector
+from stratacut.operators import bridges, components, compose, export, neighborhood, palette, tone, vector, workloads
 from stratacut.plans.sql import ORACLES
 from stratacut.sources import fixtures, raster_io
 from stratacut.streaming import live
@@ -303,10 +303,10 @@ def b07_crossings(spark, sf):
 
 
 def stack_inputs(spark, sf):
-    """The darkest layer of every swatch, and the layer over it as its cover."""
+    """The two darkest layers of every swatch, and the layer over them as their cover."""
     pixels = fixtures.swatches(spark, sf)
     masks = band_masks(spark, pixels)
-    return masks.where("layer_id = 1"), neighborhood.images_of(pixels), masks.where("layer_id = 2").select("image_id", "x", "y")
+    return masks.where("layer_id < 2"), neighborhood.images_of(pixels), masks.where("layer_id = 2").select("image_id", "x", "y")
 
 
 @query
@@ -319,28 +319,28 @@ def b02_b03_targets(spark, sf):
 def b06_coverage(spark, sf):
     mask, images, upper = stack_inputs(spark, sf)
     found = bridges.coverage(bridges.candidates(mask, images, bridges=3, each=8, least=2, mainland_only=True), upper)
-    return found.select("image_id", "island", "sector", "sx", "sy", "tx", "ty", F.round("coverage", 6).alias("coverage"))
+    return found.select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", F.round("coverage", 6).alias("coverage"))
 
 
 @query
 def b08_best_candidates(spark, sf):
     mask, images, upper = stack_inputs(spark, sf)
     found = bridges.coverage(bridges.candidates(mask, images, bridges=3, each=8, least=2, mainland_only=True), upper)
-    return bridges.best_candidates(found).select("image_id", "island", "sector", "sx", "sy", "tx", "ty", "tier", F.round("score", 6).alias("score"))
+    return bridges.best_candidates(found).select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", "tier", F.round("score", 6).alias("score"))
 
 
 @query
 def b09_b16_choice(spark, sf):
     mask, images, upper = stack_inputs(spark, sf)
     _, listed = bridges.smart_bridges(mask, images, upper, 2, bridges=3, each=8, least=2)
-    return listed.select("image_id", "island", "sector", "sx", "sy", "tx", "ty", "selected", F.round("score", 6).alias("score"))
+    return listed.select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", "selected", F.round("score", 6).alias("score"))
 
 
 @query
 def b10_erased(spark, sf):
     mask, images, upper = stack_inputs(spark, sf)
     done, _ = bridges.smart_bridges(mask, images, upper, 2, bridges=3, each=8, least=2)
-    return done.groupBy("image_id").agg(F.count("*").alias("ink"))
+    return done.groupBy("image_id", "layer_id").agg(F.count("*").alias("ink"))
 
 
 @query
@@ -359,7 +359,7 @@ def b14_statistics(spark, sf):
 @query
 def b15_bridged_stack(spark, sf):
     pixels = fixtures.thumbs(spark, sf)
-    done, _ = bridges.bridge_stack(band_masks(spark, pixels), neighborhood.images_of(pixels), [1, 2, 3])
+    done, _ = bridges.bridge_stack(band_masks(spark, pixels), neighborhood.images_of(pixels), [0, 1, 2, 3])
     return done.groupBy("image_id", "layer_id").agg(F.count("*").alias("ink"))
 
 
@@ -508,6 +508,107 @@ def r03_folded_state(spark, sf):
     return state.withColumn("threshold", F.coalesce("threshold", F.lit(-1))).withColumn("color", F.coalesce("color", F.lit(-1)))
 
 
+@query
+def s03_data_url_round_trip(spark, sf):
+    """PNG, data URL and back."""
+    pixels = fixtures.thumbs(spark, sf)
+    made = raster_io.to_png(pixels.withColumn("layer_id", F.lit(0)), neighborhood.images_of(pixels)).withColumn("d", raster_io.decode_url(raster_io.encode_url(F.col("png"))))
+    return made.select("image_id", F.col("d.mime").alias("mime"), (F.col("d.bytes") == F.col("png")).alias("same"), F.hex(F.substring("png", 17, 8)).alias("size"))
+
+
+@query
+def t01_preset_colours(spark, sf):
+    """How many opaque pixels are at or over each limit, by the preset's colour."""
+    lit = fixtures.thumbs(spark, sf).where(s.opaque()).groupBy(s.luma().alias("luma")).count()
+    table = tone.presets(spark, [*range(2, 13), 14])
+    return lit.join(F.broadcast(table), F.col("luma") >= F.col("upper")).groupBy("n_layers", "layer_id", "color").agg(F.sum("count").alias("n_over"))
+
+
+@query
+def x01_canvas(spark, sf):
+    """The whole canvas in the stack's colours, second layers hidden in every third picture; transparent where nothing is drawn."""
+    pixels = fixtures.thumbs(spark, sf)
+    layers = pixels.select("image_id").distinct().join(F.broadcast(limits(spark))).select("image_id", "layer_id", F.col("layer_id").alias("paint_order"), ((F.col("layer_id") != 1) | (F.col("image_id") % 3 != 0)).alias("visible"))
+    drawn = compose.composite(band_masks(spark, pixels), compose.shown_colours(layers, "realistic"))
+    return compose.on_canvas(pixels, drawn).groupBy("image_id", F.coalesce("color", F.lit("transparent")).alias("color")).agg(F.count("*").alias("n_pixels"))
+
+
+def described(stack: workloads.Stack, masks: DataFrame) -> DataFrame:
+    ink = masks.groupBy("image_id", "layer_id").agg(F.count("*").alias("ink"))
+    return stack.layers.join(ink, ["image_id", "layer_id"], "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
+
+
+@query
+def w1_realistic_layers(spark, sf):
+    """Blur, bands, clean-up, names, limits and mean colours of every picture's tone layers."""
+    stack = workloads.tone_stack(fixtures.thumbs(spark, sf), FOUR, blur=2, cleanup=3)
+    return described(stack, stack.masks).select("image_id", "layer_id", "name", "description", "lower", "upper", "color", "ink")
+
+
+@query
+def w1_realistic_stack(spark, sf):
+    """The same with bridges: ink before and after, and how many bridges there are."""
+    stack = workloads.tone_stack(fixtures.thumbs(spark, sf), FOUR, blur=2, cleanup=3, bridge=True)
+    after = stack.masks.groupBy("image_id", "layer_id").agg(F.count("*").alias("left"))
+    made = bridges.statistics(stack.listed, stack.layers.select("image_id", "layer_id"))
+    whole = described(stack, stack.clean).join(after, ["image_id", "layer_id"], "left").join(made, ["image_id", "layer_id"])
+    return whole.select("image_id", "layer_id", "name", "color", "ink", F.coalesce("left", F.lit(0)).alias("ink_left"), "island_count", "bridges_created")
+
+
+@query
+def w2_colour_layers(spark, sf):
+    """Palette, background, nearest colours, paint order, bleed and metadata of every picture's colour layers."""
+    stack = workloads.colour_stack(fixtures.thumbs(spark, sf), 3)
+    return described(stack, stack.masks).select("image_id", "layer_id", "name", "description", "color", "ink")
+
+
+@query
+def w2_colour_stack(spark, sf):
+    """As many colours as estimated, with bridges and the composite: pixels of each colour."""
+    pixels = fixtures.thumbs(spark, sf)
+    stack = workloads.colour_stack(pixels, None, bridge=True, least=1)
+    drawn = compose.composite(stack.masks, compose.shown_colours(stack.layers, "cartoon"))
+    return compose.on_canvas(pixels, drawn).groupBy("image_id", F.coalesce("color", F.lit("transparent")).alias("color")).agg(F.count("*").alias("n_pixels"))
+
+
+@query
+def w3_bridged_documents(spark, sf):
+    """Documents read, bridged and written."""
+    return workloads.vector_documents(svgs(spark, sf), 3, "#123456", 0)
+
+
+@query
+def w3_simplified_documents(spark, sf):
+    """The same with bridges between simplified contours: paths of each document."""
+    done = workloads.vector_documents(svgs(spark, sf), 3, "#123456", 12.0)
+    return done.select("doc_id", F.regexp_count("svg", F.lit("<path")).alias("n_paths"))
+
+
+def state_events(spark, sf):
+    """Edits, of which those of the blur set layer counts (2 to 14) and modes too."""
+    edits = fixtures.edit_events(spark, sf)
+    blur, third = F.col("setting") == "blur", F.pmod(F.col("value"), F.lit(3))
+    setting = F.when(blur & (third == 0), "layers").when(blur & (third == 1), "mode").otherwise(F.col("setting"))
+    value = F.when(blur & (third == 0), F.pmod(F.col("value"), F.lit(13)) + 2).when(blur & (third == 1), F.pmod(F.col("event_id"), F.lit(2))).otherwise(F.col("value"))
+    return edits.withColumns({"setting": setting, "value": value.cast("int")})
+
+
+def estimates_of(events: DataFrame) -> DataFrame:
+    return events.select("session_id").distinct().where("session_id % 2 = 0").select("session_id", F.pmod("session_id", F.lit(19)).cast("int").alias("k")).select("session_id", (F.col("k") + 2).alias("n_colors"))
+
+
+@query
+def r03_settings(spark, sf):
+    events = state_events(spark, sf)
+    return live.settings(events, estimates_of(events))
+
+
+@query
+def r03_layer_state(spark, sf):
+    events = state_events(spark, sf)
+    return live.layer_state(events, tone.presets(spark, list(range(2, 22))), estimates_of(events))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tone_preview(spark, sf_dir, fixtures.thumbs(spark, sf_dir))
 

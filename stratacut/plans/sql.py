@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stratacut.operators.compose import STACK
 from stratacut.operators.neighborhood import kernel
+from stratacut.operators.tone import colours as preset_colours
 from stratacut.operators.tone import limits
 from stratacut.sources import fixtures as fx
 
@@ -111,6 +112,53 @@ MARKS = "".join(
 SIZE = "(select image_id, max(x)+1 width, max(y)+1 height from {v} group by 1)"
 LIVE = f"ev as (select * from {EDITS}), rs as (select session_id, max((ts, event_id)) r from ev where setting='reset' group by 1), lv as (select ev.* from ev left join rs using (session_id) where setting <> 'reset' and (r is null or (ts, event_id) > r))"
 
+def presets(ns: range) -> str:
+    return "(values " + ",".join(f"({n},{k},{v},'{c}')" for n in ns for k, (v, c) in enumerate(zip(limits(n), preset_colours(n), strict=True))) + ") t(n_layers, layer_id, upper, color)"
+
+
+def reached(name: str, cells: str) -> str:
+    """Components of (image_id, layer_id, idx) of 8x8 pictures as view ``name``: (image_id, layer_id, idx, comp_id)."""
+    return f"""{name}_e as (select a.image_id, a.layer_id, a.idx i, b.idx j from {cells} a join {cells} b on a.image_id=b.image_id and a.layer_id=b.layer_id and abs(a.idx%8-b.idx%8)+abs(a.idx//8-b.idx//8)=1),
+{name}_w as (select image_id, layer_id, idx i, idx j from {cells} union select w.image_id, w.layer_id, w.i, e.j from {name}_w w join {name}_e e on w.image_id=e.image_id and w.layer_id=e.layer_id and w.j=e.i),
+{name} as materialized (select image_id, layer_id, i idx, min(j) comp_id from {name}_w group by 1,2,3)"""
+
+
+SQUARE = "({a}.r-{b}.r)*({a}.r-{b}.r)+({a}.g-{b}.g)*({a}.g-{b}.g)+({a}.b-{b}.b)*({a}.b-{b}.b)"
+
+
+def palette(n: int, rounds: int) -> str:
+    """Views pal0 ... pal<rounds> (image_id, k, r, g, b) of the 8x8 pictures: farthest seeds and Lloyd's rounds."""
+    parts = [f"px as materialized (select image_id, y*8+x idx, cast(r as double) r, cast(g as double) g, cast(b as double) b from {THUMBS} where a >= 10)", "s0 as materialized (select image_id, 0 k, r, g, b from (select *, row_number() over (partition by image_id order by idx) n from px) where n=1)"]
+    for k in range(1, n):
+        parts.append(f"""s{k} as materialized (select * from s{k - 1} union all select image_id, {k}, r, g, b from (select *, row_number() over (partition by image_id order by d desc, idx) n from
+ (select p.image_id, p.idx, any_value(p.r) r, any_value(p.g) g, any_value(p.b) b, min({SQUARE.format(a="p", b="s")}) d from px p join s{k - 1} s using (image_id) group by 1,2)) where n=1 and d > 0)""")
+    parts.append(f"pal0 as (select * from s{n - 1})")
+    for j in range(1, rounds + 1):
+        parts.append(f"""pal{j} as materialized (select s.image_id, s.k, coalesce(mr,s.r) r, coalesce(mg,s.g) g, coalesce(mb,s.b) b from pal{j - 1} s left join (select image_id, k, sum(r)/count(*) mr, sum(g)/count(*) mg, sum(b)/count(*) mb from
+ (select *, row_number() over (partition by image_id, idx order by d, k) n from (select p.*, s.k, {SQUARE.format(a="p", b="s")} d from px p join pal{j - 1} s using (image_id))) where n=1 group by 1,2) m using (image_id, k))""")
+    parts.append(f"pal as materialized (select image_id, k, cast(floor(r+0.5) as int) r, cast(floor(g+0.5) as int) g, cast(floor(b+0.5) as int) b from pal{rounds})")
+    return ",\n".join(parts)
+
+
+BEST = f"""{CANDS}, j as (select c.doc_id, c.contour_id, c.seq, c.edge, fx-c.x ux, fy-c.y uy, w.nx-w.x vx, w.ny-w.y vy, w.x-c.x wx, w.y-c.y wy from cand c join e w on w.doc_id=c.doc_id and w.contour_id<>c.contour_id and w.contour_id<>c.mainland),
+kk as (select *, ux*vy-uy*vx det from j), bad as (select distinct doc_id, contour_id, seq, edge from kk where {CROSS.format(m='1e-4::DOUBLE')}),
+best as (select * from (select *, row_number() over (partition by doc_id, contour_id order by d2, seq, edge) n from cand anti join bad using (doc_id, contour_id, seq, edge)) where n=1)"""
+
+
+def corners(view: str) -> str:
+    return f"""q as (select *, fx-x px, fy-y py, sqrt((fx-x)*(fx-x)+(fy-y)*(fy-y)) len from {view}), box as (select *, -py/len*(3.0::DOUBLE/2) ox, px/len*(3.0::DOUBLE/2) oy from q where len >= 1e-6),
+corner as (select doc_id, contour_id, x+ox x0, y+oy y0, fx+ox x1, fy+oy y1, fx-ox x2, fy-oy y2, x-ox x3, y-oy y3 from box)"""
+
+
+STATE = f"""e0 as (select session_id, event_id, ts, layer_id, value v0, setting s0, ((value%3)+3)%3 m from {EDITS}),
+ev as (select session_id, event_id, ts, layer_id, case when s0='blur' and m=0 then 'layers' when s0='blur' and m=1 then 'mode' else s0 end setting,
+ cast(case when s0='blur' and m=0 then ((v0%13)+13)%13+2 when s0='blur' and m=1 then event_id%2 else v0 end as int) value from e0),
+es as (select distinct session_id, cast(session_id%19 as int)+2 n_colors from ev where session_id%2=0),
+rs as (select session_id, max((ts, event_id)) r from ev where setting='reset' group by 1),
+lv as (select ev.*, n_colors from ev left join rs using (session_id) left join es using (session_id) where setting <> 'reset' and (r is null or (ts, event_id) > r)),
+st as (select s.session_id, case when m.mode=1 then 'cartoon' else 'realistic' end as mode, coalesce(m.n, 4) n_layers from (select distinct session_id from ev) s left join
+ (select session_id, arg_max(value, (ts, event_id)) filter (where setting='mode') as mode, arg_max(case when setting='layers' then value else n_colors end, (ts, event_id)) filter (where setting='layers' or setting='mode' and value=1 and n_colors is not null) n from lv group by 1) m using (session_id))"""
+
 ORACLES = {
     "s02_decode_data_urls": f"select upload_id, regexp_extract(url, '^data:([^;,]*)', 1) mime, octet_length(from_base64(split_part(url, ',', 2))) n_bytes, md5(from_base64(split_part(url, ',', 2))) md5 from {URLS} where url like 'data:image/%'",
     "s05_shrink": f"""with s as (select p.*, width, height, least(1.0::DOUBLE, 12.0::DOUBLE/greatest(width,height)) k from {SWATCHES} p join {SIZE.format(v=SWATCHES)} using (image_id))
@@ -179,4 +227,40 @@ select image_id, x, y from m union select image_id, x, y from k where x between
     "r02_bursts": f"""with v as (select *, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end n from {EDITS} window w as (partition by session_id order by ts, event_id)), g as (select *, sum(n) over (partition by session_id order by ts, event_id) k from v)
 select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') first_ts, count(*) n_events, arg_max(value, (ts, event_id)) last_value from g group by session_id, k""",
     "r03_folded_state": f"with {LIVE} select session_id, layer_id, cast(count(*) filter (where setting='toggle') % 2 as bigint) hidden, coalesce(arg_max(value, (ts, event_id)) filter (where setting='threshold'), -1) threshold, coalesce(arg_max(value, (ts, event_id)) filter (where setting='color'), -1) color from lv group by 1,2",
+    "s03_data_url_round_trip": f"select distinct image_id, 'image/png' mime, true same, '0000000800000008' size from {THUMBS}",
+    "t01_preset_colours": f"select n_layers, layer_id, color, count(*) n_over from {lit(THUMBS)} p join (select * from {presets(range(2, 13))} union all select * from {presets(range(14, 15))}) on luma >= upper where a >= 10 group by 1,2,3",
+    "x01_canvas": f"""with m as (select image_id, x, y, max(layer_id) layer_id from {masks(THUMBS)} where layer_id <> 1 or image_id%3 <> 0 group by 1,2,3)
+select image_id, coalesce({STACK_SQL}[layer_id%8+1], 'transparent') color, count(*) n_pixels from {THUMBS} p left join m using (image_id, x, y) group by 1,2""",
+    "k02_farthest_seeds": f"with {palette(4, 0)} select image_id, k, cast(r as int) r, cast(g as int) g, cast(b as int) b from pal0",
+    "k05_palette": f"with {palette(4, 12)} select * from pal",
+    "v09_rectangles": f"with {CANDS}, first as (select * from (select *, row_number() over (partition by doc_id, contour_id order by d2, seq, edge) n from cand) where n=1), {corners('first')} select doc_id, contour_id, {', '.join(f'round({c}{k}, 6) {c}{k}' for k in range(4) for c in 'xy')} from corner",
+    "v10_bridged_paths": f"with {BEST}, {corners('best')}, b as (select doc_id, count(*) n from corner group by 1) select doc_id, count(*) + coalesce(any_value(n), 0) n_paths, coalesce(any_value(n), 0) n_bridges from (select distinct doc_id, contour_id from e) left join b using (doc_id) group by 1",
+    "w3_bridged_documents": f"""with {BEST}, {corners('best')}, paths as (select doc_id, 0 part, contour_id, d from {path(RINGS)} union all
+ select doc_id, 1, contour_id, 'M ' || {" || ' L ' || ".join(f"{NUM.format(v=f'x{k}')} || ' ' || {NUM.format(v=f'y{k}')}" for k in range(4))} || ' Z' from corner)
+select doc_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000" width="1000" height="1000">' || string_agg('<path d="' || d || '" fill="#123456" fill-rule="evenodd"/>', '' order by part, contour_id) || '</svg>' svg from paths group by 1""",
+    "w1_realistic_layers": f"""with recursive p0 as (select image_id, x, y, r, g, b, a, luma from {lit(THUMBS)}), h as (select *, cast({blur_pass('luma', 'x', 'y', 2)} as float) hh from p0),
+sf as materialized (select image_id, x, y, r, g, b, a, cast(floor({blur_pass('hh', 'y', 'x', 2)}+0.5) as int) luma from h),
+mk as materialized (select image_id, layer_id, y*8+x idx from sf join {FOUR} on {INSIDE} where a >= 10), {reached('ink', 'mk')},
+big as materialized (select image_id, layer_id, idx from (select *, count(*) over (partition by image_id, layer_id, comp_id) n from ink) where n >= 3),
+gap as materialized (select l.image_id, l.layer_id, cast(i as int) idx from (select distinct image_id, layer_id from mk) l cross join range(64) t(i) anti join big b on b.image_id=l.image_id and b.layer_id=l.layer_id and b.idx=i), {reached('hole', 'gap')},
+inner_holes as (select image_id, layer_id, comp_id from hole group by 1,2,3 having count(*) < 3 and not bool_or(idx%8 in (0,7) or idx//8 in (0,7))),
+done as (select image_id, layer_id, count(*) ink from (select * from big union all select image_id, layer_id, idx from hole semi join inner_holes using (image_id, layer_id, comp_id)) group by 1,2),
+cl as (select image_id, layer_id, cast(floor(sum(r)/count(*)+0.5) as int) r, cast(floor(sum(g)/count(*)+0.5) as int) g, cast(floor(sum(b)/count(*)+0.5) as int) b from sf join {BANDS} bb on lower <= luma and luma < upper where a >= 10 group by 1,2)
+select i.image_id, t.layer_id, case when t.layer_id=0 then 'Layer 1 (Black)' when t.layer_id=3 then 'Layer 4 (White)' else 'Layer ' || (t.layer_id+1) end as name,
+ case when t.layer_id=0 then 'Darkest (0–' || cast(floor(upper/255::DOUBLE*100+0.5) as int) || '%)' else 'Tones ' || cast(floor(lower/255::DOUBLE*100+0.5) as int) || '–' || cast(floor(upper/255::DOUBLE*100+0.5) as int) || '%' end description,
+ lower, upper, '#' || printf('%02x%02x%02x', coalesce(r,0), coalesce(g,0), coalesce(b,0)) color, coalesce(ink, 0) ink
+from (select distinct image_id from sf) i cross join {BANDS} t left join cl using (image_id, layer_id) left join done using (image_id, layer_id)""",
+    "w2_colour_layers": f"""with recursive {reach("least(r,g,b) >= 240")}, bg as (select distinct image_id, comp_id from l where idx%8 in (0,7) or idx//8 in (0,7)), gone as (select l.image_id, idx from l join bg using (image_id, comp_id)),
+{palette(3, 12)}, ord as materialized (select *, row_number() over (partition by image_id order by (0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b)/255, k)-1 layer_id from pal),
+flat as materialized (select image_id, idx, layer_id from (select *, row_number() over (partition by image_id, idx order by d, k) n from (select p.image_id, p.idx, o.k, o.layer_id, {SQUARE.format(a="p", b="o")} d from px p join ord o using (image_id))) where n=1),
+mask as (select * from flat anti join gone using (image_id, idx)),
+bled as (select distinct image_id, layer_id, idx%8+dx x, idx//8+dy y from mask, (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dx,dy) where (layer_id > 0 or dx=0 and dy=0) and idx%8+dx between 0 and 7 and idx//8+dy between 0 and 7)
+select o.image_id, cast(o.layer_id as int) layer_id, 'Color ' || (k+1) as name, upper('#' || printf('%02x%02x%02x', r, g, b)) description, '#' || printf('%02x%02x%02x', r, g, b) color, coalesce(ink, 0) ink
+from ord o left join (select image_id, layer_id, count(*) ink from bled group by 1,2) using (image_id, layer_id)""",
+    "r03_settings": f"with {STATE} select session_id, mode, n_layers from st",
+    "r03_layer_state": f"""with {STATE}, si as (select session_id, max((ts, event_id)) s from lv where setting='layers' group by 1), ed as (select lv.* from lv left join si using (session_id) where setting in ('threshold','color') and (s is null or (ts, event_id) > s)),
+li as (select session_id, l layer_id, arg_max(least(254, greatest(1, value)), (ts, event_id)) lim from (select *, unnest(case when layer_id < 2 then [0,1] else [layer_id] end) l from ed where setting='threshold') group by 1,2),
+co as (select session_id, layer_id, arg_max(value, (ts, event_id)) shade from ed where setting='color' group by 1,2), tg as (select session_id, layer_id, count(*)%2 hidden from lv where setting='toggle' group by 1,2)
+select session_id, t.layer_id, n_layers, mode, coalesce(lim, upper) upper, coalesce('#' || lpad(printf('%X', shade), 6, '0'), color) color, coalesce(hidden, 0) hidden
+from st join {presets(range(2, 22))} using (n_layers) left join li using (session_id, layer_id) left join co using (session_id, layer_id) left join tg using (session_id, layer_id)""",
 }

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def bursts(edits: DataFrame, gap: str = "400 milliseconds") -> DataFrame:
     """One row for each burst of a session's edits: gaps under ``gap``; start, last event's time, count and last value.
 
-    Works on tables and streams; a stream needs its watermark set before (late edits are then dropped).
+    Works on tables and streams. A stream needs its watermark set before: an edit that is late by more than it is dropped, one that
+    is late by less joins its burst; a burst comes out once the watermark has passed its end.
     """
     last = F.struct("ts", "event_id")
     return edits.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events"), F.max_by("value", last).alias("last_value")).drop("w")
@@ -26,12 +30,93 @@ def folded(edits: DataFrame) -> DataFrame:
 
     Last value of thresholds and colours, and 1 for a hidden layer (an odd number of toggles).
     """
-    resets = edits.where("setting = 'reset'").groupBy("session_id").agg(F.max(F.struct("ts", "event_id")).alias("r"))
-    live = edits.where("setting <> 'reset'").join(resets, "session_id", "left").where(F.col("r").isNull() | (F.struct("ts", "event_id") > F.col("r")))
+    live = _after_reset(edits).where(F.col("setting").isin("toggle", "threshold", "color", "blur"))
     of = lambda s: F.when(F.col("setting") == s, F.struct("ts", "event_id"))
     return live.groupBy("session_id", "layer_id").agg((F.count_if(F.col("setting") == "toggle") % 2).alias("hidden"), F.max_by("value", of("threshold")).alias("threshold"), F.max_by("value", of("color")).alias("color"))
 
 
+DEFAULT_LAYERS = 4
+
+
+def settings(edits: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """(session_id, mode, n_layers) after the session's last reset: realistic and 4 by default; a layer count sets the number, and so
+    does switching to cartoon (value 1), to the session's estimate (session_id, n_colors) if there is one. The last of them counts."""
+    every = edits.select("session_id").distinct()
+    if estimates is None:
+        estimates = every.select("session_id", F.lit(None).cast("int").alias("n_colors"))
+    live = _after_reset(edits).join(estimates, "session_id", "left")
+    counts = (F.col("setting") == "layers") | (F.col("setting") == "mode") & (F.col("value") == 1) & F.col("n_colors").isNotNull()
+    order = F.struct("ts", "event_id")
+    found = live.groupBy("session_id").agg(
+        F.max_by("value", F.when(F.col("setting") == "mode", order)).alias("mode"),
+        F.max_by(F.when(F.col("setting") == "layers", F.col("value")).otherwise(F.col("n_colors")), F.when(counts, order)).alias("n"),
+    )
+    mode = F.when(F.col("mode") == 1, "cartoon").otherwise("realistic")
+    return every.join(found, "session_id", "left").select("session_id", mode.alias("mode"), F.coalesce("n", F.lit(DEFAULT_LAYERS)).cast("int").alias("n_layers"))
+
+
+def layer_state(edits: DataFrame, presets: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """(session_id, layer_id, n_layers, upper, color, hidden): every layer of every session's state.
+
+    Limits and colours are those of ``presets`` (n_layers, layer_id, upper, color) for the session's number of layers, and the last
+    edits of them since the last layer count or reset; limits are held between 1 and 254, and layers 0 and 1 share theirs.
+    """
+    own = settings(edits, estimates)
+    order = F.struct("ts", "event_id")
+    live = _after_reset(edits)
+    since = live.where("setting = 'layers'").groupBy("session_id").agg(F.max(order).alias("s"))
+    edited = live.where(F.col("setting").isin("threshold", "color")).join(since, "session_id", "left").where(F.col("s").isNull() | (order > F.col("s")))
+    limit = edited.where("setting = 'threshold'").withColumn("layer_id", F.explode(F.when(F.col("layer_id") < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("layer_id"))))
+    limit = limit.groupBy("session_id", "layer_id").agg(F.max_by(F.least(F.lit(254), F.greatest(F.lit(1), F.col("value"))), order).alias("limit"))
+    shade = edited.where("setting = 'color'").groupBy("session_id", "layer_id").agg(F.max_by("value", order).alias("shade"))
+    toggles = live.where("setting = 'toggle'").groupBy("session_id", "layer_id").agg((F.count("*") % 2).alias("hidden"))
+    every = own.join(F.broadcast(presets), "n_layers")
+    for more in (limit, shade, toggles):
+        every = every.join(more, ["session_id", "layer_id"], "left")
+    return every.select("session_id", "layer_id", "n_layers", "mode", F.coalesce("limit", "upper").cast("int").alias("upper"), F.coalesce(F.concat(F.lit("#"), F.lpad(F.hex("shade"), 6, "0")), "color").alias("color"), F.coalesce("hidden", F.lit(0)).cast("long").alias("hidden"))
+
+
+def _after_reset(edits: DataFrame) -> DataFrame:
+    resets = edits.where("setting = 'reset'").groupBy("session_id").agg(F.max(F.struct("ts", "event_id")).alias("r"))
+    return edits.where("setting <> 'reset'").join(resets, "session_id", "left").where(F.col("r").isNull() | (F.struct("ts", "event_id") > F.col("r"))).drop("r")
+
+
+STATE = "session_id long, layer_id int, hidden long, threshold int, color int"
+
+
+def streamed_state_with_resets(edits: DataFrame):
+    """The state of each session as a stream, resets and all: rows of the layers that a batch's edits have touched.
+
+    A session's state is its edits' outcome (a few numbers for each layer and the time of the last reset), kept by
+    ``applyInPandasWithState``; an edit from before the last reset changes nothing, nor does one older than what it would replace.
+    """
+
+    def fold(key, batches, state) -> Iterator[pd.DataFrame]:
+        reset, layers = pickle.loads(state.get[0]) if state.exists else ((pd.Timestamp.min, -1), {})
+        touched = set()
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for ts, event, setting, layer, value in rows[["ts", "event_id", "setting", "layer_id", "value"]].itertuples(index=False, name=None):
+            at = (ts, event)
+            if at <= reset:
+                continue
+            if setting == "reset":
+                reset, layers = at, {k: kept for k, v in layers.items() if (kept := [x for x in v if x[0] > at])}
+                continue
+            layers.setdefault(layer, [])
+            layers[layer] = [x for x in layers[layer] if setting == "toggle" or x[1] != setting or x[0] > at]
+            if setting == "toggle" or not any(x[1] == setting for x in layers[layer]):
+                layers[layer].append((at, setting, value))
+            touched.add(layer)
+        state.update((pickle.dumps((reset, layers)),))
+        out = []
+        for k in sorted(touched & layers.keys()):
+            last = {s: v for _, s, v in sorted(layers[k]) if s != "toggle"}
+            out.append((key[0], k, sum(x[1] == "toggle" for x in layers[k]) % 2, last.get("threshold"), last.get("color")))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")]).astype({"threshold": "Int32", "color": "Int32"})
+
+    return edits.groupBy("session_id").applyInPandasWithState(fold, STATE, "kept binary", "update", GroupStateTimeout.NoTimeout)
+
+
 def streamed_state(edits: DataFrame) -> DataFrame:
     """The same as a stream without resets: one aggregate by session and layer, for complete or update mode."""
     of = lambda s: F.when(F.col("setting") == s, F.struct("ts", "event_id"))

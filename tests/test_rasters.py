@@ -1,10 +1,12 @@
 """Hand-made masks, round trips and streams."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratacut.operators import bridges, components, export, neighborhood, palette, vector
+from stratacut.operators import bridges, components, compose, export, neighborhood, palette, vector, workloads
 from stratacut.sources import fixtures, raster_io
 from stratacut.streaming import live
 
@@ -97,10 +99,12 @@ def test_palette_never_gets_worse(spark, sf):
 def test_streams(spark, sf, tmp_path):
     edits = fixtures.edit_events(spark, sf)
     edits.repartition(3).write.parquet(f"{tmp_path}/edits")
-    stream = spark.readStream.schema(edits.schema).parquet(f"{tmp_path}/edits").withWatermark("ts", "30 days")
+    stream = spark.readStream.schema(edits.schema).parquet(f"{tmp_path}/edits").withWatermark("ts", "1 day")
     live.bursts(stream, "6 hours").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination()
-    got = {tuple(r) for r in spark.table("bursts").collect()}
-    assert got <= {tuple(r) for r in live.bursts(edits, "6 hours").collect()}
+    got, every = {tuple(r) for r in spark.table("bursts").collect()}, live.bursts(edits, "6 hours").collect()
+    last = edits.agg(F.max("ts")).first()[0]
+    over = {tuple(r) for r in every if r.last_ts + timedelta(hours=6) <= last - timedelta(days=1)}  # those that the watermark has passed
+    assert got == over and over
     state = spark.readStream.schema(edits.schema).parquet(f"{tmp_path}/edits").where("setting <> 'reset'")
     live.streamed_state(state).writeStream.format("memory").queryName("state").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.table("state").collect()} == {tuple(r) for r in live.folded(edits.where("setting <> 'reset'")).collect()}
@@ -109,3 +113,74 @@ def test_streams(spark, sf, tmp_path):
     arriving = spark.readStream.schema(pixels.schema).parquet(f"{tmp_path}/pixels")
     live.arriving(arriving, palette.estimate_count, f"{tmp_path}/counts", f"{tmp_path}/c3").awaitTermination()
     assert {(r.image_id, r.n_colors) for r in spark.read.parquet(f"{tmp_path}/counts").collect()} == {tuple(r) for r in palette.estimate_count(pixels).collect()}
+
+
+EDIT = "session_id long, event_id long, ts timestamp, setting string, layer_id int, value int"
+
+
+def in_turn(spark, folder, schema, make, mode, *parts):
+    """Rows that a stream over ``parts``, one a batch, gives: (batch, row)."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    out = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    make(stream).writeStream.outputMode(mode).foreachBatch(lambda df, k: out.extend((k, r) for r in df.collect())).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    return [r for _, r in sorted(out, key=lambda x: x[0])]
+
+
+def test_late_edits(spark, tmp_path):
+    """Late by more than the watermark: dropped; by less: it changes the session's burst."""
+    day = lambda d, h: datetime(2024, 1, d, h)
+    first = [(1, 1, day(1, 10), "color", 0, 5), (1, 2, day(1, 12), "color", 0, 6), (2, 3, day(3, 10), "color", 0, 7)]
+    second = [(1, 4, day(1, 11), "color", 0, 8), (2, 5, day(3, 8), "color", 0, 9)]  # the watermark is day 2, 10 o'clock
+    between, third = [(4, 7, day(3, 9), "color", 0, 3)], [(3, 6, day(20, 0), "color", 0, 1)]  # a batch's watermark drops rows from the next but one on
+    make = lambda stream: live.bursts(stream.withWatermark("ts", "1 day"), "6 hours")
+    rows = [(r.session_id, r.first_ts, r.n_events, r.last_value) for r in in_turn(spark, tmp_path, EDIT, make, "append", first, between, second, third)]
+    assert sorted(rows) == [(1, day(1, 10), 2, 6), (2, day(3, 8), 2, 7), (4, day(3, 9), 1, 3)]
+
+
+def test_streamed_state_with_resets(spark, sf, tmp_path):
+    edits = fixtures.edit_events(spark, sf).where("setting <> 'blur' and session_id % 5 = 0")
+    edits = edits.select(*[F.col(c).cast(t) for c, t in (x.split() for x in EDIT.split(", "))])
+    rows = sorted((tuple(r) for r in edits.collect()), key=lambda r: (r[2], r[1]))
+    cut = len(rows) // 3
+    parts = rows[:cut] + rows[cut + 1 : cut + 9], rows[cut : cut + 1] + rows[cut + 9 : 2 * cut], rows[2 * cut :]  # one edit comes late
+    last = {(r.session_id, r.layer_id): tuple(r) for r in in_turn(spark, tmp_path, EDIT, live.streamed_state_with_resets, "update", *parts)}
+    expect = [tuple(r) for r in live.folded(edits).collect()]
+    assert expect and all(last[r[:2]] == r for r in expect)
+    assert len({r[0] for r in rows if r[3] == "reset"}) > 1
+
+
+def test_arriving_pictures(spark, sf, tmp_path):
+    pixels = fixtures.thumbs(spark, sf).where("image_id < 9")
+    pixels.repartition(3, "image_id").write.parquet(f"{tmp_path}/pixels")
+    stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/pixels")
+    live.arriving(stream, palette.estimate_count, f"{tmp_path}/counts", f"{tmp_path}/c").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/counts")
+    assert got.select("batch").distinct().count() > 1
+    assert sorted((r.image_id, r.n_colors) for r in got.collect()) == sorted(tuple(r) for r in palette.estimate_count(pixels).collect())
+
+
+def test_bridged_stacks(spark, sf):
+    """Bridges cut ink only, every layer and mode gets them, and enclosed pieces become fewer."""
+    pixels = fixtures.thumbs(spark, sf).where("image_id < 12")
+    images = neighborhood.images_of(pixels)
+
+    def enclosed(masks):
+        cut = components.label(components.complement(neighborhood.runs(masks), images, masks.select("image_id", "layer_id").distinct()), images)
+        return components.facts(cut, images).groupBy("image_id", "layer_id").count().where("count > 1").count()
+
+    for stack in (workloads.tone_stack(pixels, 4, cleanup=2, bridge=True), workloads.colour_stack(pixels, 3, bridge=True, least=1)):
+        assert stack.masks.join(stack.clean, ["image_id", "layer_id", "x", "y"], "left_anti").count() == 0
+        chosen = stack.listed.where("selected")
+        assert chosen.select("layer_id").distinct().count() > 1 and chosen.where("layer_id = 0").count() > 0
+        assert enclosed(stack.masks) < enclosed(stack.clean)
+        drawn = compose.on_canvas(pixels, compose.composite(stack.masks, stack.layers))
+        assert drawn.count() == pixels.count() and drawn.where("color is null").count() > 0
+
+
+def test_own_number_of_colours(spark, sf):
+    pixels = fixtures.swatches(spark, sf).where("image_id < 4")
+    counts = {r.image_id: r.n_colors for r in palette.estimate_count(pixels).collect()}
+    made = {r.image_id: r["count"] for r in workloads.colour_stack(pixels, None, bleed=0).layers.groupBy("image_id").count().collect()}
+    assert made.keys() == counts.keys() and all(2 <= made[k] <= counts[k] for k in made)
