@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacut.operators.components import _saved
+
+SLABS = 64
 NUMBER = re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?")
 COMMAND = re.compile(r"([MLHVCSQTAZz])([^A-Za-z]*)")
 
@@ -153,12 +157,57 @@ def candidates(vertices: DataFrame) -> DataFrame:
     return f.select("doc_id", "contour_id", "mainland", "seq", "edge", "x", "y", F.col("f.x").alias("fx"), F.col("f.y").alias("fy"), F.round("f.d2", 9).alias("d2"))
 
 
+def in_slabs(segments: DataFrame, extent: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """``segments`` once for each of the ``SLABS`` vertical slabs of their document (doc_id, low, size) that they reach, as slab.
+
+    What meets shares a slab, so joins by (doc_id, slab) compare neighbours, and a large document isn't one key.
+    """
+    at = lambda v: F.floor((v - F.col("low")) / F.col("size")).cast("int")
+    reach = F.sequence(at(F.least(*ends)), at(F.greatest(*ends)))
+    return segments.join(extent, "doc_id").withColumn("slab", F.explode(reach)).drop("low", "size")
+
+
+def extents(vertices: DataFrame) -> DataFrame:
+    """(doc_id, low, size): where a document's slabs begin, and how wide they are."""
+    sides = vertices.groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return sides.select("doc_id", "low", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / SLABS).otherwise(1.0).alias("size"))
+
+
 def clear(found: DataFrame, vertices: DataFrame, margin: float = 1e-4) -> DataFrame:
-    """Candidates that cross no third contour: an anti join by document, prefiltered by bounding boxes."""
-    walls = edges(vertices).select(F.col("doc_id").alias("_d"), F.col("contour_id").alias("_c"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("nx").alias("vx"), F.col("ny").alias("vy"))
+    """Candidates that cross no third contour: those that do are found slab by slab among edges whose boxes meet theirs."""
+    extent = extents(vertices)
+    walls = edges(vertices).select("doc_id", F.col("contour_id").alias("_c"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("nx").alias("vx"), F.col("ny").alias("vy"))
     box = (F.least("x", "fx") <= F.greatest("wx", "vx")) & (F.greatest("x", "fx") >= F.least("wx", "vx")) & (F.least("y", "fy") <= F.greatest("wy", "vy")) & (F.greatest("y", "fy") >= F.least("wy", "vy"))
     hit = cross(tuple(F.col(c) for c in ("x", "y", "fx", "fy")), tuple(F.col(c) for c in ("wx", "wy", "vx", "vy")), margin)
-    return found.join(walls, (F.col("doc_id") == F.col("_d")) & (F.col("_c") != F.col("contour_id")) & (F.col("_c") != F.col("mainland")) & box & hit, "left_anti")
+    key = ["doc_id", "contour_id", "seq", "edge"]
+    met = in_slabs(found, extent, ("x", "fx")).join(in_slabs(walls, extent, ("wx", "vx")), ["doc_id", "slab"])
+    crossing = met.where((F.col("_c") != F.col("contour_id")) & (F.col("_c") != F.col("mainland")) & box & hit).select(*key).distinct()
+    return found.join(crossing, key, "left_anti")
+
+
+def crossings(vertices: DataFrame, margin: float) -> DataFrame:
+    """(doc_id, c1, c2, n): how many edges of two contours of a document cross; each pair of edges counts in the first slab that both reach."""
+    extent = extents(vertices)
+    side = lambda k: edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))
+    one, two = (in_slabs(side(k).join(extent, "doc_id").withColumn(f"f{k}", F.floor((F.least(f"x{k}", f"nx{k}") - F.col("low")) / F.col("size")).cast("int")).drop("low", "size"), extent, (f"x{k}", f"nx{k}")) for k in (1, 2))
+    hit = cross(*(tuple(F.col(f"{c}{k}") for c in ("x", "y", "nx", "ny")) for k in (1, 2)), margin)
+    met = one.join(two, ["doc_id", "slab"]).where((F.col("c1") < F.col("c2")) & (F.col("slab") == F.greatest("f1", "f2")) & hit)
+    return met.groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
+
+
+def shortest_clear(found: DataFrame, vertices: DataFrame, first: int = 8) -> DataFrame:
+    """The shortest clear bridge of each island: candidates are tested in order of length, a few of each island at a time and four
+    times as many in each further round, and islands that have theirs test no more."""
+    order = Window.partitionBy("doc_id", "contour_id").orderBy("d2", "seq", "edge")
+    left = _saved(found.withColumn("_r", F.row_number().over(order)))
+    done, low, many = [], 0, first
+    while True:
+        some = left.where((F.col("_r") > low) & (F.col("_r") <= low + many)).drop("_r")
+        if some.isEmpty():
+            return reduce(DataFrame.unionByName, done) if done else some
+        done.append(_saved(shortest(clear(some, vertices))))
+        left = left.join(done[-1].select("doc_id", "contour_id"), ["doc_id", "contour_id"], "left_anti")
+        low, many = low + many, 4 * many
 
 
 def shortest(found: DataFrame) -> DataFrame:
@@ -206,7 +255,7 @@ def bridged_paths(vertices: DataFrame, width: float = 3, tolerance: float = 0) -
     full = vertices
     vertices = simplify(vertices, tolerance) if tolerance > 0 else vertices
     shapes = ring_arrays(full).select("doc_id", F.concat(F.lit("c"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("points")).alias("d"))
-    joins = shortest(clear(candidates(vertices), vertices)).withColumn("box", bridge_rectangle(width)).where("box is not null")
+    joins = shortest_clear(candidates(vertices), vertices).withColumn("box", bridge_rectangle(width)).where("box is not null")
     return shapes.unionByName(joins.select("doc_id", F.concat(F.lit("x"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("box")).alias("d")))
 
 

@@ -295,11 +295,7 @@ def b05_line_pixels(spark, sf):
 @query
 def b07_crossings(spark, sf):
     """Pairs of ring edges of neighbouring contours of a document that cross."""
-    e = vector.edges(fixtures.rings(spark, sf))
-    a = e.select("doc_id", F.col("contour_id").alias("c1"), F.col("seq").alias("s1"), *(F.col(c).alias(f"a{c}") for c in ("x", "y", "nx", "ny")))
-    b = e.select("doc_id", F.col("contour_id").alias("c2"), F.col("seq").alias("s2"), *(F.col(c).alias(f"b{c}") for c in ("x", "y", "nx", "ny")))
-    hit = vector.cross(tuple(F.col(f"a{c}") for c in ("x", "y", "nx", "ny")), tuple(F.col(f"b{c}") for c in ("x", "y", "nx", "ny")), 0.01)
-    return a.join(b, "doc_id").where((F.col("c1") < F.col("c2")) & hit).groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
+    return vector.crossings(fixtures.rings(spark, sf), 0.01)
 
 
 def stack_inputs(spark, sf):
@@ -405,7 +401,7 @@ def v06_feet(spark, sf):
 @query
 def v07_v08_shortest_bridges(spark, sf):
     rings = fixtures.rings(spark, sf)
-    best = vector.shortest(vector.clear(vector.candidates(rings), rings))
+    best = vector.shortest_clear(vector.candidates(rings), rings)
     return best.select("doc_id", "contour_id", "seq", "edge", F.round("d2", 6).alias("d2"))
 
 
