@@ -83,9 +83,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         settle()
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    gone, made = fresh("_gone", docs.columns), fresh("_made", docs.columns)
+    gone, made, of = (fresh(c, docs.columns) for c in ("_gone", "_made", "_of"))
     n_lines, n_dropped = fresh("n_lines", docs.columns), fresh("n_dropped", docs.columns)
-    joined = docs.join(drops.select(F.col("doc_id").alias("_of"), F.col("keys").alias(gone)), F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    joined = docs.join(drops.select(F.col("doc_id").alias(of), F.col("keys").alias(gone)), F.col("doc_id") == F.col(of), "left").drop(of)
     return joined.withColumn(made, rebuild("text", gone)).select(
         *[F.col(f"{made}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.col(f"{made}.n_lines").alias(n_lines), F.col(f"{made}.n_dropped").alias(n_dropped),

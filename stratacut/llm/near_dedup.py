@@ -164,6 +164,8 @@ def likely(texts: DataFrame, counters: int) -> tuple[DataFrame, int, int]:
                     held, pending = [], 0
         own = np.concatenate([*held, np.zeros(0, np.uint64)])
         keys, counts = _heaviest(np.concatenate([keys, own]), np.concatenate([counts, np.ones(len(own), np.int64)]), counters)
+        some = counts > RARE / 2 * n_docs  # a key that few of a task's documents have may go: that takes no more than RARE / 2 of all documents off
+        keys, counts = keys[some], counts[some]
         n = len(keys)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys.view(np.int64), [0, 0])), pa.array(np.append(counts, [n_docs, total])), pa.array([0] * n + [1, 2], pa.int32())], ["key", "n", "kind"])
 
@@ -175,11 +177,11 @@ def likely(texts: DataFrame, counters: int) -> tuple[DataFrame, int, int]:
 def weights(texts: DataFrame, counters: int = COUNTERS) -> Weights:
     """Exact document frequencies of all shingles that more than ``RARE`` of the documents have."""
     summed, n_docs, total = likely(texts, counters)
-    while 2 * total >= RARE * n_docs * (counters + 1) and total:  # a summary's counts are short by total / (counters + 1) at most
+    while 4 * total >= RARE * n_docs * (counters + 1) and total:  # counts are short by total / (counters + 1) at most, and by RARE / 2 * n_docs
         counters *= 2
         summed, n_docs, total = likely(texts, counters)
-    # a key that is frequent enough has at least this much left in the summary: at most 2 * mean length / RARE rows
-    some = summed.where(F.col("n") > F.lit(RARE * n_docs - total / (counters + 1))).select("key").collect()
+    # a key that is frequent enough has at least this much left in the summary: at most 4 * mean length / RARE rows
+    some = summed.where(F.col("n") > F.lit(RARE / 2 * n_docs - total / (counters + 1))).select("key").collect()
     given = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in some], np.int64).view(np.uint64)))
 
     @settled
@@ -345,11 +347,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, counters: int
     degrees = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     named = alike.select("content", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degrees, "doc_id", "left")
     named = stored(named.select("content", F.coalesce("label", "doc_id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    members = stored(made.select("doc_id", "content").join(named.hint("merge"), "content").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), F.col("n_links").alias("_links")))
-    final = members.groupBy("_id").agg(F.min("_class").alias("_class"), F.max("_links").alias("_links"))
-    out = docs.join(final, F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn(fresh("class_id", docs.columns), F.coalesce("_class", F.col("doc_id").cast("long")))
-    return out.withColumn(fresh("n_links", docs.columns), F.coalesce("_links", F.lit(0)).cast("long")).drop("_id", "_class", "_links")
+    key, label, count = (fresh(c, docs.columns) for c in ("_id", "_class", "_links"))
+    members = stored(made.select("doc_id", "content").join(named.hint("merge"), "content").select(F.col("doc_id").alias(key), F.col("class").alias(label), F.col("n_links").alias(count)))
+    final = members.groupBy(key).agg(F.min(label).alias(label), F.max(count).alias(count))
+    out = docs.join(final, F.col("doc_id") == F.col(key), "left")
+    out = out.withColumn(fresh("class_id", docs.columns), F.coalesce(label, F.col("doc_id").cast("long")))
+    return out.withColumn(fresh("n_links", docs.columns), F.coalesce(count, F.lit(0)).cast("long")).drop(key, label, count)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

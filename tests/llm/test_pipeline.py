@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 import corpus_pipeline
 from stratacut.llm import packing
 
@@ -24,6 +26,36 @@ def test_stages(spark, sf, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in docs.collect()) == expect
 
 
+LONG = "a line that several documents share, word for word and to the end"
+
+
+def odd_rows(spark, sf):
+    """Rows of every odd kind, with columns whose names the stages use themselves."""
+    texts = [(1, None), (2, ""), (3, LONG), (3, LONG), (4, f"{LONG}\nown words of the fourth"), (5, f"{LONG}\n" + "many words follow here " * 5000), (None, "no id, but a text"), (None, None), (6, " \n\t\n ")]
+    rows = [(d, t, "en", "s", None if t is None else len(t), 0.5, 7, 8, 9, b"x", "y", 1) for d, t in texts]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality_score double, n_lines int, class_id int, _id int, _gone binary, n_words string, _class int")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows(spark, sf, k):
+    docs, (_, stage) = odd_rows(spark, sf), corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, sf)
+    rows = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows) and all(r.class_id == 8 and r._id == 9 and r._class == 1 for r in rows)
+    ids = sorted(r.doc_id or 0 for r in rows)
+    if k in (1, 3):
+        assert ids == [0, 0, 1, 2, 3, 3, 4, 5, 6]
+    if k == 1:
+        assert [r.text for r in rows if r.doc_id == 4] == ["own words of the fourth"] and [r.text for r in rows if r.doc_id == 3] == ["", ""]
+    if k == 2:
+        assert ids == [0, 0, 1, 2, 3, 4, 5, 6]  # equal rows of one id are one document
+    if k == 4:
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and set(ids) == {0, 1, 2, 3, 4, 5, 6}
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_registered(spark):
     import __spark_entry__
 
