@@ -19,9 +19,13 @@ RUNS = "image_id long, layer_id int, y int, x0 int, x1 int, strip int, comp_id l
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """A table in the shared checkpoint folder (below /tmp only where none is set)."""
+    """A table in the shared checkpoint folder; where none is set, one below /tmp in local mode only."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file:///tmp/checkpoints"
     path = f"{folder.rstrip('/')}/c-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

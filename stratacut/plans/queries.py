@@ -325,6 +325,36 @@ def b08_best_candidates(spark, sf):
     return bridges.best_candidates(found).select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", "tier", F.round("score", 6).alias("score"))
 
 
+def thumb_candidates(spark, sf):
+    """Bridge candidates of all four layers of every small picture, and the lightest layer as their cover."""
+    pixels = fixtures.thumbs(spark, sf)
+    masks = band_masks(spark, pixels)
+    return bridges.candidates(masks, neighborhood.images_of(pixels), bridges=3, each=8, least=2), masks.where("layer_id = 3").select("image_id", "x", "y")
+
+
+@query
+def b02_b03_thumb_targets(spark, sf):
+    return thumb_candidates(spark, sf)[0]
+
+
+@query
+def b06_thumb_coverage(spark, sf):
+    return bridges.coverage(*thumb_candidates(spark, sf)).select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", "target", F.round("coverage", 6).alias("coverage"))
+
+
+@query
+def b08_thumb_best(spark, sf):
+    best = bridges.best_candidates(bridges.coverage(*thumb_candidates(spark, sf)))
+    return best.select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", "target", "tier", F.round("score", 6).alias("score"))
+
+
+@query
+def b05_line_members(spark, sf):
+    """Every pixel of lines between points of every small picture."""
+    ends = fixtures.thumbs(spark, sf).where("x = 0").select("image_id", F.lit(0).alias("sx"), F.col("y").alias("sy"), (F.col("r") % 20).alias("tx"), (F.col("g") % 20).alias("ty"))
+    return bridges.line_pixels(ends)
+
+
 @query
 def b09_b16_choice(spark, sf):
     mask, images, upper = stack_inputs(spark, sf)

@@ -159,6 +159,30 @@ lv as (select ev.*, n_colors from ev left join rs using (session_id) left join e
 st as (select s.session_id, case when m.mode=1 then 'cartoon' else 'realistic' end as mode, coalesce(m.n, 4) n_layers from (select distinct session_id from ev) s left join
  (select session_id, arg_max(value, (ts, event_id)) filter (where setting='mode') as mode, arg_max(case when setting='layers' then value else n_colors end, (ts, event_id)) filter (where setting='layers' or setting='mode' and value=1 and n_colors is not null) n from lv group by 1) m using (session_id))"""
 
+def line_members(segments: str) -> str:
+    """View ln: the pixels (seq, x, y) of segments (image_id, sx, sy, tx, ty) by the error term of the line."""
+    dx, dy = "abs(tx-sx)", "abs(ty-sy)"
+    return f"""ln as (select image_id, sx, sy, tx, ty, 0 seq, sx x, sy y, {dx}-{dy} err from {segments} union all
+ select image_id, sx, sy, tx, ty, seq+1, x + case when 2*err > -{dy} then case when sx < tx then 1 else -1 end else 0 end, y + case when 2*err < {dx} then case when sy < ty then 1 else -1 end else 0 end,
+ err - case when 2*err > -{dy} then {dy} else 0 end + case when 2*err < {dx} then {dx} else 0 end from ln where x <> tx or y <> ty)"""
+
+
+TURN = "(atan2(y-cy, x-cx)+pi())"
+TURNED = [f"(case when abs({TURN}-{c}) > pi() then 2*pi()-abs({TURN}-{c}) else abs({TURN}-{c}) end)" for c in ("0", "(2*pi()/3)", "(4*pi()/3)")]
+TARGETS = f"""mk as materialized (select image_id, layer_id, y*8+x idx from {masks(THUMBS)}),
+gap as materialized (select l.image_id, l.layer_id, cast(i as int) idx from (select distinct image_id, layer_id from mk) l cross join range(64) t(i) anti join mk b on b.image_id=l.image_id and b.layer_id=l.layer_id and b.idx=i), {reached('hole', 'gap')},
+fa as (select image_id, layer_id, comp_id, count(*) area, avg(idx%8) cx, avg(idx//8) cy from hole group by 1,2,3),
+kn as (select *, n=1 mainland from (select *, row_number() over (partition by image_id, layer_id order by area desc, comp_id) n from fa) where n=1 or area >= 2),
+pt as materialized (select distinct h.image_id, h.layer_id, h.comp_id, h.idx, h.idx%8 x, h.idx//8 y, area, mainland, cx, cy from hole h join kn using (image_id, layer_id, comp_id) join mk m on m.image_id=h.image_id and m.layer_id=h.layer_id and abs(m.idx%8-h.idx%8)+abs(m.idx//8-h.idx//8)=1),
+se as (select *, case when {TURNED[0]} <= {TURNED[1]} and {TURNED[0]} <= {TURNED[2]} then 0 when {TURNED[1]} <= {TURNED[2]} then 1 else 2 end sector from pt where not mainland),
+sr as (select *, row_number() over (partition by image_id, layer_id, comp_id, sector order by idx)-1 r, count(*) over (partition by image_id, layer_id, comp_id, sector) n from se),
+so as (select * from sr where n <= 8 or list_contains(list_transform(range(8), lambda i: cast(floor(i*(n/8::DOUBLE)) as bigint)), r)),
+ca as materialized (select s.image_id, s.layer_id, s.comp_id island, s.area, s.sector, s.x sx, s.y sy, t.comp_id target, t.mainland, arg_min(t.x, ((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*64+t.idx) tx, arg_min(t.y, ((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*64+t.idx) ty
+ from so s join pt t on t.image_id=s.image_id and t.layer_id=s.layer_id and (t.mainland or t.comp_id <> s.comp_id and t.area > s.area) group by all)"""
+COVERED = f"""{TARGETS}, sg as (select distinct image_id, sx, sy, tx, ty from ca), {line_members('sg')},
+up as (select image_id, idx%8 x, idx//8 y, 1 c from mk where layer_id=3), cv as (select image_id, sx, sy, tx, ty, count(c)/count(*)::DOUBLE coverage from ln left join up using (image_id, x, y) group by 1,2,3,4,5),
+fo as materialized (select * from ca join cv using (image_id, sx, sy, tx, ty))"""
+
 ORACLES = {
     "s02_decode_data_urls": f"select upload_id, regexp_extract(url, '^data:([^;,]*)', 1) mime, octet_length(from_base64(split_part(url, ',', 2))) n_bytes, md5(from_base64(split_part(url, ',', 2))) md5 from {URLS} where url like 'data:image/%'",
     "s05_shrink": f"""with s as (select p.*, width, height, least(1.0::DOUBLE, 12.0::DOUBLE/greatest(width,height)) k from {SWATCHES} p join {SIZE.format(v=SWATCHES)} using (image_id))
@@ -263,4 +287,10 @@ li as (select session_id, l layer_id, arg_max(least(254, greatest(1, value)), (t
 co as (select session_id, layer_id, arg_max(value, (ts, event_id)) shade from ed where setting='color' group by 1,2), tg as (select session_id, layer_id, count(*)%2 hidden from lv where setting='toggle' group by 1,2)
 select session_id, t.layer_id, n_layers, mode, coalesce(lim, upper) upper, coalesce('#' || lpad(printf('%X', shade), 6, '0'), color) color, coalesce(hidden, 0) hidden
 from st join {presets(range(2, 22))} using (n_layers) left join li using (session_id, layer_id) left join co using (session_id, layer_id) left join tg using (session_id, layer_id)""",
+    "b02_b03_thumb_targets": f"with recursive {TARGETS} select * from ca",
+    "b06_thumb_coverage": f"with recursive {COVERED} select image_id, layer_id, island, sector, sx, sy, tx, ty, target, round(coverage, 6) coverage from fo",
+    "b08_thumb_best": f"""with recursive {COVERED}, le as (select *, sqrt(cast((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy) as double)) len from fo),
+sc as (select *, coverage*10000-len-0-0-len*0.1::DOUBLE+case when mainland then 200 else 0 end score, case when coverage >= 0.9::DOUBLE then 0 when coverage >= 0.8::DOUBLE then 1 when coverage >= 0.7::DOUBLE then 2 when coverage >= 0.6::DOUBLE then 3 else 4 end tier from le)
+select image_id, layer_id, island, sector, sx, sy, tx, ty, target, tier, round(score, 6) score from (select *, row_number() over (partition by image_id, layer_id, island, sector order by tier, score desc, sy, sx, mainland desc, target) n from sc) where n=1""",
+    "b05_line_members": f"with recursive sg as (select distinct image_id, 0 sx, y sy, r%20 tx, g%20 ty from {THUMBS} where x=0), {line_members('sg')} select image_id, sx, sy, tx, ty, seq, x, y from ln",
 }
