@@ -101,8 +101,17 @@ def linked_width(height_mm: Column, width: Column, height: Column) -> Column:
     return rounded(height_mm * (width / height)).cast("long")
 
 
-def file_name(layer_id: Column) -> Column:
-    return F.concat(F.lit("stencil-layer-"), F.lpad((layer_id + 1).cast("string"), 2, "0"), F.lit(".svg"))
+def file_name(layer_id: Column, mode: Column | None = None) -> Column:
+    """The name of a layer's document in a whole export, or, with its ``mode``, of one saved by itself."""
+    number = (layer_id + 1).cast("string")
+    if mode is None:
+        return F.concat(F.lit("stencil-layer-"), F.lpad(number, 2, "0"), F.lit(".svg"))
+    return F.concat(F.lit("stencil-"), mode, F.lit("-layer-"), number, F.lit(".svg"))
+
+
+def save_documents(found: DataFrame, path: str) -> None:
+    """Write (file, svg) as text, a folder for each file name."""
+    found.select("file", "svg").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def with_svg_marks(svg: Column, width: Column, height: Column, arm: int = 14, thick: int = 3, margin: int = 24, color: str = "black") -> Column:

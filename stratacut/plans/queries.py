@@ -52,6 +52,13 @@ def s07_file_names(spark, sf):
     return band_masks(spark, fixtures.thumbs(spark, sf)).groupBy("layer_id").count().select(export.file_name(F.col("layer_id")).alias("file"), F.col("count").alias("n_pixels"))
 
 
+@query
+def s07_mode_file_names(spark, sf):
+    ink = band_masks(spark, fixtures.thumbs(spark, sf)).groupBy("layer_id").count()
+    modes = ink.select("layer_id", "count", F.explode(F.array(F.lit("realistic"), F.lit("cartoon"))).alias("mode"))
+    return modes.select(export.file_name(F.col("layer_id"), F.col("mode")).alias("file"), F.col("count").alias("n_pixels"))
+
+
 @query
 def s09_enlarged_pixels(spark, sf):
     pixels = fixtures.thumbs(spark, sf).select("image_id", F.lit(0).alias("layer_id"), "x", "y", "r", "g", "b", "a")

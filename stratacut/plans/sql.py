@@ -293,4 +293,5 @@ from st join {presets(range(2, 22))} using (n_layers) left join li using (sessio
 sc as (select *, coverage*10000-len-0-0-len*0.1::DOUBLE+case when mainland then 200 else 0 end score, case when coverage >= 0.9::DOUBLE then 0 when coverage >= 0.8::DOUBLE then 1 when coverage >= 0.7::DOUBLE then 2 when coverage >= 0.6::DOUBLE then 3 else 4 end tier from le)
 select image_id, layer_id, island, sector, sx, sy, tx, ty, target, tier, round(score, 6) score from (select *, row_number() over (partition by image_id, layer_id, island, sector order by tier, score desc, sy, sx, mainland desc, target) n from sc) where n=1""",
     "b05_line_members": f"with recursive sg as (select distinct image_id, 0 sx, y sy, r%20 tx, g%20 ty from {THUMBS} where x=0), {line_members('sg')} select image_id, sx, sy, tx, ty, seq, x, y from ln",
+    "s07_mode_file_names": f"select 'stencil-' || mode || '-layer-' || (layer_id+1) || '.svg' file, count(*) n_pixels from {masks(THUMBS)}, (values ('realistic'), ('cartoon')) m(mode) group by layer_id, mode",
 }

@@ -21,10 +21,6 @@ def bursts(edits: DataFrame, gap: str = "400 milliseconds") -> DataFrame:
     return edits.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events"), F.max_by("value", last).alias("last_value")).drop("w")
 
 
-def _newest(value: str) -> Column:
-    return F.max_by(value, F.struct("ts", "event_id"))
-
-
 def folded(edits: DataFrame) -> DataFrame:
     """(session_id, layer_id, toggles, threshold, color): state after the session's last reset.
 

@@ -77,6 +77,12 @@ def test_png_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/layers").count() == 63
 
 
+def test_saved_documents(spark, tmp_path):
+    found = spark.createDataFrame([("a.svg", "<svg/>"), ("b.svg", "<svg><path/></svg>")], "file string, svg string")
+    export.save_documents(found, f"{tmp_path}/out")
+    assert {(r.file, r.value) for r in spark.read.text(f"{tmp_path}/out").collect()} == {tuple(r) for r in found.collect()}
+
+
 def test_paths():
     assert vector.rings_of("M 0 0 L 4 0 L 4 4 Z M 1 1 H 2 V 2") == [[(0, 0), (4, 0), (4, 4)], [(1, 1), (2, 1), (2, 2)]]
     ring = vector.rings_of("M0,0C0,8 8,8 8,0Z")[0]
