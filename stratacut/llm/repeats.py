@@ -196,7 +196,7 @@ def _runs(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, widths: np.
     order = np.lexsort((starts, variants, ids))
     ids, variants, starts, ends = ids[order], variants[order], starts[order], (starts + widths)[order]
     new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (variants[1:] != variants[:-1]) | (starts[1:] > ends[:-1])]) if len(ids) else np.zeros(0, int)
-    last = np.r_[new[1:], len(ids)] - 1
+    last = np.r_[new[1:], len(ids)][: len(new)] - 1
     return ids[new], variants[new], starts[new], ends[last] + SIZE - 1
 
 
