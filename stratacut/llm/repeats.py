@@ -40,7 +40,7 @@ from stratacut.llm.suffix_order import CAP, suffix_blocks
 SIZE = CAP
 STRETCH = 40
 WINDOW = SIZE - STRETCH + 1
-PIECE, FLUSH = 1 << 20, 1 << 23
+PIECE, FLUSH = 1 << 20, 1 << 24
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 KEY = U((1 << 48) - 1)
 LAST = np.iinfo(np.int64).max
@@ -111,6 +111,7 @@ def _documents(batches: Iterator[pa.RecordBatch], size: int = FLUSH) -> Iterator
     for batch in slices(batches, 500):
         columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns]
         for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            row = (*row[:2], row[2] or b"", *row[3:])
             rows.append(row)
             held += len(row[2])
             if held >= size:
@@ -188,7 +189,8 @@ def routes(texts: DataFrame, n_buckets: int, hot: int, hot_here: int) -> DataFra
     return shards.groupBy("bucket").applyInArrow(found, "id long, var long, at array<long>")
 
 
-PARTS = "shard long, kind int, same binary, id long, var long, start long, windows int, passage binary"
+PART = [("kind", "<u1"), ("key", "<u8"), ("same", "<u8"), ("id", "<i8"), ("var", "<u4"), ("start", "<i8"), ("windows", "<i4")]
+PASSAGE, HOT, GONE = 0, 1, 2
 
 
 def _runs(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -202,9 +204,9 @@ def _runs(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, widths: np.
 
 def _firsts(key: np.ndarray, same: np.ndarray, ids: np.ndarray, variants: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (key, same, place), and which of that order is the first of its (key, same)."""
-    order = np.lexsort((starts, variants, ids, *same.T, key))
+    order = np.lexsort((starts, variants, ids, same, key))
     k, s = key[order], same[order]
-    return order, np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]).any(axis=1)] if len(order) else np.zeros(0, bool)
+    return order, np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])] if len(order) else np.zeros(0, bool)
 
 
 def _as_places(ids, variants, starts) -> np.ndarray:
@@ -219,22 +221,41 @@ def _not_first(order: np.ndarray, first: np.ndarray, places: np.ndarray) -> np.n
     return order[(places[order] != places[order[head]]).any(axis=1)]
 
 
-def _pairs(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+def _part(kind: int, key, same, ids, variants, starts, windows) -> np.ndarray:
+    out = np.empty(len(ids), PART)
+    out["kind"] = kind
+    for name, x in zip(("key", "same", "id", "var", "start", "windows"), (key, same, ids, variants, starts, windows), strict=True):
+        out[name] = x
+    return out
+
+
+def _packed_parts(parts: np.ndarray, passages: list[bytes]) -> bytes:
+    """Columns one after another, then the passages; these are as long as their windows say."""
+    columns = b"".join(np.ascontiguousarray(parts[name]).tobytes() for name, _ in PART)
+    return len(parts).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(columns + b"".join(passages))
+
+
+def _unpacked_parts(data: bytes) -> tuple[np.ndarray, bytes]:
+    n, whole, at = int.from_bytes(data[:4], "little"), zstandard.ZstdDecompressor().decompress(data[4:]), 0
+    out = np.empty(n, PART)
+    for name, kind in PART:
+        out[name] = np.frombuffer(whole, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out, whole[at:]
 
 
-def parts_of(linked: DataFrame) -> DataFrame:
-    """Rows of PARTS. kind 0: a passage; 1: a hot window; 2: windows that are removed already. linked: id, var, text, at."""
+def parts_of(linked: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, parts) of rows (id, var, text, at): passages with their text, hot windows, and windows that are removed already."""
 
     @settled
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, variants, bodies, places in _documents(batches, FLUSH):
+        for ids, variants, bodies, places in _documents(batches):
             at = [np.unique(np.concatenate([np.asarray(x, np.int64) for x in p])) for p in places]
             of = np.repeat(np.arange(len(at)), [len(x) for x in at])
             at = np.concatenate(at)
             start, runs, distance, is_hot = at >> PLACE_BITS, at >> 7 & 127, at >> 1 & 63, at & 1
-            base = np.cumsum([0, *map(len, bodies)])[:-1]
-            begin = base[of] + start
+            begin = np.cumsum([0, *map(len, bodies)])[:-1][of] + start
+            end = begin + runs + SIZE - 1
             joined = b"".join(bodies)
             whole = np.frombuffer(joined, np.uint8)
             id_, var = np.array(ids, np.int64)[of], np.array(variants, np.int64)[of]
@@ -242,39 +263,38 @@ def parts_of(linked: DataFrame) -> DataFrame:
             for k in range(0, len(of), 20_000):
                 s = slice(k, k + 20_000)
                 key[s] = word_hashes(whole, begin[s] + distance[s], begin[s] + distance[s] + STRETCH)
-                same[s] = word_hashes(whole, begin[s], begin[s] + runs[s] + SIZE - 1)
-            same = np.stack([same, (runs << 7 | distance).astype(np.uint64)], axis=1)
+                same[s] = word_hashes(whole, begin[s], end[s])
+            same = mixed(same + (runs << 7 | distance).astype(np.uint64))
             order, first = _firsts(key, same, id_, var, start)
             removed = _not_first(order, first, _as_places(id_, var, start))
             gone = [(id_[removed], var[removed], start[removed], runs[removed])]
             kept = order[first]
             cold, warm = kept[is_hot[kept] == 0], kept[is_hot[kept] == 1]
+            parts = [_part(PASSAGE, key[cold], same[cold], id_[cold], var[cold], start[cold], runs[cold])]
             if len(warm):
                 each = np.repeat(warm, runs[warm])
                 step = np.arange(len(each)) - np.repeat(np.cumsum(runs[warm]) - runs[warm], runs[warm])
-                w_id, w_var, w_start, w_begin = id_[each], var[each], start[each] + step, begin[each] + step
-                digests = _pairs([xxhash.xxh3_128_digest(joined[b : b + SIZE]) for b in w_begin.tolist()])
-                w_order, w_first = _firsts(digests[:, 0], digests[:, 1:], w_id, w_var, w_start)
+                w_id, w_var, w_start = id_[each], var[each], start[each] + step
+                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[b : b + SIZE]) for b in (begin[each] + step).tolist()]), "<u8").reshape(-1, 2)
+                w_order, w_first = _firsts(digests[:, 0], digests[:, 1], w_id, w_var, w_start)
                 r = _not_first(w_order, w_first, _as_places(w_id, w_var, w_start))
                 gone.append((w_id[r], w_var[r], w_start[r], np.ones(len(r), np.int64)))
                 w = w_order[w_first]
-                yield _rows(digests[w, 0].astype(np.int64), 1, [d.tobytes() for d in digests[w]], w_id[w], w_var[w], w_start[w], np.ones(len(w), np.int64), None)
-            for k in range(0, len(cold), 20_000):
-                c = cold[k : k + 20_000]
-                texts = [joined[a:b] for a, b in zip(begin[c].tolist(), (begin[c] + runs[c] + SIZE - 1).tolist(), strict=True)]
-                yield _rows(key[c].astype(np.int64), 0, [s.tobytes() for s in same[c]], id_[c], var[c], start[c], runs[c], texts)
+                parts.append(_part(HOT, digests[w, 0], digests[w, 1], w_id[w], w_var[w], w_start[w], 1))
             i, v, s, e = _runs(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            yield _rows(mixed(i.astype(np.uint64) + s.astype(np.uint64)).astype(np.int64), 2, None, i, v, s, e - s, None)
-
-    return linked.mapInArrow(cut, PARTS)
-
+            parts.append(_part(GONE, mixed(i.astype(np.uint64) + s.astype(np.uint64)), 0, i, v, s, e - s))
+            parts = np.concatenate(parts)
+            bucket = (parts["key"] % U(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True]) if len(order) else np.zeros(1, int)
+            out = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = order[a:b]
+                c = cold[rows[rows < len(cold)]]
+                out.append((int(bucket[rows[0]]), _packed_parts(parts[rows], [joined[x:y] for x, y in zip(begin[c].tolist(), end[c].tolist(), strict=True)])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "parts"])
 
-def _rows(shard, kind, same, ids, variants, starts, windows, passages) -> pa.RecordBatch:
-    n = len(ids)
-    nothing = pa.nulls(n, pa.binary())
-    columns = [pa.array(shard, pa.int64()), pa.array(np.full(n, kind, np.int32)), nothing if same is None else pa.array(same, pa.binary()), pa.array(ids, pa.int64()), pa.array(variants, pa.int64()),
-               pa.array(starts, pa.int64()), pa.array(windows, pa.int32()), nothing if passages is None else pa.array(passages, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "kind", "same", "id", "var", "start", "windows", "passage"])
+    return linked.mapInArrow(cut, "bucket long, parts binary")
 
 
 def repeated_windows(passages: list[bytes], windows: np.ndarray, places: np.ndarray, memory: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -307,54 +327,43 @@ def repeated_windows(passages: list[bytes], windows: np.ndarray, places: np.ndar
 
 
 def removals(parts: DataFrame, shard_bytes: int = 1 << 22) -> DataFrame:
-    """(id, var, start, end): bytes to remove, a row a run of windows found together."""
+    """(id, var, start, end): bytes to remove, a row a run of windows found together. A bucket's shards hold about ``shard_bytes`` of text."""
 
-    def resolved(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(tables)
-        kind, shard, id_, var, start, windows = (whole.column(c).to_numpy() for c in ("kind", "shard", "id", "var", "start", "windows"))
-        windows = windows.astype(np.int64)
+    def resolve(table: pa.Table) -> pa.Table:
+        found = [_unpacked_parts(x) for x in table.column("parts").to_pylist()]
+        whole, bodies = np.concatenate([p for p, _ in found]), b"".join(b for _, b in found)
+        del found
+        done = whole[whole["kind"] == GONE]
         gone = []
-        for k in (0, 1):
-            rows = np.flatnonzero(kind == k)
-            if not len(rows):
-                continue
-            same = _pairs(whole.column("same").take(pa.array(rows)).to_pylist())
-            i, v, s, n, key = id_[rows], var[rows], start[rows], windows[rows], shard[rows]
-            order, first = _firsts(key, same, i, v, s)
+        for kind in (HOT, PASSAGE):
+            p = whole[whole["kind"] == kind]
+            i, v, s, n = (p[c].astype(np.int64) for c in ("id", "var", "start", "windows"))
+            order, first = _firsts(p["key"], p["same"], i, v, s)
             late = _not_first(order, first, _as_places(i, v, s))
             gone.append((i[late], v[late], s[late], n[late]))
-            if k == 0:
-                kept = order[first]  # by key
-                new = np.r_[True, key[kept][1:] != key[kept][:-1]]
-                several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-                kept = kept[several]
-                if len(kept):
-                    texts = whole.column("passage").take(pa.array(rows[kept])).to_pylist()
-                    of, window = repeated_windows(texts, n[kept], _as_places(i[kept], v[kept], s[kept]))
-                    gone.append((i[kept][of], v[kept][of], s[kept][of] + window, np.ones(len(of), np.int64)))
-        done = kind == 2
-        i, v, s, e = _runs(*(np.concatenate(x) for x in zip(*gone, strict=True))) if gone else (np.zeros(0, np.int64),) * 4
-        columns = [np.r_[id_[done], i], np.r_[var[done], v], np.r_[start[done], s], np.r_[start[done] + windows[done], e]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "var", "start", "end"])
+        kept = order[first]  # passages, by key
+        key = p["key"][kept]
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(kept) else kept
+        several = np.bincount(group)[group] > 1 if len(kept) else np.zeros(0, bool)
+        kept, group = kept[several], group[several]
+        sizes = n + SIZE - 1
+        begin = np.cumsum(sizes) - sizes
+        place = _as_places(i, v, s)
+        at = 0
+        while at < len(kept):  # keys one after another
+            end = int(np.searchsorted(np.cumsum(sizes[kept[at:]]), shard_bytes)) + at
+            end = int(np.searchsorted(group, group[min(end, len(kept) - 1)], side="right"))
+            rows = kept[at:end]
+            texts = [bodies[a:b] for a, b in zip(begin[rows].tolist(), (begin[rows] + sizes[rows]).tolist(), strict=True)]
+            of, window = repeated_windows(texts, n[rows], place[rows])
+            gone.append((i[rows][of], v[rows][of], s[rows][of] + window, np.ones(len(of), np.int64)))
+            at = end
+        i, v, s, e = _runs(*(np.concatenate(x) for x in zip(*gone, strict=True)))
+        columns = [np.r_[done["id"], i], np.r_[done["var"].astype(np.int64), v], np.r_[done["start"], s], np.r_[done["start"] + done["windows"], e]]
+        settle()
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["id", "var", "start", "end"])
 
-    @settled
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if size >= shard_bytes:  # up to the last key's rows, which may go on
-                key = batch.column(0).to_numpy()
-                at = int(np.searchsorted(key, held[-1].column(0)[-1].as_py(), side="right"))
-                if at < batch.num_rows:
-                    yield resolved([*held, batch.slice(0, at)])
-                    held, size, batch = [], 0, batch.slice(at)
-            held.append(batch)
-            size += batch.nbytes
-        if held:
-            yield resolved(held)
-
-    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(sort, "id long, var long, start long, end long")
+    return parts.groupBy("bucket").applyInArrow(resolve, "id long, var long, start long, end long")
 
 
 def drop_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = 1000, hot_here: int = 64) -> DataFrame:
@@ -362,14 +371,13 @@ def drop_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = 1000,
 
     If ``docs`` has columns of those names, underscores are appended. ``n_buckets``: of the anchors' exchange, four a shuffle partition.
     """
-    spark = docs.sparkSession
-    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_, var, body = (fresh(c, docs.columns) for c in ("_id", "_var", "_body"))
-    keyed = docs.withColumn(body, F.coalesce(F.col("text"), F.lit(""))).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(var, F.crc32(F.col(body).cast("binary")))
-    texts = keyed.select(F.col(id_).alias("id"), F.col(var).alias("var"), F.col(body).alias("text"))
+    n_buckets = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_, var = (fresh(c, docs.columns) for c in ("_id", "_var"))
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(var, F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    texts = keyed.select(F.col(id_).alias("id"), F.col(var).alias("var"), "text")
     found = stored(routes(texts, n_buckets, hot, hot_here)).groupBy("id", "var").agg(F.collect_list("at").alias("at"))
     linked = texts.join(found.hint("shuffle_hash"), ["id", "var"]).select("id", "var", "text", "at")
-    gone = stored(removals(parts_of(linked))).groupBy("id", "var").agg(F.collect_list(F.struct("start", "end")).alias("of"))
+    gone = removals(parts_of(linked, n_buckets)).groupBy("id", "var").agg(F.collect_list(F.struct("start", "end")).alias("of"))
 
     kept, n_bytes, n_removed, spans = (fresh(c, docs.columns) for c in ("kept", "n_bytes", "n_removed", "spans"))
 
@@ -377,7 +385,8 @@ def drop_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = 1000,
     def cut(bodies: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
         for at in range(0, len(bodies), 500):
-            for body, own in zip(bodies.slice(at, 500).cast(pa.binary()).to_pylist(), runs.slice(at, 500).to_pylist(), strict=True):
+            for text, own in zip(bodies.slice(at, 500).cast(pa.binary()).to_pylist(), runs.slice(at, 500).to_pylist(), strict=True):
+                body = text or b""
                 merged: list[list[int]] = []
                 for a, b in sorted((x["start"], x["end"]) for x in own or []):
                     if merged and a <= merged[-1][1]:
@@ -392,8 +401,11 @@ def drop_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = 1000,
     gone = gone.select(F.col("id").alias(f"{id_}g"), F.col("var").alias(f"{var}g"), F.col("of").alias(fresh("_of", docs.columns)))
     joined = keyed.join(gone.hint("shuffle_hash"), (F.col(id_) == F.col(f"{id_}g")) & (F.col(var) == F.col(f"{var}g")), "left")
     made = fresh("_made", docs.columns)
-    whole = joined.withColumn(made, cut(F.col(body), F.col(fresh("_of", docs.columns))))
-    return whole.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{made}.{field}").alias(name) for field, name in (("kept", kept), ("n_bytes", n_bytes), ("n_removed", n_removed), ("spans", spans))])
+    # ids come from the exchanged key, so that this exchange of texts is the one that the passages were cut from
+    whole_ids = docs.schema["doc_id"].dataType.typeName() in ("long", "integer")
+    doc_id = F.when(F.col(id_) < LAST, F.col(id_)).cast(docs.schema["doc_id"].dataType) if whole_ids else F.col("doc_id")
+    whole = joined.withColumn(made, cut(F.col("text"), F.col(fresh("_of", docs.columns))))
+    return whole.select(*[doc_id.alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{made}.{field}").alias(name) for field, name in (("kept", kept), ("n_bytes", n_bytes), ("n_removed", n_removed), ("spans", spans))])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
