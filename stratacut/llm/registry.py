@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacut.llm import decontaminate, filter_audit, html_text, line_dedup, lm_score, media, near_dedup, packing, pii, quality, repeats, toxicity
+from stratacut.llm import collocations, decontaminate, filter_audit, html_text, line_dedup, lm_score, media, near_dedup, packing, pii, quality, repeats, toxicity
 
-MODULES = (html_text, lm_score, quality, toxicity, near_dedup, packing, decontaminate, media, line_dedup, pii, repeats, filter_audit)
+MODULES = (html_text, lm_score, quality, toxicity, near_dedup, packing, decontaminate, media, line_dedup, pii, collocations, repeats, filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
