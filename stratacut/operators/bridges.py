@@ -1,8 +1,8 @@
 """Bridges that hold enclosed pieces of a mask in place.
 
-Boundaries are sampled in raster order of idx. Sources are at most 1,000 boundary points for each island, targets 2,000 of the
-mainland and 1,000 of each larger island, so joins by (image, layer) are bounded by the number of islands. Only candidate rows,
-never pixels, reach the ordered choice, one layer of one picture at a time.
+Boundaries are sampled in raster order of idx: at most 1,000 points of an island, 2,000 of the mainland. Nearest points are found
+through grids (``nearest``), so that a source meets what is around it. Only candidate rows, never pixels, reach the ordered choice,
+one layer of one picture at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stratacut.functions.scalars import rounded
 from stratacut.operators import components as comp
+from stratacut.operators.nearest import nearest_join, nearest_of_each
 from stratacut.operators.neighborhood import pixels_of, runs
 
 LAYER = ["image_id", "layer_id"]
@@ -61,16 +62,17 @@ def sector(x: Column, y: Column, cx: Column, cy: Column, centres: list[float]) -
     return F.array_min(F.array(*(F.struct(away(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres))))["k"]
 
 
-def nearest_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source and target component the nearest target point, the one of least idx of equals.
+def nearest_targets(sources: DataFrame, targets: DataFrame, within: int | None = None) -> DataFrame:
+    """For each source the nearest point of the mainland and of every larger island; the one of least idx of equals.
 
     sources: (image_id, layer_id, island, area, sx, sy, ...), targets: (image_id, layer_id, target, t_area, mainland, tx, ty, t_idx).
-    Other islands count only if they are larger.
+    All larger islands count, so that the result grows with the square of a layer's islands; ``within`` leaves out islands (never the
+    mainland) that are farther than so many pixels.
     """
-    both = sources.join(targets, LAYER).where(F.col("mainland") | (F.col("target") != F.col("island")) & (F.col("t_area") > F.col("area")))
-    d2 = (F.col("tx") - F.col("sx")) ** 2 + (F.col("ty") - F.col("sy")) ** 2
-    best = both.groupBy(*sources.columns, "target", "mainland").agg(F.min(F.struct(d2.alias("d2"), "t_idx", "tx", "ty")).alias("b"))
-    return best.select(*sources.columns, "target", "mainland", F.col("b.tx").alias("tx"), F.col("b.ty").alias("ty"))
+    out = [*sources.columns, "target", "mainland", "tx", "ty"]
+    shore = nearest_join(sources, targets.where("mainland"), LAYER, ["t_idx"]).select(*out)
+    larger = (F.col("target") != F.col("island")) & (F.col("t_area") > F.col("area"))
+    return shore.unionByName(nearest_of_each(sources, targets.where("not mainland"), LAYER, "target", ["t_idx"], larger, within).select(*out))
 
 
 def line(x1: int, y1: int, x2: int, y2: int) -> list[tuple[int, int]]:
@@ -182,7 +184,7 @@ def erase(mask: DataFrame, bridges: DataFrame, width: int) -> DataFrame:
     return mask.join(stamped(lines, width), [*LAYER, "x", "y"], "left_anti")
 
 
-def candidates(mask: DataFrame, images: DataFrame, bridges: int = 3, each: int = 20, least: int = 0, mainland_only: bool = False, opposing: bool = False) -> DataFrame:
+def candidates(mask: DataFrame, images: DataFrame, bridges: int = 3, each: int = 20, least: int = 0, mainland_only: bool = False, opposing: bool = False, within: int | None = None) -> DataFrame:
     """(image_id, layer_id, island, area, sector, sx, sy, tx, ty, target, mainland) for every island of every layer."""
     ink = runs(mask)
     cut = comp.label(comp.complement(ink, images, mask.select(*LAYER).distinct()), images)
@@ -193,7 +195,10 @@ def candidates(mask: DataFrame, images: DataFrame, bridges: int = 3, each: int =
     sectors = points.where("role = 'island'").withColumn("sector", sector(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), sector_centres(bridges, opposing)))
     sources = sampled(sectors, [*LAYER, "comp_id", "sector"], ["idx"], F.lit(each)).select(*LAYER, F.col("comp_id").alias("island"), "area", "sector", F.col("x").alias("sx"), F.col("y").alias("sy"))
     targets = points.select(*LAYER, F.col("comp_id").alias("target"), F.col("area").alias("t_area"), (F.col("role") == "mainland").alias("mainland"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("idx").alias("t_idx"))
-    return nearest_targets(sources, targets.where("mainland") if mainland_only else targets)
+    sources = comp._saved(sources)
+    if mainland_only:
+        return nearest_join(sources, targets.where("mainland"), LAYER, ["t_idx"]).select(*sources.columns, "target", "mainland", "tx", "ty")
+    return nearest_targets(sources, targets, within)
 
 
 def smart_bridges(mask: DataFrame, images: DataFrame, upper: DataFrame | None = None, width: int = 2, **options) -> tuple[DataFrame, DataFrame]:
@@ -260,15 +265,12 @@ def simple_bridges(mask: DataFrame, images: DataFrame, least: int = 0) -> DataFr
     edge = comp._saved(edge.withColumn("idx", F.col("y").cast("long") * F.col("width") + F.col("x")).withColumn("total", F.col("width").cast("long") * F.col("height")).drop("width", "height"))
     anchors = simple_anchors(edge.where(f"role = 'mainland' or area >= {least}"), F.col("total"))
     shore = shore_anchors(edge)
-    d2 = (F.col("tx") - F.col("sx")) ** 2 + (F.col("ty") - F.col("sy")) ** 2
     keys = [*LAYER, "island", "anchor", "sx", "sy"]
     holes = edge.where("role = 'island'").select(*LAYER, F.col("comp_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "idx")
-    small = anchors.where("area < 1500").join(holes, LAYER).where("target <> island").groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), "target", "idx", "tx", "ty")).alias("b"))
-    small = small.select(*keys, F.col("b.tx").alias("tx"), F.col("b.ty").alias("ty"), F.col("b.target").alias("target"))
+    small = nearest_join(anchors.where("area < 1500").select(*keys), holes, LAYER, ["target", "idx"], F.col("target") != F.col("island")).select(*keys, "tx", "ty", "target")
 
     def ashore(some: DataFrame) -> DataFrame:
-        best = some.join(shore, LAYER).groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), "t_order", "tx", "ty")).alias("b"))
-        return best.select(*keys, F.col("b.tx").alias("tx"), F.col("b.ty").alias("ty"), F.lit(None).cast("long").alias("target"))
+        return nearest_join(some, shore, LAYER, ["t_order"]).select(*keys, "tx", "ty", F.lit(None).cast("long").alias("target"))
 
     plan = comp._saved(small.unionByName(ashore(anchors.join(small, keys, "left_anti").select(*keys))))
     links = plan.select(*LAYER, F.col("island").alias("a"), F.coalesce("target", F.lit(-1)).alias("b"))

@@ -369,11 +369,17 @@ def b09_b16_choice(spark, sf):
     return listed.select("image_id", "layer_id", "island", "sector", "sx", "sy", "tx", "ty", "selected", F.round("score", 6).alias("score"))
 
 
+def ink_of(done: DataFrame, before: DataFrame) -> DataFrame:
+    """Pixels of every (image_id, layer_id) of ``before`` that ``done`` has left, 0 where it has none."""
+    ink = done.groupBy("image_id", "layer_id").agg(F.count("*").alias("ink"))
+    return before.select("image_id", "layer_id").distinct().join(ink, ["image_id", "layer_id"], "left").fillna(0, "ink")
+
+
 @query
 def b10_erased(spark, sf):
     mask, images, upper = stack_inputs(spark, sf)
     done, _ = bridges.smart_bridges(mask, images, upper, 2, bridges=3, each=8, least=2)
-    return done.groupBy("image_id", "layer_id").agg(F.count("*").alias("ink"))
+    return ink_of(done, mask)
 
 
 @query
@@ -392,8 +398,9 @@ def b14_statistics(spark, sf):
 @query
 def b15_bridged_stack(spark, sf):
     pixels = fixtures.thumbs(spark, sf)
-    done, _ = bridges.bridge_stack(band_masks(spark, pixels), neighborhood.images_of(pixels), [0, 1, 2, 3])
-    return done.groupBy("image_id", "layer_id").agg(F.count("*").alias("ink"))
+    masks = band_masks(spark, pixels)
+    done, _ = bridges.bridge_stack(masks, neighborhood.images_of(pixels), [0, 1, 2, 3])
+    return ink_of(done, masks)
 
 
 def svgs(spark, sf):

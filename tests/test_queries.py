@@ -35,8 +35,9 @@ def test_bridges(spark):
     assert (chosen.groupby(["image_id", "island", "sector"]).size() == 1).all()
     stats = q["b14_statistics"](spark, SF).toPandas()
     assert stats.bridges_created.sum() == len(chosen)
-    ink = q["t02_layer_masks"](spark, SF).where("layer_id = 1").groupBy("image_id").count().toPandas().set_index("image_id")["count"]
-    left = q["b10_erased"](spark, SF).toPandas().set_index("image_id")["ink"]
+    ink = q["t02_layer_masks"](spark, SF).where("layer_id < 2").groupBy("image_id", "layer_id").count().toPandas().set_index(["image_id", "layer_id"])["count"]
+    left = q["b10_erased"](spark, SF).toPandas().set_index(["image_id", "layer_id"])["ink"]
+    assert left.index.sort_values().equals(ink.index.sort_values())
     assert (left <= ink).all() and left.sum() < ink.sum()
 
 
