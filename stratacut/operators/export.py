@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacut.functions.scalars import rounded
+from stratacut.operators.components import _saved
 
 
 def rectangles(spans: DataFrame) -> DataFrame:
@@ -24,48 +24,57 @@ def mask_svg(boxes: DataFrame, images: DataFrame, fill: Column) -> DataFrame:
     return joined.select("image_id", "layer_id", svg.alias("svg"))
 
 
+def sides(mask: DataFrame) -> DataFrame:
+    """(image_id, layer_id, kind, x, y, tx, ty): maximal straight sides of a mask, ink to the right of the way from (x, y) to (tx, ty).
+
+    kind: 0 to the right over ink, 1 down, 2 to the left under ink, 3 up.
+    """
+    row, column = Window.partitionBy("image_id", "layer_id", "y").orderBy("x"), Window.partitionBy("image_id", "layer_id", "x").orderBy("y")
+    bare = lambda near, own: F.coalesce(near != own, F.lit(True))
+    x, y = F.col("x"), F.col("y")
+    flat = mask.select("image_id", "layer_id", "x", "y").withColumn("left", bare(F.lag("x").over(row), x - 1)).withColumn("right", bare(F.lead("x").over(row), x + 1))
+    both = flat.withColumn("up", bare(F.lag("y").over(column), y - 1)).withColumn("down", bare(F.lead("y").over(column), y + 1))
+    unit = lambda kind, line, along: F.struct(F.lit(kind).alias("kind"), line.alias("line"), along.alias("along"))
+    found = F.array(F.when(F.col("up"), unit(0, y, x)), F.when(F.col("right"), unit(1, x + 1, y)), F.when(F.col("down"), unit(2, y + 1, x)), F.when(F.col("left"), unit(3, x, y)))
+    units = both.select("image_id", "layer_id", F.explode(F.array_compact(found)).alias("e")).select("image_id", "layer_id", "e.*")
+    key = ["image_id", "layer_id", "kind", "line"]
+    runs = units.withColumn("_g", F.col("along") - F.row_number().over(Window.partitionBy(*key).orderBy("along")))
+    spans = runs.groupBy(*key, "_g").agg(F.min("along").alias("a"), (F.max("along") + 1).alias("b"))
+    kind, level = F.col("kind"), F.col("kind") % 2 == 0
+    begin, end = F.when(kind < 2, F.col("a")).otherwise(F.col("b")), F.when(kind < 2, F.col("b")).otherwise(F.col("a"))
+    return spans.select("image_id", "layer_id", "kind", F.when(level, begin).otherwise(F.col("line")).alias("x"), F.when(level, F.col("line")).otherwise(begin).alias("y"),
+                        F.when(level, end).otherwise(F.col("line")).alias("tx"), F.when(level, F.col("line")).otherwise(end).alias("ty"))
+
+
 def outlines(mask: DataFrame) -> DataFrame:
-    """(image_id, layer_id, contour_id, seq, x, y): closed rings around a mask's pixels, ink to the right.
+    """(image_id, layer_id, contour_id, seq, x, y): corners of the closed rings around a mask's pixels, ink to the right.
 
-    Unit edges are found by Spark (an edge is where a pixel's neighbour lacks ink); chaining them takes one layer of one
-    picture at a time.
+    Each side is followed by the one that begins where it ends; where two rings touch, the right turn keeps to the same 4-connected
+    ink. Rings are ranked by pointer jumping: each round a side knows the first one (topmost, then leftmost) among twice as many
+    sides ahead, and how far that is, until nothing changes. So no ring and no mask has to fit one task; rounds are the logarithm of the
+    longest ring's corners. Rings are numbered by their first corner, which is their seq 0.
     """
-    steps = (((0, -1), (0, 0, 1, 0)), ((1, 0), (1, 0, 1, 1)), ((0, 1), (1, 1, 0, 1)), ((-1, 0), (0, 1, 0, 0)))
-    ink = mask.select("image_id", "layer_id", "x", "y")
-    parts = []
-    for (dx, dy), (ax, ay, bx, by) in steps:
-        other = ink.select("image_id", "layer_id", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"))
-        bare = ink.join(other, ["image_id", "layer_id", "x", "y"], "left_anti")
-        parts.append(bare.select("image_id", "layer_id", (F.col("x") + ax).alias("ax"), (F.col("y") + ay).alias("ay"), (F.col("x") + bx).alias("bx"), (F.col("y") + by).alias("by")))
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        starts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for ax, ay, bx, by in sorted(rows[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None)):
-            starts.setdefault((ax, ay), []).append((bx, by))
-        out, ring = [], 0
-        for first in sorted(starts, key=lambda p: (p[1], p[0])):
-            while starts[first]:
-                at, seq, came = first, 0, (0, 0)
-                while True:
-                    options = starts[at]
-                    # where two rings touch, the sharpest right turn keeps to the same 4-connected ink
-                    turn = [came[0] * (o[1] - at[1]) - came[1] * (o[0] - at[0]) for o in options]
-                    to = options.pop(turn.index(max(turn)))
-                    step = (to[0] - at[0], to[1] - at[1])
-                    if step != came:
-                        out.append((ring, seq, float(at[0]), float(at[1])))
-                        seq += 1
-                    at, came = to, step
-                    if at == first:
-                        break
-                ring += 1
-        done = pd.DataFrame(out, columns=["contour_id", "seq", "x", "y"])
-        done.insert(0, "layer_id", rows["layer_id"].iloc[0])
-        done.insert(0, "image_id", rows["image_id"].iloc[0])
-        return done
-
-    return found.groupBy("image_id", "layer_id").applyInPandas(chain, "image_id long, layer_id int, contour_id long, seq int, x double, y double")
+    layer = ["image_id", "layer_id"]
+    spot = lambda x, y: (F.col(y).cast("long") * (1 << 24) + F.col(x)) * 4
+    found = sides(mask).withColumn("node", spot("x", "y") + F.col("kind"))
+    turned = lambda by: spot("tx", "ty") + (F.col("kind") + by) % 4
+    begins = found.select(*layer, F.col("node").alias("to"))
+    options = found.select(*layer, "node", "x", "y", F.explode(F.array(F.struct(F.lit(0).alias("order"), turned(1).alias("to")), F.struct(F.lit(1).alias("order"), turned(3).alias("to")))).alias("o"))
+    linked = options.select(*layer, "node", "x", "y", F.col("o.order").alias("order"), F.col("o.to").alias("to")).join(begins, [*layer, "to"])
+    nexts = linked.groupBy(*layer, "node", "x", "y").agg(F.min_by("to", "order").alias("jump"))
+    state, span = _saved(nexts.withColumn("least", F.col("node")).withColumn("ahead", F.lit(0).cast("long"))), 1
+    while True:
+        far = state.select(*layer, F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("least").alias("there"), F.col("ahead").alias("way"))
+        better = F.col("there") < F.col("least")
+        step = state.join(far, [*layer, "jump"]).select(*layer, "node", "x", "y", F.col("further").alias("jump"), F.least("least", "there").alias("least"), F.when(better, F.col("way") + span).otherwise(F.col("ahead")).alias("ahead"), better.alias("moved"))
+        new = _saved(step)
+        state, span = new.drop("moved"), 2 * span
+        if new.where("moved").isEmpty():
+            break
+    rings = state.groupBy(*layer, "least").agg(F.count("*").alias("n"))
+    numbered = rings.withColumn("contour_id", F.row_number().over(Window.partitionBy(*layer).orderBy("least")).cast("long") - 1)
+    ranked = state.join(numbered, [*layer, "least"])
+    return ranked.select(*layer, "contour_id", ((F.col("n") - F.col("ahead")) % F.col("n")).cast("int").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
 def with_raster_marks(mask: DataFrame, images: DataFrame, arm: int = 14, width: int = 3, margin: int = 24) -> DataFrame:
