@@ -374,8 +374,8 @@ def drop_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = 1000,
     n_buckets = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_, var = (fresh(c, docs.columns) for c in ("_id", "_var"))
     keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(var, F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    texts = keyed.select(F.col(id_).alias("id"), F.col(var).alias("var"), "text")
-    found = stored(routes(texts, n_buckets, hot, hot_here)).groupBy("id", "var").agg(F.collect_list("at").alias("at"))
+    texts = keyed.select("text", F.col(id_).alias("id"), F.col(var).alias("var"))  # in the order of ``keyed``: one exchange serves both joins
+    found = stored(routes(texts.select("id", "var", "text"), n_buckets, hot, hot_here)).groupBy("id", "var").agg(F.collect_list("at").alias("at"))
     linked = texts.join(found.hint("shuffle_hash"), ["id", "var"]).select("id", "var", "text", "at")
     gone = removals(parts_of(linked, n_buckets)).groupBy("id", "var").agg(F.collect_list(F.struct("start", "end")).alias("of"))
 

@@ -169,20 +169,82 @@ def line_members(segments: str) -> str:
 
 TURN = "(atan2(y-cy, x-cx)+pi())"
 TURNED = [f"(case when abs({TURN}-{c}) > pi() then 2*pi()-abs({TURN}-{c}) else abs({TURN}-{c}) end)" for c in ("0", "(2*pi()/3)", "(4*pi()/3)")]
-TARGETS = f"""mk as materialized (select image_id, layer_id, y*8+x idx from {masks(THUMBS)}),
-gap as materialized (select l.image_id, l.layer_id, cast(i as int) idx from (select distinct image_id, layer_id from mk) l cross join range(64) t(i) anti join mk b on b.image_id=l.image_id and b.layer_id=l.layer_id and b.idx=i), {reached('hole', 'gap')},
-fa as (select image_id, layer_id, comp_id, count(*) area, avg(idx%8) cx, avg(idx//8) cy from hole group by 1,2,3),
-kn as (select *, n=1 mainland from (select *, row_number() over (partition by image_id, layer_id order by area desc, comp_id) n from fa) where n=1 or area >= 2),
-pt as materialized (select distinct h.image_id, h.layer_id, h.comp_id, h.idx, h.idx%8 x, h.idx//8 y, area, mainland, cx, cy from hole h join kn using (image_id, layer_id, comp_id) join mk m on m.image_id=h.image_id and m.layer_id=h.layer_id and abs(m.idx%8-h.idx%8)+abs(m.idx//8-h.idx//8)=1),
+
+
+def spread(name: str, cells: str, width: int) -> str:
+    """Components of (image_id, layer_id, idx) as view ``name`` (image_id, layer_id, idx, comp_id): least labels spread until none changes."""
+    return f"""{name}_e as materialized (select a.image_id, a.layer_id, a.idx i, b.idx j from {cells} a join {cells} b on a.image_id=b.image_id and a.layer_id=b.layer_id and (abs(a.idx-b.idx)={width} or abs(a.idx-b.idx)=1 and a.idx//{width}=b.idx//{width})),
+{name}_w(image_id, layer_id, idx, comp_id) using key (image_id, layer_id, idx) as (select image_id, layer_id, idx, idx from {cells} union
+ select c.image_id, c.layer_id, c.idx, min(w.comp_id) from {name}_w w join {name}_e e on e.image_id=w.image_id and e.layer_id=w.layer_id and e.i=w.idx
+  join recurring.{name}_w c on c.image_id=w.image_id and c.layer_id=w.layer_id and c.idx=e.j where w.comp_id < c.comp_id group by 1,2,3),
+{name} as materialized (select * from {name}_w)"""
+
+
+def shores(view: str, width: int, layers: str, least: int) -> str:
+    """Views mk (ink), hole, kn (facts of mainland and islands) and pt (their boundary points) of the layers that meet ``layers``."""
+    return f"""mk as materialized (select image_id, layer_id, y*{width}+x idx from {masks(view)} where {layers}),
+gap as materialized (select p.image_id, l.layer_id, p.y*{width}+p.x idx from {view} p join (select distinct image_id, layer_id from mk) l using (image_id) anti join mk b on b.image_id=p.image_id and b.layer_id=l.layer_id and b.idx=p.y*{width}+p.x), {spread('hole', 'gap', width)},
+fa as (select image_id, layer_id, comp_id, count(*) area, avg(idx%{width}) cx, avg(idx//{width}) cy from hole group by 1,2,3),
+kn as (select *, n=1 mainland from (select *, row_number() over (partition by image_id, layer_id order by area desc, comp_id) n from fa) where n=1 or area >= {least}),
+pt as materialized (select distinct h.image_id, h.layer_id, h.comp_id, h.idx, h.idx%{width} x, h.idx//{width} y, area, mainland, cx, cy from hole h join kn using (image_id, layer_id, comp_id)
+ join mk m on m.image_id=h.image_id and m.layer_id=h.layer_id and (abs(m.idx-h.idx)={width} or abs(m.idx-h.idx)=1 and m.idx//{width}=h.idx//{width}))"""
+
+
+def targets(view: str, width: int, layers: str, to: str = "t.mainland or t.comp_id <> s.comp_id and t.area > s.area") -> str:
+    """View ca: sources of three sectors, at most 8 points each, with the nearest point of each component that meets ``to``."""
+    d2 = "((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*100000+t.idx"
+    return f"""{shores(view, width, layers, 2)},
 se as (select *, case when {TURNED[0]} <= {TURNED[1]} and {TURNED[0]} <= {TURNED[2]} then 0 when {TURNED[1]} <= {TURNED[2]} then 1 else 2 end sector from pt where not mainland),
 sr as (select *, row_number() over (partition by image_id, layer_id, comp_id, sector order by idx)-1 r, count(*) over (partition by image_id, layer_id, comp_id, sector) n from se),
 so as (select * from sr where n <= 8 or list_contains(list_transform(range(8), lambda i: cast(floor(i*(n/8::DOUBLE)) as bigint)), r)),
-ca as materialized (select s.image_id, s.layer_id, s.comp_id island, s.area, s.sector, s.x sx, s.y sy, t.comp_id target, t.mainland, arg_min(t.x, ((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*64+t.idx) tx, arg_min(t.y, ((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*64+t.idx) ty
- from so s join pt t on t.image_id=s.image_id and t.layer_id=s.layer_id and (t.mainland or t.comp_id <> s.comp_id and t.area > s.area) group by all)"""
-COVERED = f"""{TARGETS}, sg as (select distinct image_id, sx, sy, tx, ty from ca), {line_members('sg')},
-up as (select image_id, idx%8 x, idx//8 y, 1 c from mk where layer_id=3), cv as (select image_id, sx, sy, tx, ty, count(c)/count(*)::DOUBLE coverage from ln left join up using (image_id, x, y) group by 1,2,3,4,5),
+ca as materialized (select s.image_id, s.layer_id, s.comp_id island, s.area, s.sector, s.x sx, s.y sy, t.comp_id target, t.mainland, arg_min(t.x, {d2}) tx, arg_min(t.y, {d2}) ty
+ from so s join pt t on t.image_id=s.image_id and t.layer_id=s.layer_id and ({to}) group by all)"""
+
+
+def covered(view: str, width: int, layers: str, upper: int, to: str = "t.mainland or t.comp_id <> s.comp_id and t.area > s.area") -> str:
+    """View fo: ca with the share of each line under layer ``upper``."""
+    return f"""{targets(view, width, layers, to)}, sg as (select distinct image_id, sx, sy, tx, ty from ca), {line_members('sg')},
+up as (select image_id, x, y, 1 c from {masks(view)} where layer_id={upper}), cv as (select image_id, sx, sy, tx, ty, count(c)/count(*)::DOUBLE coverage from ln left join up using (image_id, x, y) group by 1,2,3,4,5),
 fo as materialized (select * from ca join cv using (image_id, sx, sy, tx, ty))"""
 
+
+def best_of(columns: str) -> str:
+    """The best candidate of each sector of fo without penalties."""
+    return f"""le as (select *, sqrt(cast((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy) as double)) len from fo),
+sc as (select *, coverage*10000 - len - len*0.1::DOUBLE + case when mainland then 200 else 0 end score, case when coverage >= 0.9 then 0 when coverage >= 0.8 then 1 when coverage >= 0.7 then 2 when coverage >= 0.6 then 3 else 4 end tier from le)
+select {columns}, tier, round(score, 6) score from (select *, row_number() over (partition by image_id, layer_id, island, sector order by tier, score desc, sy, sx, mainland desc, target) n from sc) where n=1"""
+
+
+THUMB_STACK = (THUMBS, 8, "true")
+SWATCH_STACK = (SWATCHES, 24, "layer_id < 2")
+SIMPLE = f"""{shores(SWATCHES, 24, "layer_id < 2", 0)}, tot as (select image_id, count(*) total from {SWATCHES} group by 1),
+ra as materialized (select pt.*, row_number() over (partition by image_id, layer_id, comp_id order by idx)-1 r, count(*) over (partition by image_id, layer_id, comp_id) n, area/total::DOUBLE part from pt join tot using (image_id)),
+ho as (select *, case when part > 0.03 then greatest(2, ceil(part*50)) else 1 end k from ra where not mainland and area >= 2),
+an as materialized (select h.image_id, h.layer_id, comp_id island, area, cast(b as int) anchor, x sx, y sy from ho h, range(0, 60) t(b) where b < k and r = case when k=1 then n//2 else floor(b/k*n) end),
+co as materialized (select h.image_id, h.layer_id, x tx, y ty, min(a) t_order from ra h, range(0, 60) t(a) where mainland and a < greatest(5, n//200) and r = floor((a+0.5::DOUBLE)/greatest(5, n//200)*n) group by all),
+sm as materialized (select * from (select a.image_id, a.layer_id, a.island, a.anchor, a.sx, a.sy, h.x tx, h.y ty, h.comp_id target,
+  row_number() over (partition by a.image_id, a.layer_id, a.island, a.anchor, a.sx, a.sy order by (h.x-a.sx)*(h.x-a.sx)+(h.y-a.sy)*(h.y-a.sy), h.comp_id, h.idx) n
+  from an a join pt h on h.image_id=a.image_id and h.layer_id=a.layer_id and not h.mainland and h.comp_id <> a.island where a.area < 1500) where n=1),
+al as (select image_id, layer_id, island, anchor, sx, sy from an anti join sm using (image_id, layer_id, island, anchor, sx, sy)),
+li as materialized (select image_id, layer_id, island a, target b from sm union select image_id, layer_id, island, -1 from al),
+bo as (select image_id, layer_id, a, b from li union select image_id, layer_id, b, a from li),
+gr(image_id, layer_id, node, least) using key (image_id, layer_id, node) as (select distinct image_id, layer_id, a, a from bo union
+ select c.image_id, c.layer_id, c.node, min(w.least) from gr w join bo e on e.image_id=w.image_id and e.layer_id=w.layer_id and e.a=w.node
+  join recurring.gr c on c.image_id=w.image_id and c.layer_id=w.layer_id and c.node=e.b where w.least < c.least group by 1,2,3),
+lo as (select image_id, layer_id, min(node) island from gr where least <> -1 and node <> -1 group by image_id, layer_id, least),
+ex as (select l.image_id, l.layer_id, l.island, -1 anchor, x sx, y sy from lo l join ra h on h.image_id=l.image_id and h.layer_id=l.layer_id and h.comp_id=l.island where r = n//2),
+sh as (select * from (select a.*, c.tx, c.ty, row_number() over (partition by a.image_id, a.layer_id, a.island, a.anchor, a.sx, a.sy order by (c.tx-a.sx)*(c.tx-a.sx)+(c.ty-a.sy)*(c.ty-a.sy), t_order) n
+  from (select * from al union all select * from ex) a join co c using (image_id, layer_id)) where n=1)"""
+OUTLINES = f"""m as materialized (select image_id, x, y from {DARK}),
+u as materialized (select image_id, x, y, x+1 tx, y ty, 0 kind from m anti join m o on o.image_id=m.image_id and o.x=m.x and o.y=m.y-1
+ union all select image_id, x+1, y, x+1, y+1, 1 from m anti join m o on o.image_id=m.image_id and o.x=m.x+1 and o.y=m.y
+ union all select image_id, x+1, y+1, x, y+1, 2 from m anti join m o on o.image_id=m.image_id and o.x=m.x and o.y=m.y+1
+ union all select image_id, x, y+1, x, y, 3 from m anti join m o on o.image_id=m.image_id and o.x=m.x-1 and o.y=m.y),
+nx as materialized (select u.image_id, (u.y*1000+u.x)*4+u.kind code, u.x, u.y, u.kind, arg_min((v.y*1000+v.x)*4+v.kind, (v.kind-u.kind+3)%4) ncode from u join u v on v.image_id=u.image_id and v.x=u.tx and v.y=u.ty group by all),
+cn as materialized (select a.image_id, a.code from nx a join nx b on b.image_id=a.image_id and b.ncode=a.code and b.kind <> a.kind),
+wk as (select image_id, code first, code cur, 0 n from nx semi join cn using (image_id, code) union all select w.image_id, first, ncode, n+1 from wk w join nx on nx.image_id=w.image_id and nx.code=w.cur and ncode > first),
+rg as (select w.image_id, first, row_number() over (partition by w.image_id order by first)-1 contour_id from wk w join nx on nx.image_id=w.image_id and nx.code=w.cur and ncode=first)"""
+
 ORACLES = {
     "s02_decode_data_urls": f"select upload_id, regexp_extract(url, '^data:([^;,]*)', 1) mime, octet_length(from_base64(split_part(url, ',', 2))) n_bytes, md5(from_base64(split_part(url, ',', 2))) md5 from {URLS} where url like 'data:image/%'",
     "s05_shrink": f"""with s as (select p.*, width, height, least(1.0::DOUBLE, 12.0::DOUBLE/greatest(width,height)) k from {SWATCHES} p join {SIZE.format(v=SWATCHES)} using (image_id))
@@ -239,7 +301,7 @@ select doc_id, contour_id, seq, edge, round(d2, 6) d2 from (select *, row_number
     "v12_documents": f"""select doc_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000" width="1000" height="1000">' || string_agg('<path d="' || d || '" fill="#123456" fill-rule="evenodd"/>', '' order by contour_id) || '</svg>' svg from {path(RINGS)} group by 1""",
     "e01_runs": f"select * from {runs(masks(SWATCHES))}",
     "e02_mask_svg": f"""select image_id, layer_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 8 8" width="8" height="8"><rect width="8" height="8" fill="white"/><path d="' || string_agg('M ' || x0 || ' ' || y0 || ' H ' || (x1+1) || ' V ' || (y1+1) || ' H ' || x0 || ' Z', ' ' order by y0, x0) || '" fill="' || {STACK_SQL}[layer_id%8+1] || '"/></svg>' svg from {BOXES.format(r=runs(masks(THUMBS)))} group by 1,2""",
-    "e03_outlines": f"select image_id, count(*) ink from {DARK} group by 1",
+    "e03_outlines": f"with recursive {OUTLINES} select image_id, 0 layer_id, contour_id, cast(row_number() over (partition by image_id, first order by n)-1 as int) seq, x, y from rg join wk using (image_id, first) join cn on cn.image_id=wk.image_id and cn.code=wk.cur join nx on nx.image_id=wk.image_id and nx.code=wk.cur",
     "e04_raster_marks": f"""with m as (select image_id, x+24 x, y+24 y from {DARK_THUMBS}), i as (select distinct image_id from m), c as (select * from (values (12,12),(44,12),(12,44),(44,44)) t(cx,cy)),
 k as (select image_id, cx+a x, cy+d y from i, c, range(-14,15) t(a), range(-1,2) u(d) union select image_id, cx+d, cy+a from i, c, range(-14,15) t(a), range(-1,2) u(d))
 select image_id, x, y from m union select image_id, x, y from k where x between 0 and 55 and y between 0 and 55""",
@@ -287,11 +349,13 @@ li as (select session_id, l layer_id, arg_max(least(254, greatest(1, value)), (t
 co as (select session_id, layer_id, arg_max(value, (ts, event_id)) shade from ed where setting='color' group by 1,2), tg as (select session_id, layer_id, count(*)%2 hidden from lv where setting='toggle' group by 1,2)
 select session_id, t.layer_id, n_layers, mode, coalesce(lim, upper) upper, coalesce('#' || lpad(printf('%X', shade), 6, '0'), color) color, coalesce(hidden, 0) hidden
 from st join {presets(range(2, 22))} using (n_layers) left join li using (session_id, layer_id) left join co using (session_id, layer_id) left join tg using (session_id, layer_id)""",
-    "b02_b03_thumb_targets": f"with recursive {TARGETS} select * from ca",
-    "b06_thumb_coverage": f"with recursive {COVERED} select image_id, layer_id, island, sector, sx, sy, tx, ty, target, round(coverage, 6) coverage from fo",
-    "b08_thumb_best": f"""with recursive {COVERED}, le as (select *, sqrt(cast((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy) as double)) len from fo),
-sc as (select *, coverage*10000-len-0-0-len*0.1::DOUBLE+case when mainland then 200 else 0 end score, case when coverage >= 0.9::DOUBLE then 0 when coverage >= 0.8::DOUBLE then 1 when coverage >= 0.7::DOUBLE then 2 when coverage >= 0.6::DOUBLE then 3 else 4 end tier from le)
-select image_id, layer_id, island, sector, sx, sy, tx, ty, target, tier, round(score, 6) score from (select *, row_number() over (partition by image_id, layer_id, island, sector order by tier, score desc, sy, sx, mainland desc, target) n from sc) where n=1""",
+    "b02_b03_thumb_targets": f"with recursive {targets(*THUMB_STACK)} select * from ca",
+    "b06_thumb_coverage": f"with recursive {covered(*THUMB_STACK, 3)} select image_id, layer_id, island, sector, sx, sy, tx, ty, target, round(coverage, 6) coverage from fo",
+    "b08_thumb_best": f"with recursive {covered(*THUMB_STACK, 3)}, {best_of('image_id, layer_id, island, sector, sx, sy, tx, ty, target')}",
+    "b02_b03_targets": f"with recursive {targets(*SWATCH_STACK)} select * from ca",
+    "b06_coverage": f"with recursive {covered(*SWATCH_STACK, 2, 't.mainland')} select image_id, layer_id, island, sector, sx, sy, tx, ty, round(coverage, 6) coverage from fo",
+    "b08_best_candidates": f"with recursive {covered(*SWATCH_STACK, 2, 't.mainland')}, {best_of('image_id, layer_id, island, sector, sx, sy, tx, ty')}",
+    "b11_b13_simple_plan": f"with recursive {SIMPLE} select image_id, layer_id, island, anchor, sx, sy, tx, ty, target from sm union all select image_id, layer_id, island, anchor, sx, sy, tx, ty, null from sh",
     "b05_line_members": f"with recursive sg as (select distinct image_id, 0 sx, y sy, r%20 tx, g%20 ty from {THUMBS} where x=0), {line_members('sg')} select image_id, sx, sy, tx, ty, seq, x, y from ln",
     "s07_mode_file_names": f"select 'stencil-' || mode || '-layer-' || (layer_id+1) || '.svg' file, count(*) n_pixels from {masks(THUMBS)}, (values ('realistic'), ('cartoon')) m(mode) group by layer_id, mode",
 }
