@@ -29,7 +29,7 @@ def headline(spark: SparkSession, sf: str):
         "blur": lambda pixels: neighborhood.blur(pixels.withColumn("luma", luma()), 3),
     }
     made = {f"{name}_{kind}": lambda f=f, view=view: f(view()) for name, f in work.items() for kind, view in both.items()}
-    made["ring_bridges"] = lambda: vector.shortest_clear(vector.candidates(fixtures.rings(spark, sf)), fixtures.rings(spark, sf))
+    made["ring_bridges"] = lambda: vector.shortest_clear(fixtures.rings(spark, sf))
     return made
 
 

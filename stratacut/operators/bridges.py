@@ -8,8 +8,6 @@ one layer of one picture at a time.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,30 +73,19 @@ def nearest_targets(sources: DataFrame, targets: DataFrame, within: int | None =
     return shore.unionByName(nearest_of_each(sources, targets.where("not mainland"), LAYER, "target", ["t_idx"], larger, within).select(*out))
 
 
-def line(x1: int, y1: int, x2: int, y2: int) -> list[tuple[int, int]]:
-    """Bresenham's pixels between two points, both included."""
-    dx, dy = abs(x2 - x1), abs(y2 - y1)
-    sx, sy, err, out = (1 if x1 < x2 else -1), (1 if y1 < y2 else -1), dx - dy, [(x1, y1)]
-    while (x1, y1) != (x2, y2):
-        twice = 2 * err
-        if twice > -dy:
-            err, x1 = err - dy, x1 + sx
-        if twice < dx:
-            err, y1 = err + dx, y1 + sy
-        out.append((x1, y1))
-    return out
-
-
 def line_pixels(segments: DataFrame) -> DataFrame:
-    """(image_id, sx, sy, tx, ty, seq, x, y) of distinct segments (image_id, sx, sy, tx, ty)."""
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, *s, k, x, y) for i, *s in batch.itertuples(index=False, name=None) for k, (x, y) in enumerate(line(*s))]
-            yield pd.DataFrame(rows, columns=["image_id", "sx", "sy", "tx", "ty", "seq", "x", "y"])
+    """(image_id, sx, sy, tx, ty, seq, x, y): Bresenham's pixels of distinct segments (image_id, sx, sy, tx, ty), both ends included.
 
+    After k steps along the longer side the line has taken floor((2 k shorter + longer - 1) / (2 longer)) steps along the shorter one: the
+    closed form of the error term, in which exact halves don't step yet.
+    """
     cast = segments.select(F.col("image_id").cast("long"), *(F.col(c).cast("int") for c in ("sx", "sy", "tx", "ty"))).distinct()
-    return cast.mapInPandas(emit, "image_id long, sx int, sy int, tx int, ty int, seq int, x int, y int")
+    dx, dy = F.abs(F.col("tx") - F.col("sx")).cast("long"), F.abs(F.col("ty") - F.col("sy")).cast("long")
+    k, longer = F.col("seq").cast("long"), F.greatest(dx, dy, F.lit(1))
+    steps = lambda own: F.when(own == longer, k).otherwise(F.floor((2 * k * own + longer - 1) / (2 * longer))).cast("int")
+    sign = lambda a, b: F.when(F.col(a) < F.col(b), 1).otherwise(-1)
+    walked = cast.withColumn("seq", F.explode(F.sequence(F.lit(0), F.greatest(dx, dy).cast("int"))))
+    return walked.select("image_id", "sx", "sy", "tx", "ty", "seq", (F.col("sx") + sign("sx", "tx") * steps(dx)).alias("x"), (F.col("sy") + sign("sy", "ty") * steps(dy)).alias("y"))
 
 
 def coverage(segments: DataFrame, upper: DataFrame | None) -> DataFrame:

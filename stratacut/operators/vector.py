@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratacut.operators.components import _saved
 
-SLABS = 64
+CELLS = 64
 NUMBER = re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?")
 COMMAND = re.compile(r"([MLHVCSQTAZz])([^A-Za-z]*)")
 
@@ -114,8 +114,11 @@ def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(vertices: DataFrame, tolerance: float = 1.5) -> DataFrame:
-    """Vertices that Douglas-Peucker keeps, numbered anew; a task holds one contour at a time."""
+VERTICES = "doc_id long, contour_id long, seq int, x double, y double"
+
+
+def simplify(vertices: DataFrame, tolerance: float = 1.5, most: int = 100_000) -> DataFrame:
+    """Vertices that Douglas-Peucker keeps, numbered anew. Contours of up to ``most`` vertices take one task each, larger ones rounds over all parts."""
 
     def one(ring: pd.DataFrame) -> pd.DataFrame:
         ring = ring.sort_values("seq", ignore_index=True)
@@ -123,7 +126,35 @@ def simplify(vertices: DataFrame, tolerance: float = 1.5) -> DataFrame:
         ring["seq"] = np.arange(len(ring), dtype=np.int32)
         return ring
 
-    return vertices.select("doc_id", "contour_id", "seq", "x", "y").groupBy("doc_id", "contour_id").applyInPandas(one, "doc_id long, contour_id long, seq int, x double, y double")
+    key = ["doc_id", "contour_id"]
+    listed = vertices.select(*key, "seq", "x", "y")
+    sizes = listed.groupBy(*key).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > most).select(*key)
+    small = listed.join(large, key, "left_anti").groupBy(*key).applyInPandas(one, VERTICES)
+    return small if large.isEmpty() else small.unionByName(_simplified_by_rounds(_saved(listed.join(large, key, "left_semi")), tolerance))
+
+
+def _simplified_by_rounds(vertices: DataFrame, tolerance: float) -> DataFrame:
+    """Douglas-Peucker a round a level: every part's farthest point from its chord splits the part or ends it, so no contour is one group."""
+    key = ["doc_id", "contour_id"]
+    ends = vertices.groupBy(*key).agg(F.min(F.struct("seq", "x", "y")).alias("a"), F.max(F.struct("seq", "x", "y")).alias("b"))
+    kept = [_saved(ends.select(*key, F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select(*key, "p.*"))]
+    left = _saved(vertices.join(ends, key).where((F.col("seq") > F.col("a.seq")) & (F.col("seq") < F.col("b.seq"))))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    px, py = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+    # a point's distance over or along its chord; compared with the tolerance as the helper does
+    length = F.hypot(dx, dy)
+    away = F.when(length > 0, F.abs(px * dy - py * dx) / F.nullif(length, F.lit(0.0))).otherwise(F.hypot(px, py))
+    while not left.isEmpty():
+        part = [*key, F.col("a.seq").alias("part")]
+        far = left.groupBy(*part).agg(F.max(F.struct(away.alias("d"), (-F.col("seq")).alias("back"), "x", "y")).alias("f")).where(F.col("f.d") > tolerance)
+        split = _saved(far.select(*key, "part", F.struct((-F.col("f.back")).alias("seq"), F.col("f.x").alias("x"), F.col("f.y").alias("y")).alias("p")))
+        kept.append(split.select(*key, "p.*"))
+        halves = left.withColumn("part", F.col("a.seq")).join(split, [*key, "part"]).where(F.col("seq") != F.col("p.seq"))
+        before = F.col("seq") < F.col("p.seq")
+        left = _saved(halves.select(*key, "seq", "x", "y", F.when(before, F.col("a")).otherwise(F.col("p")).alias("a"), F.when(before, F.col("p")).otherwise(F.col("b")).alias("b")))
+    stay = reduce(DataFrame.unionByName, kept)
+    return stay.withColumn("seq", (F.row_number().over(Window.partitionBy(*key).orderBy("seq")) - 1).cast("int"))
 
 
 def foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -146,68 +177,110 @@ def cross(a: tuple[Column, ...], b: tuple[Column, ...], margin: float) -> Column
     return F.coalesce(inside(t) & inside(u), F.lit(False))
 
 
-def candidates(vertices: DataFrame) -> DataFrame:
-    """Bridges from every (n/200-th) vertex of an island to the nearest point of every (n/200-th) edge of the mainland."""
+def _ends(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every (n/200-th) vertex of the islands, and every (n/200-th) edge of the mainlands."""
     sides = roles(areas(vertices)).where("role is not null").select("doc_id", "contour_id", "role", F.greatest(F.lit(1), F.floor(F.col("n") / 200)).alias("step"))
     points = edges(vertices).join(sides, ["doc_id", "contour_id"]).where(F.col("seq") % F.col("step") == 0)
     island = points.where("role = 'island'").select("doc_id", "contour_id", "seq", "x", "y")
     shore = points.where("role = 'mainland'").select("doc_id", F.col("contour_id").alias("mainland"), F.col("seq").alias("edge"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    both = island.join(shore, "doc_id")
+    return island, shore
+
+
+def _feet(both: DataFrame) -> DataFrame:
     f = both.withColumn("f", foot(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))))
     return f.select("doc_id", "contour_id", "mainland", "seq", "edge", "x", "y", F.col("f.x").alias("fx"), F.col("f.y").alias("fy"), F.round("f.d2", 9).alias("d2"))
 
 
-def in_slabs(segments: DataFrame, extent: DataFrame, ends: tuple[str, str]) -> DataFrame:
-    """``segments`` once for each of the ``SLABS`` vertical slabs of their document (doc_id, low, size) that they reach, as slab.
-
-    What meets shares a slab, so joins by (doc_id, slab) compare neighbours, and a large document isn't one key.
-    """
-    at = lambda v: F.floor((v - F.col("low")) / F.col("size")).cast("int")
-    reach = F.sequence(at(F.least(*ends)), at(F.greatest(*ends)))
-    return segments.join(extent, "doc_id").withColumn("slab", F.explode(reach)).drop("low", "size")
+def candidates(vertices: DataFrame) -> DataFrame:
+    """All bridges from vertices of an island to the nearest points of edges of the mainland, for inspection; ``shortest_clear`` makes no such table."""
+    island, shore = _ends(vertices)
+    return _feet(island.join(shore, "doc_id"))
 
 
 def extents(vertices: DataFrame) -> DataFrame:
-    """(doc_id, low, size): where a document's slabs begin, and how wide they are."""
-    sides = vertices.groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    return sides.select("doc_id", "low", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / SLABS).otherwise(1.0).alias("size"))
+    """(doc_id, low_x, low_y, size): where a document's grid of CELLS x CELLS begins, and how wide its cells are."""
+    sides = vertices.groupBy("doc_id").agg(F.min("x").alias("low_x"), F.min("y").alias("low_y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("wide"))
+    return sides.select("doc_id", "low_x", "low_y", F.when(F.col("wide") > 0, F.col("wide") / CELLS).otherwise(1.0).alias("size"))
 
 
-def clear(found: DataFrame, vertices: DataFrame, margin: float = 1e-4) -> DataFrame:
-    """Candidates that cross no third contour: those that do are found slab by slab among edges whose boxes meet theirs."""
-    extent = extents(vertices)
-    walls = edges(vertices).select("doc_id", F.col("contour_id").alias("_c"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("nx").alias("vx"), F.col("ny").alias("vy"))
-    box = (F.least("x", "fx") <= F.greatest("wx", "vx")) & (F.greatest("x", "fx") >= F.least("wx", "vx")) & (F.least("y", "fy") <= F.greatest("wy", "vy")) & (F.greatest("y", "fy") >= F.least("wy", "vy"))
+def in_cells(segments: DataFrame, extent: DataFrame, ends: tuple[str, str, str, str], scale: int = 1) -> DataFrame:
+    """``segments`` (ends x1, y1, x2, y2) once for each cell (cx, cy) of their document's grid that they pass.
+
+    What meets shares a cell, so joins by (doc_id, cx, cy) compare neighbours, and a large document isn't one key. ``scale``: cells of so
+    many times the side.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    side = F.col("size") * scale
+    column = lambda v: F.floor((v - F.col("low_x")) / side)
+    row = lambda v: F.floor((v - F.col("low_y")) / side)
+    wide = segments.join(extent, "doc_id").withColumn("cx", F.explode(F.sequence(column(F.least(x1, x2)), column(F.greatest(x1, x2)))))
+    left, right = (F.greatest(F.least(x1, x2), F.col("low_x") + F.col("cx") * side), F.least(F.greatest(x1, x2), F.col("low_x") + (F.col("cx") + 1) * side))
+    slope = F.when(x1 != x2, (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
+    at = lambda x: y1 + (x - x1) * slope
+    bottom = F.coalesce(F.greatest(F.least(at(left), at(right)), F.least(y1, y2)), F.least(y1, y2)) - F.lit(1e-6)
+    top = F.coalesce(F.least(F.greatest(at(left), at(right)), F.greatest(y1, y2)), F.greatest(y1, y2)) + F.lit(1e-6)
+    return wide.withColumn("cy", F.explode(F.sequence(row(bottom), row(top)))).drop("low_x", "low_y", "size")
+
+
+def clear(found: DataFrame, walls: DataFrame, extent: DataFrame, margin: float = 1e-4) -> DataFrame:
+    """Candidates that cross no third contour. ``walls``: edges (doc_id, _c, wx, wy, vx, vy) in the cells (cx, cy) that they pass."""
     hit = cross(tuple(F.col(c) for c in ("x", "y", "fx", "fy")), tuple(F.col(c) for c in ("wx", "wy", "vx", "vy")), margin)
     key = ["doc_id", "contour_id", "seq", "edge"]
-    met = in_slabs(found, extent, ("x", "fx")).join(in_slabs(walls, extent, ("wx", "vx")), ["doc_id", "slab"])
-    crossing = met.where((F.col("_c") != F.col("contour_id")) & (F.col("_c") != F.col("mainland")) & box & hit).select(*key).distinct()
+    met = in_cells(found, extent, ("x", "y", "fx", "fy")).join(walls, ["doc_id", "cx", "cy"])
+    crossing = met.where((F.col("_c") != F.col("contour_id")) & (F.col("_c") != F.col("mainland")) & hit).select(*key).distinct()
     return found.join(crossing, key, "left_anti")
 
 
+def walls_of(vertices: DataFrame, extent: DataFrame) -> DataFrame:
+    walls = edges(vertices).select("doc_id", F.col("contour_id").alias("_c"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("nx").alias("vx"), F.col("ny").alias("vy"))
+    return in_cells(walls, extent, ("wx", "wy", "vx", "vy"))
+
+
 def crossings(vertices: DataFrame, margin: float) -> DataFrame:
-    """(doc_id, c1, c2, n): how many edges of two contours of a document cross; each pair of edges counts in the first slab that both reach."""
+    """(doc_id, c1, c2, n): how many edges of two contours of a document cross; a pair of edges that shares several cells counts once."""
     extent = extents(vertices)
-    side = lambda k: edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))
-    one, two = (in_slabs(side(k).join(extent, "doc_id").withColumn(f"f{k}", F.floor((F.least(f"x{k}", f"nx{k}") - F.col("low")) / F.col("size")).cast("int")).drop("low", "size"), extent, (f"x{k}", f"nx{k}")) for k in (1, 2))
+    side = lambda k: in_cells(edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), F.col("seq").alias(f"s{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny"))), extent, (f"x{k}", f"y{k}", f"nx{k}", f"ny{k}"))
     hit = cross(*(tuple(F.col(f"{c}{k}") for c in ("x", "y", "nx", "ny")) for k in (1, 2)), margin)
-    met = one.join(two, ["doc_id", "slab"]).where((F.col("c1") < F.col("c2")) & (F.col("slab") == F.greatest("f1", "f2")) & hit)
-    return met.groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
+    met = side(1).join(side(2), ["doc_id", "cx", "cy"]).where((F.col("c1") < F.col("c2")) & hit)
+    return met.select("doc_id", "c1", "c2", "s1", "s2").distinct().groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
 
 
-def shortest_clear(found: DataFrame, vertices: DataFrame, first: int = 8) -> DataFrame:
-    """The shortest clear bridge of each island: candidates are tested in order of length, a few of each island at a time and four
-    times as many in each further round, and islands that have theirs test no more."""
+def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...] = (4, 16, CELLS)) -> DataFrame:
+    """The shortest clear bridge of each island, nearest feet first.
+
+    Vertices look for edges of the mainland in the nine cells around them, in ever wider cells: all feet within a cell's side are known
+    then. These are tested in order of length, ``first`` of each island and then the others. Islands that have their bridge look and test no
+    more, so that only islands that are blocked all around reach all edges.
+    """
+    vertices = _saved(vertices)
+    extent = _saved(extents(vertices))
+    island, shore = (_saved(x) for x in _ends(vertices))
+    walls = _saved(walls_of(vertices, extent))
     order = Window.partitionBy("doc_id", "contour_id").orderBy("d2", "seq", "edge")
-    left = _saved(found.withColumn("_r", F.row_number().over(order)))
-    done, low, many = [], 0, first
-    while True:
-        some = left.where((F.col("_r") > low) & (F.col("_r") <= low + many)).drop("_r")
-        if some.isEmpty():
-            return reduce(DataFrame.unionByName, done) if done else some
-        done.append(_saved(shortest(clear(some, vertices))))
-        left = left.join(done[-1].select("doc_id", "contour_id"), ["doc_id", "contour_id"], "left_anti")
-        low, many = low + many, 4 * many
+    nine = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    done, before = [], -1.0
+    for scale in scales:
+        whole = scale == scales[-1]
+        side = F.col("size") * scale
+        own = island.join(extent, "doc_id").withColumn("_o", F.explode(nine)).withColumn("cx", F.floor((F.col("x") - F.col("low_x")) / side) + F.col("_o.a")).withColumn("cy", F.floor((F.col("y") - F.col("low_y")) / side) + F.col("_o.b"))
+        met = own.drop("_o", "low_x", "low_y").join(in_cells(shore, extent, ("ax", "ay", "bx", "by"), scale), ["doc_id", "cx", "cy"]).drop("cx", "cy").dropDuplicates(["doc_id", "contour_id", "seq", "edge"])
+        sized = _feet(met).join(extent.select("doc_id", "size"), "doc_id")
+        reach = lambda k: F.col("size") * F.col("size") * float(k * k)
+        near = sized if before < 0 else sized.where(F.col("d2") > reach(before))
+        near = (near if whole else near.where(F.col("d2") <= reach(scale))).drop("size")
+        ranked = _saved(near.withColumn("_r", F.row_number().over(order)))
+        for some in (ranked.where(F.col("_r") <= first), ranked.where(F.col("_r") > first)):
+            if done:
+                some = some.join(done[-1].select("doc_id", "contour_id"), ["doc_id", "contour_id"], "left_anti")
+            done.append(_saved(shortest(clear(some.drop("_r"), walls, extent))))
+        before = scale
+        if not whole:
+            for found in done[-2:]:
+                island = island.join(found.select("doc_id", "contour_id"), ["doc_id", "contour_id"], "left_anti")
+            island = _saved(island)
+            if island.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, done)
 
 
 def shortest(found: DataFrame) -> DataFrame:
@@ -255,7 +328,7 @@ def bridged_paths(vertices: DataFrame, width: float = 3, tolerance: float = 0) -
     full = vertices
     vertices = simplify(vertices, tolerance) if tolerance > 0 else vertices
     shapes = ring_arrays(full).select("doc_id", F.concat(F.lit("c"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("points")).alias("d"))
-    joins = shortest_clear(candidates(vertices), vertices).withColumn("box", bridge_rectangle(width)).where("box is not null")
+    joins = shortest_clear(vertices).withColumn("box", bridge_rectangle(width)).where("box is not null")
     return shapes.unionByName(joins.select("doc_id", F.concat(F.lit("x"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("box")).alias("d")))
 
 

@@ -445,7 +445,7 @@ def v06_feet(spark, sf):
 @query
 def v07_v08_shortest_bridges(spark, sf):
     rings = fixtures.rings(spark, sf)
-    best = vector.shortest_clear(vector.candidates(rings), rings)
+    best = vector.shortest_clear(rings)
     return best.select("doc_id", "contour_id", "seq", "edge", F.round("d2", 6).alias("d2"))
 
 

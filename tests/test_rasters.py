@@ -43,11 +43,6 @@ def test_cleaning_and_bridging(spark):
     assert len(plan) >= 1 and all(r.target is None for r in plan)
 
 
-def test_lines():
-    assert bridges.line(0, 0, 3, 1) == [(0, 0), (1, 0), (2, 1), (3, 1)]
-    assert bridges.line(2, 2, 2, 2) == [(2, 2)]
-
-
 def test_blur_of_a_constant_and_dilation(spark):
     flat = spark.createDataFrame([(1, x, y, 77) for x in range(6) for y in range(5)], "image_id long, x int, y int, luma int")
     assert {r.luma for r in neighborhood.blur(flat, 3).collect()} == {77}
