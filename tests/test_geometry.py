@@ -55,7 +55,7 @@ def test_nearest_of_five_thousand_islands(spark):
     p = np.array([q[2:] for q in points])
     for k in range(0, len(p), 7):
         d2 = (p[:, 2] - p[k, 2]) ** 2 + (p[:, 3] - p[k, 3]) ** 2
-        rest = [(int(d), int(q[3] * 4096 + q[2])) for d, q in zip(d2, p, strict=True) if q[0] != p[k, 0] and d <= 1000]
+        rest = [(int(d), int(q[3] * 4096 + q[2])) for d, q in zip(d2, p, strict=True) if q[0] != p[k, 0] and d <= 40_000]
         assert got[tuple(p[k, [0, 2, 3]].tolist())] == min(rest)
     larger = other & (F.col("t_area") > F.col("area"))
     close = nearest.nearest_of_each(sources, targets, ["image_id", "layer_id"], "target", ["t_idx"], larger, within=30).collect()
