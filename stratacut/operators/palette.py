@@ -73,6 +73,84 @@ def farthest_seeds(samples: DataFrame, n: int) -> DataFrame:
     return seeds.select("image_id", "k", "r", "g", "b")
 
 
+def drawn(*parts: Column | str | int) -> Column:
+    """A number from 0 to under 1 that depends on ``parts`` alone: 52 bits of their md5."""
+    text = F.concat_ws(":", *(F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+
+
+def weighted_seeds(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(image_id, k, r, g, b): k-means++; a random first sample, then samples drawn in proportion to their squared distance from all before.
+
+    The draw is the least -ln(u) / d2, u being a hash of (seed, image_id, idx, k): the same for any split of the samples.
+    """
+    samples = _saved(samples.select("image_id", "idx", "r", "g", "b"))
+    seeds = None
+    for k in range(n):
+        u = drawn(seed, "image_id", "idx", k)
+        if seeds is None:
+            left = samples.withColumn("key", u)
+        else:
+            d2 = F.array_min(F.transform("palette", lambda c: distance(F.col("r"), F.col("g"), F.col("b"), c)))
+            left = samples.join(as_array(seeds), "image_id").withColumn("d2", d2).where("d2 > 0").withColumn("key", -F.ln(F.greatest(u, F.lit(1e-300))) / F.col("d2"))
+        first = left.groupBy("image_id").agg(F.min(F.struct("key", "idx", "r", "g", "b")).alias("s"))
+        chosen = first.select("image_id", F.lit(k).alias("k"), *(F.col(f"s.{c}").alias(c) for c in "rgb"))
+        seeds = _saved(chosen if seeds is None else seeds.unionByName(chosen))
+    return seeds
+
+
+def _from(r: Column, g: Column, b: Column, centres: np.ndarray) -> Column:
+    """struct<d, k>: the nearest of a few centres, the first of equals."""
+    entries = [F.struct(distance(r, g, b, {c: F.lit(v) for c, v in zip("rgb", row, strict=True)}).alias("d"), F.lit(k).alias("k")) for k, row in enumerate(centres.tolist())]
+    return F.array_min(F.array(*entries))
+
+
+def corpus_palette(pixels: DataFrame, n: int, draws: int = 5, oversample: int | None = None, rounds: int = 12, seed: int = 0) -> DataFrame:
+    """(k, r, g, b): one palette of at most ``n`` colours for all pictures together.
+
+    Pictures are first counted by colour, so that all further work is on at most 2^24 weighted colours, whatever the corpus. Seeding is
+    k-means||: a random first colour; then ``draws`` times every colour joins by itself with a probability in proportion to its pixels
+    times its squared distance, some ``oversample`` (twice n) a time; what has joined is weighted by the pixels nearest to it, and the n that
+    are heaviest and farthest from each other seed Lloyd's rounds, which are sums of all tasks. On the driver are only the colours
+    that joined, some draws x oversample of them, and the palette.
+    """
+    many = oversample or 2 * n
+    colours = _saved(pixels.where(opaque()).groupBy("r", "g", "b").agg(F.count("*").alias("w")))
+    rgb = [F.col(c) for c in "rgb"]
+    first = colours.orderBy(drawn(seed, *"rgb") / F.col("w"), *"rgb").first()
+    if first is None:
+        return colours.select(F.lit(0).alias("k"), *"rgb").limit(0)
+    joined = np.array([[first.r, first.g, first.b]])
+    for j in range(1, draws + 1):
+        away = colours.withColumn("d", _from(*rgb, joined)["d"].cast("long") * F.col("w"))
+        total = away.agg(F.sum("d")).first()[0]
+        if not total:
+            break
+        more = away.where(drawn(seed, *"rgb", j) * F.lit(float(total)) < F.col("d").cast("double") * F.lit(float(many))).select(*"rgb").collect()
+        joined = np.concatenate([joined, np.array([list(r) for r in more]).reshape(-1, 3)]).astype(int)
+    joined = np.array(sorted(set(map(tuple, joined.tolist()))))
+    near = colours.groupBy(_from(*rgb, joined)["k"].alias("k")).agg(F.sum("w").alias("w")).collect()
+    weight = np.zeros(len(joined), np.int64)
+    for r in near:
+        weight[r.k] = r.w
+    chosen = [int(weight.argmax())]
+    apart = ((joined - joined[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < n and (apart * weight).max() > 0:
+        chosen.append(int((apart * weight).argmax()))
+        apart = np.minimum(apart, ((joined - joined[chosen[-1]]) ** 2).sum(1))
+    centres = joined[chosen].astype(float)
+    for _ in range(rounds):
+        sums = colours.groupBy(_from(*rgb, centres)["k"].alias("k")).agg(F.sum("w").alias("w"), *(F.sum(F.col(c).cast("long") * F.col("w")).alias(c) for c in "rgb")).collect()
+        new = centres.copy()
+        for row in sums:
+            new[row.k] = [row.r / row.w, row.g / row.w, row.b / row.w]
+        if (new == centres).all():
+            break
+        centres = new
+    rows = [(k, *(int(v) for v in np.floor(c + 0.5))) for k, c in enumerate(centres)]
+    return pixels.sparkSession.createDataFrame(rows, "k int, r int, g int, b int")
+
+
 PALETTE = "image_id long, k int, r int, g int, b int"
 
 

@@ -203,6 +203,17 @@ def k04_update(spark, sf):
     return moved.select("image_id", F.col("k").cast("int").alias("k"), *(s.rounded(F.col(c)).cast("int").alias(c) for c in "rgb"))
 
 
+@query
+def k02_weighted_seeds(spark, sf):
+    return palette.weighted_seeds(palette.stride_sample(fixtures.thumbs(spark, sf), 80_000).where(s.opaque()), 4)
+
+
+@query
+def k05_corpus_palette(spark, sf):
+    """One palette of six colours for all small pictures together."""
+    return palette.corpus_palette(fixtures.thumbs(spark, sf), 6, draws=3)
+
+
 @query
 def k05_palette(spark, sf):
     return palette.quantize(fixtures.thumbs(spark, sf), 4)

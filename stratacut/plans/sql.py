@@ -140,6 +140,38 @@ def palette(n: int, rounds: int) -> str:
     return ",\n".join(parts)
 
 
+def drawn(*parts: str) -> str:
+    """52 bits of the md5 of parts, as a number from 0 to under 1."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::bigint::double / 4503599627370496.0::DOUBLE)"
+
+
+def weighted_seeds(n: int) -> str:
+    """Views ws1 ... ws<n>: seeds of 8x8 pictures drawn in proportion to squared distances."""
+    parts = [f"px as materialized (select image_id, y*8+x idx, r, g, b from {THUMBS} where a >= 10)", f"ws1 as materialized (select image_id, 0 k, r, g, b from (select *, row_number() over (partition by image_id order by {drawn('0', 'image_id', 'idx', '0')}, idx) n from px) where n=1)"]
+    for k in range(1, n):
+        parts.append(f"""ws{k + 1} as materialized (select * from ws{k} union all select image_id, {k}, r, g, b from (select *, row_number() over (partition by image_id order by -ln(greatest({drawn('0', 'image_id', 'idx', str(k))}, 1e-300)) / d2, idx) n from
+ (select p.image_id, p.idx, any_value(p.r) r, any_value(p.g) g, any_value(p.b) b, min({SQUARE.format(a="p", b="s")}) d2 from px p join ws{k} s using (image_id) group by 1,2) where d2 > 0) where n=1)""")
+    return ",\n".join(parts)
+
+
+def corpus_palette(n: int, draws: int, many: int, rounds: int) -> str:
+    """Views cw (weighted colours), cj<draws> (joined), cc<n> (seeds) and cp<rounds> (palette) of all 8x8 pictures together."""
+    parts = [f"cw as materialized (select r, g, b, count(*) w from {THUMBS} where a >= 10 group by all)", f"cj0 as materialized (select r, g, b from cw order by {drawn('0', 'r', 'g', 'b')} / w, r, g, b limit 1)"]
+    for j in range(1, draws + 1):
+        parts.append(f"""cd{j} as materialized (select p.r, p.g, p.b, any_value(p.w) * min({SQUARE.format(a="p", b="s")}) d from cw p, cj{j - 1} s group by 1,2,3),
+cj{j} as materialized (select * from cj{j - 1} union select r, g, b from cd{j}, (select sum(d) total from cd{j}) where {drawn('0', 'r', 'g', 'b', str(j))} * total::double < d::double * {many}.0::DOUBLE)""")
+    near = f"(select p.*, s.r sr, s.g sg, s.b sb, row_number() over (partition by p.r, p.g, p.b order by {SQUARE.format(a='p', b='s')}, s.r, s.g, s.b) n from cw p, cj{draws} s)"
+    parts.append(f"cq as materialized (select sr r, sg g, sb b, sum(w) w from {near} where n=1 group by 1,2,3)")
+    parts.append("cc1 as materialized (select 0 k, r, g, b from (select * from cq order by w desc, r, g, b limit 1))")
+    for k in range(1, n):
+        parts.append(f"""cc{k + 1} as materialized (select * from cc{k} union all (select {k}, r, g, b from (select q.r, q.g, q.b, any_value(q.w) * min({SQUARE.format(a="q", b="s")}) v from cq q, cc{k} s group by 1,2,3) where v > 0 order by v desc, r, g, b limit 1))""")
+    parts.append(f"cp0 as (select k, r::double r, g::double g, b::double b from cc{n})")
+    for j in range(1, rounds + 1):
+        parts.append(f"""cp{j} as materialized (select s.k, coalesce(m.r, s.r) r, coalesce(m.g, s.g) g, coalesce(m.b, s.b) b from cp{j - 1} s left join (select k, sum(r*w)::double/sum(w)::double r, sum(g*w)::double/sum(w)::double g, sum(b*w)::double/sum(w)::double b from
+ (select p.*, s.k, row_number() over (partition by p.r, p.g, p.b order by {SQUARE.format(a="p", b="s")}, s.k) n from cw p, cp{j - 1} s) where n=1 group by k) m using (k))""")
+    return ",\n".join(parts)
+
+
 BEST = f"""{CANDS}, j as (select c.doc_id, c.contour_id, c.seq, c.edge, fx-c.x ux, fy-c.y uy, w.nx-w.x vx, w.ny-w.y vy, w.x-c.x wx, w.y-c.y wy from cand c join e w on w.doc_id=c.doc_id and w.contour_id<>c.contour_id and w.contour_id<>c.mainland),
 kk as (select *, ux*vy-uy*vx det from j), bad as (select distinct doc_id, contour_id, seq, edge from kk where {CROSS.format(m='1e-4::DOUBLE')}),
 best as (select * from (select *, row_number() over (partition by doc_id, contour_id order by d2, seq, edge) n from cand anti join bad using (doc_id, contour_id, seq, edge)) where n=1)"""
@@ -318,6 +350,8 @@ select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') first_ts, count(*) n_e
     "x01_canvas": f"""with m as (select image_id, x, y, max(layer_id) layer_id from {masks(THUMBS)} where layer_id <> 1 or image_id%3 <> 0 group by 1,2,3)
 select image_id, coalesce({STACK_SQL}[layer_id%8+1], 'transparent') color, count(*) n_pixels from {THUMBS} p left join m using (image_id, x, y) group by 1,2""",
     "k02_farthest_seeds": f"with {palette(4, 0)} select image_id, k, cast(r as int) r, cast(g as int) g, cast(b as int) b from pal0",
+    "k02_weighted_seeds": f"with {weighted_seeds(4)} select * from ws4",
+    "k05_corpus_palette": f"with {corpus_palette(6, 3, 12, 12)} select k, cast(floor(r+0.5) as int) r, cast(floor(g+0.5) as int) g, cast(floor(b+0.5) as int) b from cp12",
     "k05_palette": f"with {palette(4, 12)} select * from pal",
     "v09_rectangles": f"with {CANDS}, first as (select * from (select *, row_number() over (partition by doc_id, contour_id order by d2, seq, edge) n from cand) where n=1), {corners('first')} select doc_id, contour_id, {', '.join(f'round({c}{k}, 6) {c}{k}' for k in range(4) for c in 'xy')} from corner",
     "v10_bridged_paths": f"with {BEST}, {corners('best')}, b as (select doc_id, count(*) n from corner group by 1) select doc_id, count(*) + coalesce(any_value(n), 0) n_paths, coalesce(any_value(n), 0) n_bridges from (select distinct doc_id, contour_id from e) left join b using (doc_id) group by 1",
