@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def bursts(edits: DataFrame, gap: str = "400 milliseconds") -> DataFrame:
@@ -80,37 +79,79 @@ def _after_reset(edits: DataFrame) -> DataFrame:
 STATE = "session_id long, layer_id int, hidden long, threshold int, color int"
 
 
-def streamed_state_with_resets(edits: DataFrame):
-    """The state of each session as a stream, resets and all: rows of the layers that a batch's edits have touched.
+class _Session(StatefulProcessor):
+    """A session's outcome: last reset, last value a layer and setting, parity of toggles a layer, and the toggles the watermark hasn't passed.
 
-    A session's state is its edits' outcome (a few numbers for each layer and the time of the last reset), kept by
-    ``applyInPandasWithState``; an edit from before the last reset changes nothing, nor does one older than what it would replace.
+    Nothing older than the watermark arrives, so a toggle that it has passed can only be undone by a later reset, with all others of its
+    layer: it is folded into the parity. What is kept grows with layers and with the edits of the time that may be late, not with
+    the session.
     """
 
-    def fold(key, batches, state) -> Iterator[pd.DataFrame]:
-        reset, layers = pickle.loads(state.get[0]) if state.exists else ((pd.Timestamp.min, -1), {})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reset = handle.getValueState("reset", "at long, event_id long")
+        self.last = handle.getMapState("last", "layer_id int, setting string", "at long, event_id long, value int")
+        self.parity = handle.getMapState("parity", "layer_id int", "odd int, at long, event_id long")
+        self.open = handle.getMapState("open", "at long, event_id long", "layer_id int")
+
+    def _fold(self, watermark: int) -> None:
+        for (at, event), (layer,) in sorted(self.open.iterator()):
+            if at < watermark:
+                odd = self.parity.getValue((layer,))[0] if self.parity.containsKey((layer,)) else 0
+                self.parity.updateValue((layer,), (1 - odd, at, event))
+                self.open.removeKey((at, event))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        left = [at for (at, _), _ in self.open.iterator()]
+        if left:  # again once the watermark has passed the first of them
+            self.handle.registerTimer(min(left) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         touched = set()
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, event, setting, layer, value in rows[["ts", "event_id", "setting", "layer_id", "value"]].itertuples(index=False, name=None):
-            at = (ts, event)
-            if at <= reset:
+        reset = self.reset.get() if self.reset.exists() else (-(1 << 62), -1)
+        edits = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for ts, event, setting, layer, value in edits[["ts", "event_id", "setting", "layer_id", "value"]].itertuples(index=False, name=None):
+            at = (ts.value // 1000, int(event))
+            if at <= tuple(reset):
                 continue
             if setting == "reset":
-                reset, layers = at, {k: kept for k, v in layers.items() if (kept := [x for x in v if x[0] > at])}
+                reset = at
+                self.reset.update(reset)
+                for kept in (self.last, self.parity):
+                    for k in [k for k, v in kept.iterator() if tuple(v[:2] if kept is self.last else v[1:]) < reset]:
+                        kept.removeKey(k)
+                for k in [k for k, _ in self.open.iterator() if tuple(k) < reset]:
+                    self.open.removeKey(k)
                 continue
-            layers.setdefault(layer, [])
-            layers[layer] = [x for x in layers[layer] if setting == "toggle" or x[1] != setting or x[0] > at]
-            if setting == "toggle" or not any(x[1] == setting for x in layers[layer]):
-                layers[layer].append((at, setting, value))
-            touched.add(layer)
-        state.update((pickle.dumps((reset, layers)),))
-        out = []
-        for k in sorted(touched & layers.keys()):
-            last = {s: v for _, s, v in sorted(layers[k]) if s != "toggle"}
-            out.append((key[0], k, sum(x[1] == "toggle" for x in layers[k]) % 2, last.get("threshold"), last.get("color")))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")]).astype({"threshold": "Int32", "color": "Int32"})
+            touched.add(int(layer))
+            if setting == "toggle":
+                self.open.updateValue(at, (int(layer),))
+            elif not self.last.containsKey((int(layer), setting)) or tuple(self.last.getValue((int(layer), setting))[:2]) < at:
+                self.last.updateValue((int(layer), setting), (*at, int(value)))
+        self._fold(watermark)
+        opened = [layer for _, (layer,) in self.open.iterator()]
+        known = {k: v[2] for k, v in self.last.iterator()}
+        odd = {k[0]: v[0] for k, v in self.parity.iterator()}
+        held = {k[0] for k in known} | set(odd) | set(opened)
+        out = [(key[0], k, (odd.get(k, 0) + opened.count(k)) % 2, known.get((k, "threshold")), known.get((k, "color"))) for k in sorted(touched & held)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")]).astype({"session_id": "int64", "layer_id": "int32", "hidden": "int64", "threshold": "Int32", "color": "Int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._fold(timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def streamed_state_with_resets(edits: DataFrame, late: str = "1 day"):
+    """The state of each session as a stream, resets and all: rows of the layers that a batch's edits have touched.
 
-    return edits.groupBy("session_id").applyInPandasWithState(fold, STATE, "kept binary", "update", GroupStateTimeout.NoTimeout)
+    Edits late by more than ``late`` are dropped; others find their place in time. The stream needs RocksDB as its state store.
+    """
+    typed = edits.select("session_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "setting", F.col("layer_id").cast("int").alias("layer_id"), F.col("value").cast("int").alias("value"))
+    return typed.withWatermark("ts", late).groupBy("session_id").transformWithStateInPandas(_Session(), STATE, "Update", "EventTime")
 
 
 def streamed_state(edits: DataFrame) -> DataFrame:
@@ -120,11 +161,34 @@ def streamed_state(edits: DataFrame) -> DataFrame:
 
 
 def arriving(pixels: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str):
-    """Run ``work`` on each batch of arriving pictures (whole pictures in a batch) and append its rows to ``table``."""
+    """Run ``work`` on each batch of arriving pictures (whole pictures in a batch); its rows are the partition ``batch`` of ``table``.
+
+    A batch that is run again after a failure overwrites its own partition, so that it counts once.
+    """
+    return pixels.writeStream.foreachBatch(batch_writer(work, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batch_writer(work: Callable[[DataFrame], DataFrame], table: str) -> Callable[[DataFrame, int], None]:
+    """Writes the outcome of a batch to the partition of its number alone, with an empty one if there is none."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        work(rows).withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+        work(rows).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return batch
 
-    return pixels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def judged(edits: DataFrame, late: str, table: str, checkpoint: str):
+    """Replay edits, and write each with ``accepted``: whether it is no later than ``late`` behind the latest edit of the batches before its own.
 
+    The watermark that a batch is judged by is read from what earlier batches have written, so a repeated batch is judged the same.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        mark = None
+        if number:
+            before = rows.sparkSession.read.schema(rows.schema.add("accepted", "boolean").add("batch", "int")).option("basePath", table).parquet(*[f"{table}/batch={k}" for k in range(number)])
+            mark = before.agg((F.max("ts") - F.expr(f"interval {late}")).alias("mark")).first().mark
+        accepted = F.lit(True) if mark is None else F.col("ts") >= F.lit(mark)
+        rows.withColumn("accepted", accepted).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -140,13 +140,46 @@ def test_late_edits(spark, tmp_path):
     assert sorted(rows) == [(1, day(1, 10), 2, 6), (2, day(3, 8), 2, 7), (4, day(3, 9), 1, 3)]
 
 
-def test_streamed_state_with_resets(spark, sf, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def test_state_of_a_long_session_is_bounded(spark, tmp_path, rocks):
+    """A hundred thousand edits of one session: what is kept are its layers and the edits of the last hour."""
+    start = datetime(2024, 1, 1)
+    rows = [(1, k, start + timedelta(seconds=3 * k), "toggle" if k % 3 else "color", k % 4, k % 1000) for k in range(100_000)]
+    for k in range(4):
+        spark.createDataFrame(rows[25_000 * k : 25_000 * (k + 1)], EDIT).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = []
+    query = live.streamed_state_with_resets(stream, "1 hour").writeStream.outputMode("update").foreachBatch(lambda df, k: out.extend((k, tuple(r)) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal < 2000 < kept < 30_000
+    last = {r[:2]: r for _, r in sorted(out)}
+    assert sorted(last.values()) == sorted(tuple(r) for r in live.folded(spark.createDataFrame(rows, EDIT)).collect())
+
+
+def test_repeated_batches_count_once(spark, sf, tmp_path):
+    pixels = fixtures.thumbs(spark, sf).where("image_id < 6")
+    write = live.batch_writer(palette.estimate_count, f"{tmp_path}/t")
+    for number, part in ((0, "image_id < 3"), (1, "image_id >= 3"), (1, "image_id >= 3"), (2, "image_id < 0")):
+        write(pixels.where(part), number)
+    got = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted((r.image_id, r.n_colors, r.batch) for r in got.collect()) == sorted((*r, int(r[0] >= 3)) for r in palette.estimate_count(pixels).collect())
+
+
+def test_streamed_state_with_resets(spark, sf, tmp_path, rocks):
     edits = fixtures.edit_events(spark, sf).where("setting <> 'blur' and session_id % 5 = 0")
     edits = edits.select(*[F.col(c).cast(t) for c, t in (x.split() for x in EDIT.split(", "))])
     rows = sorted((tuple(r) for r in edits.collect()), key=lambda r: (r[2], r[1]))
     cut = len(rows) // 3
     parts = rows[:cut] + rows[cut + 1 : cut + 9], rows[cut : cut + 1] + rows[cut + 9 : 2 * cut], rows[2 * cut :]  # one edit comes late
-    last = {(r.session_id, r.layer_id): tuple(r) for r in in_turn(spark, tmp_path, EDIT, live.streamed_state_with_resets, "update", *parts)}
+    last = {(r.session_id, r.layer_id): tuple(r) for r in in_turn(spark, tmp_path, EDIT, lambda e: live.streamed_state_with_resets(e, "400 days"), "update", *parts)}
     expect = [tuple(r) for r in live.folded(edits).collect()]
     assert expect and all(last[r[:2]] == r for r in expect)
     assert len({r[0] for r in rows if r[3] == "reset"}) > 1
