@@ -19,8 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is unset, one below /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or Path("/tmp/checkpoints").as_uri()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one below /tmp in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or Path("/tmp/checkpoints").as_uri()
 
 
 def stored(df: DataFrame, columns_by: list[str] | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacut.llm.common import fresh, read, settle, settled, slices
+from stratacut.llm.common import fresh, read, settle, settled, slices, stored
 
 SHARD = 500_000
 BLOCK = 200_000
@@ -227,7 +227,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     n_words, spans, items = (fresh(c, docs.columns) for c in ("n_words", "spans", "items"))
     text = fresh("_bytes", docs.columns)
     out = docs.withColumn(n_words, F.lit(0).cast("long")).withColumn(spans, F.lit(None).cast(FOUND)).withColumn(items, F.lit(None).cast("array<string>"))
+    given = None
     for own in blocks(benchmark, size):
+        if given is not None:  # what the block before has found is a table, and its index is given back
+            out = stored(out)
+            given.unpersist()
         given = spark.sparkContext.broadcast(own)
 
         @settled

@@ -4,9 +4,10 @@ The standard library's parser feeds one pass over a page. Its events become bloc
 white space squeezed), each with the element it stands in and the tags and linked characters it took. Blocks in what is never
 the article (menus, headers and footers of the page, sidebars, notices, adverts, forms, comments, hidden parts) are left out.
 The others' text-to-tag ratios are smoothed by a Gaussian over the page's order and split in two clusters. Where blocks of the
-high cluster stand in article or main elements, all of these elements are the content; else it is the innermost element
-around the whole high cluster, with its sibling sections, less runs of links before or after the high cluster. All blocks of
-the content are the result, low and short ones too, and so are first-level headings beside it.
+high cluster stand in article or main elements, these elements are the content, less articles that hold links but nothing of the
+high cluster (teasers of other stories); else it is the innermost element around the whole high cluster, with its sibling
+sections, less runs of links before or after the high cluster. All blocks of the content are the result, low and short ones too, and
+so are first-level headings beside it, one in the page's header only where there is no other and it is no link.
 
 Defined results: a null or empty page and one without such blocks give an empty text; repeated rows are read alike; markup that
 is cut short or not closed is read as far as it goes, and takes time in proportion however deep it nests; an empty table gives
@@ -31,13 +32,14 @@ RUN = 3  # linked blocks in a row that are a menu where they stand outside the a
 
 # Element names of the HTML standard, and usual names of parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+WITHIN = frozenset("wbr img input embed area".split())  # without content, in the middle of a line
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
 UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video map".split())
 OUTSIDE = frozenset("nav footer aside form button select textarea option dialog menu fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # An element goes if a class or id consists of these words, and of at least one of the first two lists.
-NAMES = frozenset("""nav navbar navigation menu menubar breadcrumb breadcrumbs share sharing social related recommended promo promotion banner
+NAMES = frozenset("""legal copyright disclaimer imprint impressum colophon nav navbar navigation menu menubar breadcrumb breadcrumbs share sharing social related recommended promo promotion banner
 notice notices alert overlay footer masthead topbar toolbar subscribe subscription signup login search pagination pager widget widgets skip""".split())
 STRONG = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors sidebar comment comments commentlist disqus respond
 reply replies cookie cookies consent gdpr popup modal newsletter""".split())
@@ -81,12 +83,13 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, whether it is left out, whether it is or stands in an article
+        self.stack: list[tuple[str, int, int, bool]] = []  # name, number, whether it is left out (1: as the page's header only), whether it is or stands in an article
         self.open: Counter = Counter()
         self.elements: list[tuple[str, int, int]] = []  # name, the parent's number, the parents' count
         self.tags = self.links = self.linked = 0
         self.held: list[str] = []
         self.blocks: list[tuple[str, int, int, int]] = []
+        self.banner: set[int] = set()  # first-level headings in the page's header
         self.within: dict[int, bool] = {-1: False}  # by element: whether it is or stands in an article or main element
 
     def border(self) -> None:
@@ -96,7 +99,7 @@ class Blocks(HTMLParser):
                 self.tags = 0
             self.held, self.linked = [], 0
 
-    def _push(self, tag: str, out: bool, inside: bool) -> None:
+    def _push(self, tag: str, out: int, inside: bool) -> None:
         number, parent = len(self.elements), self.stack[-1][1] if self.stack else -1
         self.elements.append((tag, parent, len(self.stack)))
         self.within[number] = inside
@@ -110,21 +113,31 @@ class Blocks(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        _, _, out, inside = self.stack[-1] if self.stack else ("", -1, False, False)
+        _, _, out, inside = self.stack[-1] if self.stack else ("", -1, 0, False)
+        if tag in WITHIN:
+            return
         if tag in INLINE:
             self.links += tag == "a"
             if attrs and tag != "a" and named(attrs, True):
-                self._push(tag, True, inside)
+                self._push(tag, 2, inside)
             return
         self.border()
         if tag in VOID:
             return
         if tag in CLOSES_P and self.stack and self.stack[-1][0] == "p":
             self._cut(len(self.stack) - 1)
-            _, _, out, inside = self.stack[-1] if self.stack else ("", -1, False, False)
+            _, _, out, inside = self.stack[-1] if self.stack else ("", -1, 0, False)
         self.links = 0
         own = inside or tag in ("article", "main")
-        out = out or tag in UNSEEN or tag in OUTSIDE or tag == "header" and not inside or tag not in ("html", "body") and bool(attrs) and named(attrs, own)
+        if tag in UNSEEN or tag in OUTSIDE or tag not in ("html", "body", "header") and attrs and named(attrs, own):
+            out = 2
+        elif tag == "header" and not inside:
+            out = max(out, 1)
+        elif tag == "header" and attrs and named(attrs, own):
+            out = 2
+        elif tag == "h1" and out == 1:
+            out = 0
+            self.banner.add(len(self.elements))
         self._push(tag, out, own)
 
     def handle_endtag(self, tag):
@@ -138,8 +151,6 @@ class Blocks(HTMLParser):
             return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                if inline:
-                    self.border()
                 self._cut(k)
                 return
             if inline and self.stack[k][0] not in INLINE:
@@ -175,6 +186,28 @@ class Blocks(HTMLParser):
             held[self.elements[number][1]] += held[number]
         return -1
 
+    def headings(self, blocks: list[tuple[str, int, int, int]], linked: list[bool]) -> list[bool]:
+        """As ``below`` for first-level headings: those of the page's header only if there are no others and they aren't links."""
+        own = self.below({k for k, x in enumerate(self.elements) if x[0] == "h1"} - self.banner)
+        if not self.banner or any(own[b[3]] for b in blocks):
+            return own
+        links = {b[3] for b, x in zip(blocks, linked, strict=True) if x}
+        return self.below(self.banner - links)
+
+    def teasers(self, blocks: list[tuple[str, int, int, int]], high: list[int]) -> set[int]:
+        """Articles with links and without a block of the high cluster, where other articles have such blocks."""
+        links, chosen = ([0] * (len(self.elements) + 1) for _ in range(2))
+        for b in blocks:
+            links[b[3]] += b[1]
+        for k in high:
+            chosen[blocks[k][3]] += 1
+        for number in range(len(self.elements) - 1, -1, -1):  # parents have lower numbers
+            parent = self.elements[number][1]
+            links[parent] += links[number]
+            chosen[parent] += chosen[number]
+        own = [k for k, x in enumerate(self.elements) if x[0] == "article"]
+        return {k for k in own if links[k] and not chosen[k]} if any(chosen[k] for k in own) else set()
+
     def below(self, region: set[int]) -> list[bool]:
         """For each element (and, last, for the page) whether it is or stands in one of ``region``."""
         out = [False] * len(self.elements) + [-1 in region]
@@ -212,9 +245,10 @@ def main_blocks(page: str) -> list[str]:
     ratio = smoothed(length / np.array([max(1, b[2]) for b in blocks]))
     linked = [b[1] > 0.8 * len(b[0]) for b in blocks]
     high = [k for k in np.flatnonzero(high_cluster(ratio)).tolist() if not linked[k]] or list(range(len(blocks)))
-    headings = parser.below({k for k, x in enumerate(parser.elements) if x[0] == "h1"})
+    headings = parser.headings(blocks, linked)
     if any(parser.within[blocks[k][3]] for k in high):
-        return [b[0] for b in blocks if parser.within[b[3]] or headings[b[3]]]
+        other = parser.below(parser.teasers(blocks, high))
+        return [b[0] for b in blocks if parser.within[b[3]] and not other[b[3]] or headings[b[3]]]
     region = parser.around([blocks[k][3] for k in high])
     while region >= 0 and parser.elements[region][0] in TEXTUAL:
         region = parser.elements[region][1]

@@ -112,3 +112,15 @@ def test_media_rows(spark, sf):
     assert media.probe(media.to_flac(docs.limit(0))).count() == 0
     whole = media.query(spark, sf)
     assert whole.count() == whole.where("payload_bytes = greatest(192, ceil(n_bytes / 192) * 192) and size(pcm_blocks) > 0").count()
+
+
+def test_blocks_one_after_another(spark, sf, monkeypatch):
+    """A benchmark in many blocks: the same result, and one Python step at a time."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(repr, decontaminate.leaks(docs, bench).drop("text").collect()))
+    total = bench.selectExpr("sum(length(cast(text as binary)) + 1)").first()[0]
+    monkeypatch.setattr(decontaminate, "BLOCK", -(-total // 40))
+    assert len(list(decontaminate.blocks(bench, 10))) == 10
+    out = decontaminate.leaks(docs, bench)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(repr, out.drop("text").collect())) == whole

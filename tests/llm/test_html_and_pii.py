@@ -166,3 +166,21 @@ def test_long_and_repeated_texts_have_their_spans(spark):
     docs = spark.createDataFrame([(1, mail * 3000, "x"), (2, mail, "y"), (2, mail, "z"), (3, "a" * 300_000 + " at " + "b" * 300_000, "")], "doc_id long, text string, pii string")
     out = {(r.doc_id, r.pii): r.pii_ for r in pii.find(docs, pii.train(docs)).collect()}
     assert len(out[1, "x"]["base"]) == 3000 and out[2, "y"] == out[2, "z"] and len(out[2, "y"]["base"]) == 1
+
+
+def test_lines_aren_t_cut_by_what_stands_within_them():
+    page = "<article><p>super<wbr>califragilistic and<img src=x> more <span class='ad'>BUY</span> world, told at some length for all to read.</p><p>A second paragraph of the same kind.</p></article>"
+    assert html_text.main_text(page).split("\n")[0] == "supercalifragilistic and more world, told at some length for all to read."
+    assert html_text.main_text("<p>one line<br>two lines of text</p>") == "one line\ntwo lines of text"
+
+
+def test_teasers_headlines_and_legal_lines():
+    long = "<p>A paragraph of the story, long enough to be told from what stands around it on the page.</p>" * 4
+    page = f"<main><article><h2>Story</h2>{long}</article><article class='teaser'><a href=/o>Other story</a><p>Short.</p></article></main>"
+    assert html_text.main_text(page).count("paragraph") == 4 and "Other story" not in html_text.main_text(page)
+    both = f"<main><article>{long}</article><article><p>Part two, no links.</p></article></main>"
+    assert html_text.main_text(both).endswith("Part two, no links.")
+    assert html_text.main_text(f"<header><h1>Headline</h1><p>Claim</p></header><div>{long}</div>").startswith("Headline\nA paragraph")
+    assert html_text.main_text(f"<header><h1><a href=/>Site</a></h1></header><div>{long}</div>").startswith("A paragraph")
+    assert html_text.main_text(f"<header><h1>Site</h1></header><div><h1>Own</h1>{long}</div>").startswith("Own\nA paragraph")
+    assert "copyright" not in html_text.main_text(f"<div>{long}<div class='legal'>copyright somebody, all rights reserved</div></div>")
