@@ -11,24 +11,28 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRIP = 512
 RUNS = "image_id long, layer_id int, y int, x0 int, x1 int, strip int, comp_id long"
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A table in the shared checkpoint folder; where none is set, one below /tmp in local mode only."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder; where none is set, one below /tmp in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file:///tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/c-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/c-{uuid.uuid4().hex}"
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: lineage ends here."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _label_strip(rows: pd.DataFrame) -> pd.DataFrame:

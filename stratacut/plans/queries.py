@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratacut.functions import scalars as s
 from stratacut.operators import bridges, components, compose, export, neighborhood, palette, tone, vector, workloads
 from stratacut.plans.sql import ORACLES
-from stratacut.sources import fixtures, raster_io
+from stratacut.sources import fixtures, png, raster_io
 from stratacut.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,6 +566,64 @@ def s03_data_url_round_trip(spark, sf):
     return made.select("image_id", F.col("d.mime").alias("mime"), (F.col("d.bytes") == F.col("png")).alias("same"), F.hex(F.substring("png", 17, 8)).alias("size"))
 
 
+def through_files(spark: SparkSession, made: DataFrame) -> DataFrame:
+    """(name, png) written as files to the shared folder and read back as pixels."""
+    folder = components.shared_path(spark)
+    png.save_pngs(made, folder)
+    return png.read_pngs(spark, folder).withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+@query
+def s01_s04_png_pixels(spark, sf):
+    """Small pictures as PNG files, read by the data source: pixels with luma."""
+    pixels = fixtures.thumbs(spark, sf)
+    made = raster_io.to_png(pixels.withColumn("layer_id", F.lit(0)), neighborhood.images_of(pixels))
+    back = through_files(spark, made.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "png"))
+    return back.select(F.split("name", r"\.")[0].cast("long").alias("image_id"), "x", "y", "r", "g", "b", "a", s.luma().cast("int").alias("luma"))
+
+
+@query
+def s08_layer_pngs(spark, sf):
+    """A PNG file for each layer of every small picture in the pixels' own colours, read back: what is inked."""
+    pixels = fixtures.thumbs(spark, sf)
+    drawn = band_masks(spark, pixels).join(pixels.select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x", "y"]).withColumn("a", F.lit(255))
+    made = raster_io.to_png(drawn, neighborhood.images_of(pixels))
+    back = through_files(spark, made.select(F.concat_ws("-", "image_id", F.concat(F.col("layer_id").cast("string"), F.lit(".png"))).alias("name"), "png"))
+    part = lambda k: F.split("name", "[-.]")[k]
+    return back.where("a > 0").select(part(0).cast("long").alias("image_id"), part(1).cast("int").alias("layer_id"), "x", "y", "r", "g", "b")
+
+
+@query
+def s06_rewritten_layer(spark, sf):
+    """All layers saved, layer 1 saved anew as its mirror image, and two layers read back."""
+    masks, folder = band_masks(spark, fixtures.thumbs(spark, sf)), components.shared_path(spark)
+    raster_io.save_layers(masks, folder)
+    raster_io.save_layers(masks.where("layer_id = 1").withColumn("x", 7 - F.col("x")), folder)
+    return raster_io.stored_layers(spark, folder, 1, 2).select("image_id", "layer_id", "x", "y")
+
+
+@query
+def r01_arriving_pictures(spark, sf):
+    """Small pictures that arrive in batches, and the number of colours of each."""
+    pixels, folder = fixtures.thumbs(spark, sf), components.shared_path(spark)
+    pixels.repartition(3, "image_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    live.arriving(stream, palette.estimate_count, f"{folder}/out", f"{folder}/c").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("image_id", "n_colors")
+
+
+@query
+def r04_late_edits(spark, sf):
+    """Edits replayed in five batches, event_id modulo 5, each judged by a watermark of three days behind the batches before."""
+    edits, folder = fixtures.edit_events(spark, sf), components.shared_path(spark)
+    typed = edits.withColumn("ts", F.col("ts").cast("timestamp")).select("session_id", "event_id", "ts")
+    for k in range(5):  # files are read in the order in which they were written
+        typed.where(F.col("event_id") % 5 == k).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+    stream = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    live.judged(stream, "3 days", f"{folder}/out", f"{folder}/c").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("session_id", "event_id", "accepted")
+
+
 @query
 def t01_preset_colours(spark, sf):
     """How many opaque pixels are at or over each limit, by the preset's colour."""

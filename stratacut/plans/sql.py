@@ -277,7 +277,25 @@ cn as materialized (select a.image_id, a.code from nx a join nx b on b.image_id=
 wk as (select image_id, code first, code cur, 0 n from nx semi join cn using (image_id, code) union all select w.image_id, first, ncode, n+1 from wk w join nx on nx.image_id=w.image_id and nx.code=w.cur and ncode > first),
 rg as (select w.image_id, first, row_number() over (partition by w.image_id order by first)-1 contour_id from wk w join nx on nx.image_id=w.image_id and nx.code=w.cur and ncode=first)"""
 
+
+
+def leaders(view: str, width: int) -> str:
+    """Number of colours of pictures under 5,000 pixels: leaders in raster order, one pixel a step."""
+    return f"""with recursive sz as (select image_id, count(*) n from {view} group by 1), px as materialized (select image_id, y*{width}+x idx, r, g, b from {view} where a >= 10 and not (r > 240 and g > 240 and b > 240)),
+ld as (select image_id, n, -1 idx, cast([] as struct(r int, g int, b int)[]) l from sz union all
+ select d.image_id, n, d.idx+1, case when p.r is null or len(l) >= 20 or len(list_filter(l, lambda c: (p.r-c.r)*(p.r-c.r)+(p.g-c.g)*(p.g-c.g)+(p.b-c.b)*(p.b-c.b) < 7500)) > 0 then l
+  else list_append(l, {{'r': p.r, 'g': p.g, 'b': p.b}}) end from ld d left join px p on p.image_id=d.image_id and p.idx=d.idx+1 where d.idx < n-1)
+select image_id, cast(greatest(2, least(20, len(l))) as int) n_colors from ld where idx=n-1"""
+
+
 ORACLES = {
+    "s01_s04_png_pixels": f"select image_id, x, y, r, g, b, a, luma from {lit(THUMBS)}",
+    "s08_layer_pngs": f"select m.image_id, layer_id, m.x, m.y, r, g, b from {masks(THUMBS)} m join {THUMBS} p on p.image_id=m.image_id and p.x=m.x and p.y=m.y",
+    "s06_rewritten_layer": f"select image_id, layer_id, case when layer_id=1 then 7-x else x end x, y from {masks(THUMBS)} where layer_id in (1, 2)",
+    "r01_arriving_pictures": leaders(THUMBS, 8),
+    "k01_colour_count": leaders(SWATCHES, 24),
+    "r04_late_edits": f"""with e as (select session_id, event_id, ts, event_id%5 k from {EDITS}), m as (select k, max(ts) t from e group by 1), w as (select j.k, max(m.t) - interval 3 days mark from m j join m on m.k < j.k group by 1)
+select session_id, event_id, mark is null or ts >= mark accepted from e left join w using (k)""",
     "s02_decode_data_urls": f"select upload_id, regexp_extract(url, '^data:([^;,]*)', 1) mime, octet_length(from_base64(split_part(url, ',', 2))) n_bytes, md5(from_base64(split_part(url, ',', 2))) md5 from {URLS} where url like 'data:image/%'",
     "s05_shrink": f"""with s as (select p.*, width, height, least(1.0::DOUBLE, 12.0::DOUBLE/greatest(width,height)) k from {SWATCHES} p join {SIZE.format(v=SWATCHES)} using (image_id))
 select image_id, cast(floor(x*floor(width*k+0.5)/width) as int) x, cast(floor(y*floor(height*k+0.5)/height) as int) y, {", ".join(f"cast(floor(avg({c})+0.5) as int) {c}" for c in "rgba")} from s group by image_id, 2, 3""",

@@ -92,4 +92,11 @@ def enlarged(coloured: DataFrame, images: DataFrame, scale: int = 4) -> DataFram
 
 
 def save_layers(layers: DataFrame, path: str) -> None:
-    layers.write.mode("overwrite").partitionBy("layer_id").parquet(path)
+    """Write layers, a folder each; only the layers that ``layers`` has are replaced, others stay as they are."""
+    layers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id").parquet(path)
+
+
+def stored_layers(spark: SparkSession, path: str, *layer_ids: int) -> DataFrame:
+    """Saved layers; with ids, only their folders are read."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("layer_id").isin(*layer_ids)) if layer_ids else every

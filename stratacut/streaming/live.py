@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def bursts(edits: DataFrame, gap: str = "400 milliseconds") -> DataFrame:
@@ -186,7 +187,7 @@ def judged(edits: DataFrame, late: str, table: str, checkpoint: str):
     def batch(rows: DataFrame, number: int) -> None:
         mark = None
         if number:
-            before = rows.sparkSession.read.schema(rows.schema.add("accepted", "boolean").add("batch", "int")).option("basePath", table).parquet(*[f"{table}/batch={k}" for k in range(number)])
+            before = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("accepted", BooleanType()), StructField("batch", IntegerType())])).option("basePath", table).parquet(*[f"{table}/batch={k}" for k in range(number)])
             mark = before.agg((F.max("ts") - F.expr(f"interval {late}")).alias("mark")).first().mark
         accepted = F.lit(True) if mark is None else F.col("ts") >= F.lit(mark)
         rows.withColumn("accepted", accepted).write.mode("overwrite").parquet(f"{table}/batch={number}")
