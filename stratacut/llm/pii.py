@@ -1,8 +1,8 @@
 """Operator 10: personal data by generators of candidate spans and gradient-boosted trees.
 
 Base spans come from fixed patterns and always stay. Generators of high recall propose further, also overlapping spans: written-out
-or bracketed mail addresses, telephone numbers without a country's sign, card numbers with other separators or in groups, defanged
-and long-form network addresses. Boosted trees (numpy, logistic loss) score each by its format and its surroundings; thresholds
+or bracketed mail addresses, telephone numbers without a country's sign, in two groups or, beside a word for them, in none, card numbers with other separators,
+in groups or of fifteen digits, defanged, long-form and shortened network addresses. Boosted trees (numpy, logistic loss) score each by its format and its surroundings; thresholds
 are set per kind on examples kept apart, and of overlapping spans the best scored stays. The trees learn from at most
 ``EXAMPLES`` base spans and as many candidates of each kind, by hash of their surroundings, so no kind crowds out another: base spans, and the same rewritten in other notations, are examples of
 personal data; candidates whose checks fail (check digit, ranges, counts) and base spans spoilt in that way are examples of none;
@@ -76,6 +76,11 @@ GENERATORS = (
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,5}(?![0-9A-Za-z:])"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?P<s>[ ./_  -]{1,3})[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?![0-9])"), re.compile(r"[0-9]{4}[ ./_  -]{1,3}[0-9]{4}[^0-9]")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}[ ./_-][0-9]{6}[ ./_-][0-9]{5}(?![0-9])"), re.compile(r"[0-9]{4}[ ./_-][0-9]{6}[ ./_-]")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"), re.compile(r"[0-9A-Fa-f]::[0-9A-Fa-f]")),
+    ("card", re.compile(r"(?<![0-9])3[47][0-9]{13}(?![0-9])"), re.compile(r"3[47][0-9]{13}")),
+    ("phone", re.compile(r"(?<![0-9+.(-])\([0-9]{2,5}\)[ ./-]{0,2}[0-9]{3,4}[ ./-]?[0-9]{3,5}(?![0-9]|[.-][0-9])"), re.compile(r"\([0-9]{2,5}\)")),
+    ("phone", re.compile(r"(?<![0-9+.(-])0[0-9]{2,4}[ /-][0-9]{5,8}(?![0-9]|[.-][0-9])"), re.compile(r"0[0-9]{2,4}[ /-][0-9]{5}")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.,+$€#/-])[0-9]{9,11}(?![0-9A-Za-z]|[.,-][0-9])"), re.compile(r"(?:tel|phone|fax|mobil|cell|call|dial|whatsapp)[^\n]{0,24}[0-9]{9}", re.IGNORECASE)),
     ("phone", re.compile(r"(?<![0-9+.(-])(?:00 ?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?[ ./-]{1,2}[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}(?![0-9]|[.-][0-9])"), re.compile(r"[0-9]\)?[ ./-]{1,2}[0-9]{2,4}[ .-][0-9]{2}")),
 )
 
@@ -121,6 +126,12 @@ def sound(text: str, span: Span) -> bool:
     digits = re.sub(r"[^0-9]", "", s)
     if kind == "card":
         return 15 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone" and re.fullmatch(r"[0-9]{9,11}", s):  # without any sign of its own, only beside a word that says so
+        return any(w in text[max(0, a - AROUND) : a].lower() for w in WORDS["phone"])
+    if kind == "phone" and re.fullmatch(r"\([0-9]{2,5}\)[ ./-]{0,2}[0-9]{3,4}[ ./-]?[0-9]{3,5}|0[0-9]{2,4}[ /-][0-9]{5,8}", s):
+        return 9 <= len(digits) <= 15
+    if kind == "ip" and "::" in s:
+        return bool(re.match(r"fe80|fd|fc|ff|2[0-9a-f]{3}", s.lower())) and not re.search(r"[0-9A-Fa-f]{1,4}::.*::", s)
     if kind == "phone":
         groups = [len(x) for x in re.findall(r"[0-9]+", s)]
         return 9 <= len(digits) <= 15 and 3 <= max(groups) <= 5 and len(groups) >= 3 and not re.search(r"\b(?:19|20)[0-9]{2}\b", s)
@@ -146,14 +157,30 @@ def rewritten(rng: np.random.Generator, text: str, span: Span) -> list[tuple[str
     elif kind == "ip":
         put(s.replace(".", pick("[.]", "(.)", " dot ", "[dot]")), True)
         put(":".join(f"{int(x):x}" for x in rng.integers(0, 65536, 8)), True)
+        put(pick("fe80", "2001:db8", "fd00:1", "2a02") + "::" + ":".join(f"{int(x):x}" for x in rng.integers(1, 65536, int(rng.integers(1, 4)))), True)
+        put(pick("a", "b", "dd", "add") + "::" + pick("c", "bad", "fee", "d"), False)
         put(f"{rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}:{rng.integers(0, 60):02d}", False)
         put("[.]".join(str(x) for x in rng.integers(256, 999, 4)), False)
     elif kind == "card":
         put(pick(".", "/", "_", "  ", " ").join(digits[k : k + 4] for k in range(0, 16, 4)) if len(digits) == 16 else s, True)
+        amex = "3" + pick("4", "7") + "".join(map(str, rng.integers(0, 10, 12)))
+        check = next(d for d in "0123456789" if luhn(amex + d))
+        put(amex + check, True)
+        put(amex + str((int(check) + int(rng.integers(1, 9))) % 10), False)
         spoilt = digits[:-1] + str((int(digits[-1]) + int(rng.integers(1, 9))) % 10)
         put(pick(".", "/", "-", " ").join(spoilt[k : k + 4] for k in range(0, 16, 4)), False)
     else:
         put(pick("({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}", "00{} {} {}").format(digits[-10:-7] or "555", digits[-7:-4], digits[-4:]), True)
+        area, rest = digits[-10:-7] or "555", digits[-7:]
+        put(pick("({}){}-{}", "({}) {}{}").format(area, rest[:3], rest[3:]) if len(digits) >= 9 else f"0{area} {rest}", True)
+        put(f"0{area[:3]}{pick(' ', '/', '-')}{rest}", True)
+        plain = area + rest if len(area + rest) >= 9 else "030" + rest
+        if any(w in text[max(0, a - AROUND) : a].lower() for w in WORDS["phone"]):
+            put(plain, True)
+        else:
+            said, other = pick("phone ", "tel ", "call ", "fax: "), pick("order ", "no. ", "id ", "sum ", "")
+            out.append((said + plain, (kind, len(said), len(said) + len(plain)), True))
+            out.append((other + plain, (kind, len(other), len(other) + len(plain)), False))
         put(f"{rng.integers(1900, 2099)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", False)
         put(" ".join(str(x) for x in rng.integers(10, 99, 4)), False)
     return out

@@ -184,3 +184,15 @@ def test_teasers_headlines_and_legal_lines():
     assert html_text.main_text(f"<header><h1><a href=/>Site</a></h1></header><div>{long}</div>").startswith("A paragraph")
     assert html_text.main_text(f"<header><h1>Site</h1></header><div><h1>Own</h1>{long}</div>").startswith("Own\nA paragraph")
     assert "copyright" not in html_text.main_text(f"<div>{long}<div class='legal'>copyright somebody, all rights reserved</div></div>")
+
+
+def test_hand_written_notations(spark):
+    """Spans that the examples' rewriting didn't make, and numbers that are none."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    true = ["Please call 5551234567 today.", "Reach us: (555)123-4567.", "tel 030 1234567", "Server at fe80::1 is down", "Amex 378282246310005 was charged", "log in from 2001:db8::ff00:42:8329 failed",
+            "mail to john.smith [at] mail [dot] org", "my phone is (212) 555-0199", "Host 10[.]20[.]30[.]40 answered"]
+    none = ["In 2019 10 20 300 people came", "std::map a::b", "order 5551234567 shipped", "page 378282246310006", "at 12:30:45 on 2024-01-02", "version 1.2.3.4.5", "ISBN 978-3-16-148410-0", "we met at the. Then"]
+    hits = {t: [(k, t[a:b]) for k, a, b in pii.more_spans(t, pii.base_spans(t), model)] for t in true + none}
+    print(hits)
+    assert sum(bool(hits[t]) for t in true) >= 7
+    assert sum(bool(hits[t]) for t in none) <= 1
