@@ -44,3 +44,20 @@ def merge_layers(masks: DataFrame, first: int, second: int, into: int) -> DataFr
 
 def duplicate_layer(masks: DataFrame, layer: int, new: int) -> DataFrame:
     return masks.unionByName(masks.where(F.col("layer_id") == layer).withColumn("layer_id", F.lit(new)))
+
+
+def preview(canvas: DataFrame, layers: DataFrame) -> DataFrame:
+    """(image_id, layer_id, x, y, r, g, b, a): a layer's canvas in the colours of its card.
+
+    ``canvas`` has (image_id, layer_id, x, y, r, g, b, a), ``layers`` (image_id, layer_id, mode, colorized, preview_color, palette_color).
+    Tone layers keep their own colours if they are colourised, else take their swatch, and nothing is left where they are transparent;
+    colour layers are their palette colour all over (black without one), opaque where alpha is over 128. Colours are read two digits at a
+    time, a missing part being 0, so that the default swatch, #333, comes out as (51, 3, 0).
+    """
+    shown = canvas.join(layers.select("image_id", "layer_id", "mode", "colorized", "preview_color", "palette_color"), ["image_id", "layer_id"])
+    tone = F.col("mode") == "realistic"
+    digits = F.replace(F.when(tone, F.coalesce(F.nullif("preview_color", F.lit("")), F.lit("#333"))).otherwise(F.coalesce("palette_color", F.lit(""))), F.lit("#"), F.lit(""))
+    part = lambda k: F.coalesce(F.conv(F.nullif(F.substring(digits, k, 2), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    own = lambda c, k: F.when(tone, F.when(F.col("a") > 0, F.when(F.col("colorized"), F.col(c)).otherwise(part(k))).otherwise(0)).otherwise(part(k)).cast("int").alias(c)
+    alpha = F.when(tone, F.col("a")).otherwise(F.when(F.col("a") > 128, 255).otherwise(0)).cast("int").alias("a")
+    return shown.select("image_id", "layer_id", "x", "y", own("r", 1), own("g", 3), own("b", 5), alpha)

@@ -123,7 +123,7 @@ def save_documents(found: DataFrame, path: str) -> None:
     found.select("file", "svg").write.mode("overwrite").partitionBy("file").text(path)
 
 
-def with_svg_marks(svg: Column, width: Column, height: Column, arm: int = 14, thick: int = 3, margin: int = 24, color: str = "black") -> Column:
+def with_svg_marks(svg: Column, width: Column, height: Column, arm: int = 12, thick: int = 2, margin: int = 20, color: str = "black") -> Column:
     """A document of ``mask_svg`` on a canvas with ``margin`` on every side: content moved, a cross in each corner."""
     w, h = width + 2 * margin, height + 2 * margin
     text = lambda v: F.regexp_replace(v.cast("double").cast("string"), r"\.0$", "")

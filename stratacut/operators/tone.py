@@ -25,24 +25,24 @@ PRESETS = {
 
 # Colours of the presets for 2 to 12 layers.
 PRESET_COLOURS = {
-    2: "000000 FFFFFF",
-    3: "000000 7F7F7F FFFFFF",
-    4: "000000 525252 A0A0A0 FFFFFF",
-    5: "000000 434343 7F7F7F B2B2B2 FFFFFF",
-    6: "000000 3D3D3D 676767 848484 B2B2B2 FFFFFF",
-    7: "000000 313131 585858 7C7C7C B0B0B0 CBCBCB FFFFFF",
-    8: "000000 2B2B2B 484848 5F5F5F 7C7C7C B0B0B0 CBCBCB FFFFFF",
-    9: "000000 202020 505050 646464 818181 A7A7A7 C2C2C2 D5D5D5 FFFFFF",
-    10: "000000 262626 3F3F3F 505050 6C6C6C 8B8B8B ABABAB C4C4C4 DFDFDF FFFFFF",
-    11: "000000 1D1D1D 303030 4A4A4A 5B5B5B 808080 9E9E9E BABABA D0D0D0 E3E3E3 FFFFFF",
-    12: "000000 1B1B1B 313131 3E3E3E 5A5A5A 676767 7C7C7C 9E9E9E BABABA D0D0D0 E3E3E3 FFFFFF",
+    2: ("#000000", "#FFFFFF"),
+    3: ("#000000", "#7F7F7F", "#FFFFFF"),
+    4: ("#000000", "#525252", "#A0A0A0", "#FFFFFF"),
+    5: ("#000000", "#434343", "#7F7F7F", "#B2B2B2", "#FFFFFF"),
+    6: ("#000000", "#3D3D3D", "#676767", "#848484", "#B2B2B2", "#FFFFFF"),
+    7: ("#000000", "#313131", "#585858", "#7C7C7C", "#B0B0B0", "#CBCBCB", "#FFFFFF"),
+    8: ("#000000", "#2B2B2B", "#484848", "#5F5F5F", "#7C7C7C", "#B0B0B0", "#CBCBCB", "#FFFFFF"),
+    9: ("#000000", "#202020", "#505050", "#646464", "#818181", "#A7A7A7", "#C2C2C2", "#D5D5D5", "#FFFFFF"),
+    10: ("#000000", "#262626", "#3F3F3F", "#505050", "#6C6C6C", "#8B8B8B", "#ABABAB", "#C4C4C4", "#DFDFDF", "#FFFFFF"),
+    11: ("#000000", "#1D1D1D", "#303030", "#4A4A4A", "#5B5B5B", "#808080", "#9E9E9E", "#BABABA", "#D0D0D0", "#E3E3E3", "#FFFFFF"),
+    12: ("#000000", "#1B1B1B", "#313131", "#3E3E3E", "#5A5A5A", "#676767", "#7C7C7C", "#9E9E9E", "#BABABA", "#D0D0D0", "#E3E3E3", "#FFFFFF"),
 }
 OTHER_COLOUR = "#333"
 
 
 def colours(n: int) -> list[str]:
     """The preset's colours, or one for all layers where there is no preset."""
-    return [f"#{c}" for c in PRESET_COLOURS[n].split()] if n in PRESET_COLOURS else [OTHER_COLOUR] * n
+    return list(PRESET_COLOURS[n]) if n in PRESET_COLOURS else [OTHER_COLOUR] * n
 
 
 def limits(n: int, given: list[int] | None = None) -> tuple[int, ...]:

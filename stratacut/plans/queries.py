@@ -98,6 +98,18 @@ def p06_recolour(spark, sf):
     return masks.select("image_id", "layer_id", "x", "y", s.from_hex(compose.stack_colour(F.col("layer_id"))).alias("c")).select("image_id", "layer_id", "x", "y", "c.r", "c.g", "c.b")
 
 
+@query
+def p06_preview_modes(spark, sf):
+    """Small pictures with soft alpha as one layer's canvas: own colours, a swatch, the default swatch, a palette colour and none, in turn."""
+    pixels = fixtures.thumbs(spark, sf)
+    canvas = pixels.select("image_id", F.lit(0).alias("layer_id"), "x", "y", "r", "g", "b", F.when(F.col("a") == 0, 0).otherwise(F.col("b")).alias("a"))
+    turn = F.col("image_id") % 5
+    layers = pixels.select("image_id").distinct().select(
+        "image_id", F.lit(0).alias("layer_id"), F.when(turn < 3, "realistic").otherwise("cartoon").alias("mode"), (turn == 0).alias("colorized"),
+        F.when(turn == 1, compose.stack_colour(F.col("image_id"))).alias("preview_color"), F.when(turn == 3, "#A1b2C3").alias("palette_color"))
+    return compose.preview(canvas, layers)
+
+
 @query
 def p07_hex(spark, sf):
     pixels = fixtures.thumbs(spark, sf).withColumn("hex", s.to_hex(F.col("r"), F.col("g"), F.col("b")))
@@ -526,6 +538,14 @@ def e06_physical_size(spark, sf):
     return made.select("image_id", h.alias("height_mm"), F.substring_index(export.with_size(F.col("svg"), F.col("image_id") % 90 + 10, h), "><rect", 1).alias("head"))
 
 
+@query
+def e06_linked_width(spark, sf):
+    """Widths linked to heights of 10 to 99 mm, of posters of different shapes."""
+    sizes = neighborhood.images_of(fixtures.posters(spark, sf))
+    heights = sizes.withColumn("height_mm", F.explode(F.sequence(F.lit(10), F.lit(99))))
+    return heights.select("image_id", "height_mm", export.linked_width(F.col("height_mm"), F.col("width"), F.col("height")).alias("width_mm"))
+
+
 @query
 def x01_composite(spark, sf):
     return tone_preview(spark, sf, fixtures.swatches(spark, sf))

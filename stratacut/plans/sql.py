@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
-from stratacut.operators.compose import STACK
-from stratacut.operators.neighborhood import kernel
-from stratacut.operators.tone import colours as preset_colours
-from stratacut.operators.tone import limits
 from stratacut.sources import fixtures as fx
 
+# Fixed values, written out here so that the SQL doesn't depend on the library's own tables: limits and colours of the presets for 2 to 12
+# layers, the stack's colours, and the blur's weights of radius 2 and 3.
+LIMITS = {
+    2: (90, 90),
+    3: (85, 85, 138),
+    4: (60, 60, 100, 150),
+    5: (50, 50, 90, 130, 170),
+    6: (40, 40, 70, 100, 130, 160),
+    7: (30, 30, 60, 90, 120, 150, 180),
+    8: (30, 30, 50, 75, 100, 130, 160, 190),
+    9: (20, 20, 45, 70, 95, 120, 145, 170, 190),
+    10: (15, 15, 45, 70, 95, 120, 145, 165, 180, 195),
+    11: (20, 20, 40, 60, 80, 100, 120, 140, 160, 180, 200),
+    12: (10, 10, 20, 40, 60, 80, 100, 120, 140, 160, 180, 200),
+}
+COLOURS = {
+    2: ("#000000", "#FFFFFF"),
+    3: ("#000000", "#7F7F7F", "#FFFFFF"),
+    4: ("#000000", "#525252", "#A0A0A0", "#FFFFFF"),
+    5: ("#000000", "#434343", "#7F7F7F", "#B2B2B2", "#FFFFFF"),
+    6: ("#000000", "#3D3D3D", "#676767", "#848484", "#B2B2B2", "#FFFFFF"),
+    7: ("#000000", "#313131", "#585858", "#7C7C7C", "#B0B0B0", "#CBCBCB", "#FFFFFF"),
+    8: ("#000000", "#2B2B2B", "#484848", "#5F5F5F", "#7C7C7C", "#B0B0B0", "#CBCBCB", "#FFFFFF"),
+    9: ("#000000", "#202020", "#505050", "#646464", "#818181", "#A7A7A7", "#C2C2C2", "#D5D5D5", "#FFFFFF"),
+    10: ("#000000", "#262626", "#3F3F3F", "#505050", "#6C6C6C", "#8B8B8B", "#ABABAB", "#C4C4C4", "#DFDFDF", "#FFFFFF"),
+    11: ("#000000", "#1D1D1D", "#303030", "#4A4A4A", "#5B5B5B", "#808080", "#9E9E9E", "#BABABA", "#D0D0D0", "#E3E3E3", "#FFFFFF"),
+    12: ("#000000", "#1B1B1B", "#313131", "#3E3E3E", "#5A5A5A", "#676767", "#7C7C7C", "#9E9E9E", "#BABABA", "#D0D0D0", "#E3E3E3", "#FFFFFF"),
+}
+STACK = ("#0f0f0f", "#2a1f3d", "#4a3560", "#6b5080", "#9b7fa8", "#c4aed0", "#ddd0e8", "#f0eaf6")
+WEIGHTS = {
+    2: (0.054488684982061386, 0.24420134723186493, 0.40261995792388916, 0.24420134723186493, 0.054488684982061386),
+    3: (0.03663284704089165, 0.11128075420856476, 0.2167453169822693, 0.270682156085968, 0.2167453169822693, 0.11128075420856476, 0.03663284704089165),
+}
+
+
+def limits(n: int) -> tuple[int, ...]:
+    """Of a preset, or an even split in whole numbers that ends in 255."""
+    return LIMITS.get(n) or tuple((510 * k + n) // (2 * n) for k in range(1, n)) + (255,)
+
+
+def preset_colours(n: int) -> tuple[str, ...]:
+    return COLOURS.get(n) or ("#333",) * n
+
+
 THUMBS, SWATCHES, POSTERS, RINGS = (f"({x})" for x in (fx.THUMBS_DUCK, fx.SWATCHES_DUCK, fx.POSTERS_DUCK, fx.RINGS_DUCK))
 URLS, EDITS = f"({fx.URLS_DUCK})", f"({fx.EDITS_DUCK})"
 LUMA = "cast(floor(0.299::DOUBLE*r + 0.587::DOUBLE*g + 0.114::DOUBLE*b + 0.5::DOUBLE) as int)"
@@ -60,7 +100,7 @@ l as (select image_id, i idx, min(j) comp_id from w group by 1,2)"""
 
 
 def weights(radius: int) -> list[str]:
-    return [f"{w!r}::DOUBLE" for w in kernel(radius)]
+    return [f"{w!r}::DOUBLE" for w in WEIGHTS[radius]]
 
 
 def blur_pass(v: str, along: str, across: str, radius: int) -> str:
@@ -105,9 +145,9 @@ def away(c: str) -> str:
 
 
 MARKS = "".join(
-    f'<line x1="{cx - dx}" y1="{cy - dy}" x2="{cx + dx}" y2="{cy + dy}" stroke="black" stroke-width="3" stroke-linecap="round"/>'
-    for cx, cy in ((12, 12), (44, 12), (12, 44), (44, 44))
-    for dx, dy in ((14, 0), (0, 14))
+    f'<line x1="{cx - dx}" y1="{cy - dy}" x2="{cx + dx}" y2="{cy + dy}" stroke="black" stroke-width="2" stroke-linecap="round"/>'
+    for cx, cy in ((10, 10), (38, 10), (10, 38), (38, 38))
+    for dx, dy in ((12, 0), (0, 12))
 )
 SIZE = "(select image_id, max(x)+1 width, max(y)+1 height from {v} group by 1)"
 LIVE = f"ev as (select * from {EDITS}), rs as (select session_id, max((ts, event_id)) r from ev where setting='reset' group by 1), lv as (select ev.* from ev left join rs using (session_id) where setting <> 'reset' and (r is null or (ts, event_id) > r))"
@@ -289,6 +329,12 @@ select image_id, cast(greatest(2, least(20, len(l))) as int) n_colors from ld wh
 
 
 ORACLES = {
+    "p06_preview_modes": f"""with c as (select image_id, 0 layer_id, x, y, r, g, b, case when a=0 then 0 else b end a, image_id%5 t from {THUMBS}),
+k as (select *, case t when 1 then substr({STACK_SQL}[image_id%8+1], 2) when 2 then '333' when 0 then '333' when 3 then 'A1b2C3' else '' end h from c),
+v as (select *, case when substr(h,1,2)='' then 0 else ('0x'||substr(h,1,2))::int end hr, case when substr(h,3,2)='' then 0 else ('0x'||substr(h,3,2))::int end hg, case when substr(h,5,2)='' then 0 else ('0x'||substr(h,5,2))::int end hb from k)
+select image_id, layer_id, x, y, case when t<3 and a=0 then 0 when t=0 then r else hr end r, case when t<3 and a=0 then 0 when t=0 then g else hg end g, case when t<3 and a=0 then 0 when t=0 then b else hb end b,
+ case when t<3 then a when a > 128 then 255 else 0 end a from v""",
+    "e06_linked_width": f"select image_id, cast(h as int) height_mm, cast(floor(h*(width/height::DOUBLE)+0.5) as bigint) width_mm from {SIZE.format(v=POSTERS)}, range(10, 100) t(h)",
     "s01_s04_png_pixels": f"select image_id, x, y, r, g, b, a, luma from {lit(THUMBS)}",
     "s08_layer_pngs": f"select m.image_id, layer_id, m.x, m.y, r, g, b from {masks(THUMBS)} m join {THUMBS} p on p.image_id=m.image_id and p.x=m.x and p.y=m.y",
     "s06_rewritten_layer": f"select image_id, layer_id, case when layer_id=1 then 7-x else x end x, y from {masks(THUMBS)} where layer_id in (1, 2)",
@@ -355,7 +401,7 @@ select doc_id, contour_id, seq, edge, round(d2, 6) d2 from (select *, row_number
     "e04_raster_marks": f"""with m as (select image_id, x+24 x, y+24 y from {DARK_THUMBS}), i as (select distinct image_id from m), c as (select * from (values (12,12),(44,12),(12,44),(44,44)) t(cx,cy)),
 k as (select image_id, cx+a x, cy+d y from i, c, range(-14,15) t(a), range(-1,2) u(d) union select image_id, cx+d, cy+a from i, c, range(-14,15) t(a), range(-1,2) u(d))
 select image_id, x, y from m union select image_id, x, y from k where x between 0 and 55 and y between 0 and 55""",
-    "e05_svg_marks": f"""select image_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 56 56" width="56" height="56"><rect width="56" height="56" fill="white"/><g transform="translate(24,24)"><path d="' || string_agg('M ' || x0 || ' ' || y0 || ' H ' || (x1+1) || ' V ' || (y1+1) || ' H ' || x0 || ' Z', ' ' order by y0, x0) || '" fill="#000000"/></g><g id="corner-markers">{MARKS}</g></svg>' svg from {BOXES.format(r=runs(DARK_THUMBS))} group by 1""",
+    "e05_svg_marks": f"""select image_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 48 48" width="48" height="48"><rect width="48" height="48" fill="white"/><g transform="translate(20,20)"><path d="' || string_agg('M ' || x0 || ' ' || y0 || ' H ' || (x1+1) || ' V ' || (y1+1) || ' H ' || x0 || ' Z', ' ' order by y0, x0) || '" fill="#000000"/></g><g id="corner-markers">{MARKS}</g></svg>' svg from {BOXES.format(r=runs(DARK_THUMBS))} group by 1""",
     "e06_physical_size": f"""select image_id, cast(floor((image_id%90+10)/(8/6::DOUBLE)+0.5) as bigint) height_mm, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 8 8" width="' || (image_id%90+10) || 'mm" height="' || cast(floor((image_id%90+10)/(8/6::DOUBLE)+0.5) as bigint) || 'mm"' head from (select distinct image_id from {DARK_THUMBS})""",
     "x02_stack_colours": f"select event_id, {STACK_SQL}[event_id%8+1] color from {EDITS}",
     "x03_merged_layers": f"select image_id, layer_id, x, y from {masks(THUMBS)} where layer_id > 1 union all select distinct image_id, 0, x, y from {masks(THUMBS)} where layer_id < 2",
