@@ -137,7 +137,7 @@ def choose(found: DataFrame, width: int) -> DataFrame:
         rows = rows.sort_values(["island", "sector", "sy", "sx", "mainland", "target"], ascending=[True, True, True, True, False, True], ignore_index=True)
         seg = rows[["sx", "sy", "tx", "ty"]].to_numpy(float)
         cov, main = rows["coverage"].to_numpy(float), rows["mainland"].to_numpy(bool)
-        length = np.hypot(seg[:, 2] - seg[:, 0], seg[:, 3] - seg[:, 1])
+        length = np.sqrt((seg[:, 2] - seg[:, 0]) ** 2 + (seg[:, 3] - seg[:, 1]) ** 2)
         points, chosen = np.full(len(rows), np.nan), np.zeros(len(rows), bool)
         placed: list[np.ndarray] = []
         for _, part in rows.groupby("island", sort=True):
@@ -146,7 +146,7 @@ def choose(found: DataFrame, width: int) -> DataFrame:
                 k = cell.index.to_numpy()
                 level = next(t for t in TIERS if (cov[k] >= t).any())
                 s = seg[k]
-                near = sum((np.hypot(s[:, 0] - o[0], s[:, 1] - o[1]) < 4 * width for o in own), np.zeros(len(k)))
+                near = sum(((s[:, 0] - o[0]) ** 2 + (s[:, 1] - o[1]) ** 2 < 16 * width * width for o in own), np.zeros(len(k)))
                 points[k] = cov[k] * 10000 - length[k] - 500 * near - 1000 * _crossed(s, np.array([*placed, *own]).reshape(-1, 4)) - length[k] * 0.1 + 200 * main[k]
                 pick = k[np.where(cov[k] >= level, points[k], -np.inf).argmax()]
                 chosen[pick] = True

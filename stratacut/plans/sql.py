@@ -287,6 +287,38 @@ sc as (select *, coverage*10000 - len - len*0.1::DOUBLE + case when mainland the
 select {columns}, tier, round(score, 6) score from (select *, row_number() over (partition by image_id, layer_id, island, sector order by tier, score desc, sy, sx, mainland desc, target) n from sc) where n=1"""
 
 
+def crossed(a: str, b: str) -> str:
+    """Whether segments a and b (sx, sy, tx, ty) cross inside, margins 0.01."""
+    ux, uy, vx, vy = f"({a}.tx-{a}.sx)", f"({a}.ty-{a}.sy)", f"({b}.tx-{b}.sx)", f"({b}.ty-{b}.sy)"
+    wx, wy, det = f"({b}.sx-{a}.sx)", f"({b}.sy-{a}.sy)", f"({ux}*{vy}-{uy}*{vx})"
+    t, q = f"(({wx}*{vy}-{wy}*{vx})::DOUBLE/{det})", f"(({wx}*{uy}-{wy}*{ux})::DOUBLE/{det})"
+    return f"case when {det}=0 then false else {t} > 0.01::DOUBLE and {t} < 0.99::DOUBLE and {q} > 0.01::DOUBLE and {q} < 0.99::DOUBLE end"
+
+
+def chosen(width: int) -> str:
+    """Views cf (candidates of fo with the place n of their island's sector), g (what is placed after n of them) and sl (what is chosen)."""
+    points = "c.coverage*10000 - c.len - 500*{near} - 1000*{cross} - c.len*0.1::DOUBLE + case when c.mainland then 200 else 0 end"
+    now = points.format(near=f"len(list_filter(g.p, lambda o: o.i=c.island and (c.sx-o.sx)*(c.sx-o.sx)+(c.sy-o.sy)*(c.sy-o.sy) < {16 * width * width}))", cross=f"len(list_filter(g.p, lambda o: {crossed('c', 'o')}))")
+    return f"""cf as materialized (select fo.*, n, sqrt(cast((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy) as double)) len, case when coverage >= 0.9 then 0 when coverage >= 0.8 then 1 when coverage >= 0.7 then 2 when coverage >= 0.6 then 3 else 4 end tier
+ from fo join (select *, row_number() over (partition by image_id, layer_id order by island, sector) n from (select distinct image_id, layer_id, island, sector from fo)) using (image_id, layer_id, island, sector)),
+g as (select distinct image_id, layer_id, 0::bigint n, cast([] as struct(i bigint, sx bigint, sy bigint, tx bigint, ty bigint)[]) p from cf union all
+ select c.image_id, c.layer_id, c.n, list_append(any_value(g.p), arg_min(struct_pack(i := c.island::bigint, sx := c.sx::bigint, sy := c.sy::bigint, tx := c.tx::bigint, ty := c.ty::bigint), (c.tier, -({now}), c.sy, c.sx, case when c.mainland then 0 else 1 end, c.target)))
+ from g join cf c on c.image_id=g.image_id and c.layer_id=g.layer_id and c.n=g.n+1 group by c.image_id, c.layer_id, c.n),
+sl as materialized (select image_id, layer_id, n, p[n].i i, p[n].sx sx, p[n].sy sy, p[n].tx tx, p[n].ty ty from g where n > 0),
+pt2 as (select c.image_id, c.layer_id, c.n, c.sx, c.sy, c.tx, c.ty, count(*) filter (where o.i=c.island and (c.sx-o.sx)*(c.sx-o.sx)+(c.sy-o.sy)*(c.sy-o.sy) < {16 * width * width}) near, count(*) filter (where {crossed('c', 'o')}) cross_
+ from cf c join sl o on o.image_id=c.image_id and o.layer_id=c.layer_id and o.n < c.n group by all),
+listed as materialized (select c.*, s.n is not null selected, {points.format(near="coalesce(k.near, 0)", cross="coalesce(k.cross_, 0)")} score from cf c left join pt2 k using (image_id, layer_id, n, sx, sy, tx, ty)
+ left join sl s using (image_id, layer_id, n, sx, sy, tx, ty))"""
+
+
+def erased(view: str, width: int, canvas: int) -> str:
+    """Ink of each layer of mk less the bridges of sl, squares of floor(width / 2) around their lines."""
+    half = width // 2
+    return f"""s3 as (select distinct image_id, sx::int sx, sy::int sy, tx::int tx, ty::int ty from sl), {line_members('s3').replace('ln as', 'le2 as').replace('from ln where', 'from le2 where')},
+st as (select distinct s.image_id, s.layer_id, (l.y+b)*{canvas}+l.x+a idx from sl s join le2 l using (image_id, sx, sy, tx, ty), range(-{half}, {half + 1}) t(a), range(-{half}, {half + 1}) u(b) where l.x+a between 0 and {canvas - 1})
+select k.image_id, k.layer_id, count(*) filter (where st.idx is null) ink from mk k left join st on st.image_id=k.image_id and st.layer_id=k.layer_id and st.idx=k.idx group by 1,2"""
+
+
 THUMB_STACK = (THUMBS, 8, "true")
 SWATCH_STACK = (SWATCHES, 24, "layer_id < 2")
 SIMPLE = f"""{shores(SWATCHES, 24, "layer_id < 2", 0)}, tot as (select image_id, count(*) total from {SWATCHES} group by 1),
@@ -329,6 +361,16 @@ select image_id, cast(greatest(2, least(20, len(l))) as int) n_colors from ld wh
 
 
 ORACLES = {
+    "v05_simplified": f"""with recursive v as materialized (select * from {RINGS}), part as (select doc_id, contour_id, min(seq) a, max(seq) b from v group by 1,2 union all
+ select doc_id, contour_id, unnest([a, k]), unnest([k, b]) from (select doc_id, contour_id, a, b, arg_max(seq, (d, -seq)) k, max(d) d from (select p.*, m.seq,
+  case when y.x=x.x and y.y=x.y then sqrt((m.x-x.x)*(m.x-x.x)+(m.y-x.y)*(m.y-x.y)) else abs((m.x-x.x)*(y.y-x.y)-(m.y-x.y)*(y.x-x.x))/sqrt((y.x-x.x)*(y.x-x.x)+(y.y-x.y)*(y.y-x.y)) end d
+  from part p join v m on m.doc_id=p.doc_id and m.contour_id=p.contour_id and m.seq > p.a and m.seq < p.b join v x on x.doc_id=p.doc_id and x.contour_id=p.contour_id and x.seq=p.a join v y on y.doc_id=p.doc_id and y.contour_id=p.contour_id and y.seq=p.b) group by 1,2,3,4) where d > 12)
+select doc_id, contour_id, count(distinct e) n from (select doc_id, contour_id, unnest([a, b]) e from part) group by 1,2""",
+    "b09_b16_choice": f"with recursive {covered(*SWATCH_STACK, 2)}, {chosen(2)} select image_id, layer_id, island, sector, sx, sy, tx, ty, selected, round(score, 6) score from listed",
+    "b10_erased": f"with recursive {covered(*SWATCH_STACK, 2)}, {chosen(2)}, {erased(SWATCHES, 2, 24)}",
+    "b14_statistics": f"""with recursive {covered(*SWATCH_STACK, 2)}, {chosen(2)}, a as (select image_id, layer_id, count(distinct island) islands, count(*) filter (where selected) made, avg(coverage) filter (where selected) cov, avg(len) filter (where selected) length, count(*) filter (where selected and coverage >= 0.6) hidden from listed group by 1,2)
+select image_id, layer_id, coalesce(islands, 0) island_count, coalesce(made, 0) bridges_created, cast(floor(coalesce(cov, 0)*100+0.5) as int) average_coverage, cast(floor(coalesce(length, 0)+0.5) as int) average_bridge_length,
+ cast(floor(coalesce(hidden/nullif(made, 0)::DOUBLE*100, 0)+0.5) as int) hidden_bridge_percentage from (select distinct image_id, layer_id from mk) left join a using (image_id, layer_id)""",
     "p06_preview_modes": f"""with c as (select image_id, 0 layer_id, x, y, r, g, b, case when a=0 then 0 else b end a, image_id%5 t from {THUMBS}),
 k as (select *, case t when 1 then substr({STACK_SQL}[image_id%8+1], 2) when 2 then '333' when 0 then '333' when 3 then 'A1b2C3' else '' end h from c),
 v as (select *, case when substr(h,1,2)='' then 0 else ('0x'||substr(h,1,2))::int end hr, case when substr(h,3,2)='' then 0 else ('0x'||substr(h,3,2))::int end hg, case when substr(h,5,2)='' then 0 else ('0x'||substr(h,5,2))::int end hb from k)
