@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON. Each runs once warm and is then timed, median of three."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON. Each runs once warm and is then timed, median of $BENCH_RUNS (3)."""
 
 import json
 import os
@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratacut.functions.scalars import luma
-from stratacut.operators import components, neighborhood, palette, vector
+from stratacut.operators import bridges, components, export, neighborhood, palette, vector
 from stratacut.plans import queries
 from stratacut.sources import fixtures
 
@@ -30,6 +30,10 @@ def headline(spark: SparkSession, sf: str):
     }
     made = {f"{name}_{kind}": lambda f=f, view=view: f(view()) for name, f in work.items() for kind, view in both.items()}
     made["ring_bridges"] = lambda: vector.shortest_clear(fixtures.rings(spark, sf))
+    made["corpus_palette_swatches"] = lambda: palette.corpus_palette(swatches(), 6)
+    made["outlines_posters"] = lambda: export.outlines(posters().where(luma() < 100).select("image_id", F.lit(0).alias("layer_id"), "x", "y"))
+    made["bridge_targets_swatches"] = lambda: queries.queries()["b02_b03_targets"](spark, sf)
+    made["simple_bridges_swatches"] = lambda: bridges.simple_bridges(*queries.stack_inputs(spark, sf)[:2], 2)
     return made
 
 
@@ -40,7 +44,7 @@ def main() -> None:
     took = {}
     for name, make in headline(spark, sf).items():
         times = []
-        for _ in range(4):  # the first warms up
+        for _ in range(1 + int(os.environ.get("BENCH_RUNS", "3"))):  # the first warms up
             began = time.time()
             make().write.format("noop").mode("overwrite").save()
             times.append(time.time() - began)
