@@ -408,7 +408,7 @@ def b10_erased(spark, sf):
 @query
 def b11_b13_simple_plan(spark, sf):
     mask, images, _ = stack_inputs(spark, sf)
-    return bridges.simple_bridges(mask, images, 2)
+    return bridges.simple_bridges(mask, images, 2).fillna(-1, "target")  # -1: the mainland
 
 
 @query

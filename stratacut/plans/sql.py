@@ -495,7 +495,7 @@ from st join {presets(range(2, 22))} using (n_layers) left join li using (sessio
     "b02_b03_targets": f"with recursive {targets(*SWATCH_STACK)} select * from ca",
     "b06_coverage": f"with recursive {covered(*SWATCH_STACK, 2, 't.mainland')} select image_id, layer_id, island, sector, sx, sy, tx, ty, round(coverage, 6) coverage from fo",
     "b08_best_candidates": f"with recursive {covered(*SWATCH_STACK, 2, 't.mainland')}, {best_of('image_id, layer_id, island, sector, sx, sy, tx, ty')}",
-    "b11_b13_simple_plan": f"with recursive {SIMPLE} select image_id, layer_id, island, anchor, sx, sy, tx, ty, target from sm union all select image_id, layer_id, island, anchor, sx, sy, tx, ty, null from sh",
+    "b11_b13_simple_plan": f"with recursive {SIMPLE} select image_id, layer_id, island, anchor, sx, sy, tx, ty, target from sm union all select image_id, layer_id, island, anchor, sx, sy, tx, ty, -1 from sh",
     "b05_line_members": f"with recursive sg as (select distinct image_id, 0 sx, y sy, r%20 tx, g%20 ty from {THUMBS} where x=0), {line_members('sg')} select image_id, sx, sy, tx, ty, seq, x, y from ln",
     "s07_mode_file_names": f"select 'stencil-' || mode || '-layer-' || (layer_id+1) || '.svg' file, count(*) n_pixels from {masks(THUMBS)}, (values ('realistic'), ('cartoon')) m(mode) group by layer_id, mode",
 }
