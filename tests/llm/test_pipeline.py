@@ -60,5 +60,5 @@ def test_registered(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {m[0] for x in names if (m := re.match(r"op\d+_", x))} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {m[0] for x in names if (m := re.match(r"op\d+_", x))} and "pipeline" in names
     assert __spark_entry__.oracle_sql().keys() <= names.keys()
