@@ -245,7 +245,7 @@ def crossings(vertices: DataFrame, margin: float) -> DataFrame:
     return met.select("doc_id", "c1", "c2", "s1", "s2").distinct().groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
 
 
-def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...] = (4, 16, CELLS)) -> DataFrame:
+def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...] = (16, CELLS)) -> DataFrame:
     """The shortest clear bridge of each island, nearest feet first.
 
     Vertices look for edges of the mainland in the nine cells around them, in ever wider cells: all feet within a cell's side are known
