@@ -98,6 +98,16 @@ def coverage(segments: DataFrame, upper: DataFrame | None) -> DataFrame:
     return segments.join(share, ["image_id", "sx", "sy", "tx", "ty"])
 
 
+def coverage_by_later(segments: DataFrame, masks: DataFrame, place: Column) -> DataFrame:
+    """``segments`` of all layers of a stack with the share of their line's pixels under layers of a later ``place`` (a column over layer_id)."""
+    ends = ["image_id", "sx", "sy", "tx", "ty"]
+    last = masks.groupBy("image_id", "x", "y").agg(F.max(place).alias("last"))
+    seen = line_pixels(segments.select(*ends)).join(last, ["image_id", "x", "y"], "left")
+    owned = segments.select(*ends, "layer_id", place.alias("place")).distinct().join(seen, ends)
+    share = owned.groupBy(*ends, "layer_id").agg((F.count_if(F.col("last") > F.col("place")) / F.count("*")).alias("coverage"))
+    return segments.join(share, [*ends, "layer_id"])
+
+
 def score(cov: Column, length: Column, near: Column, crossings: Column, mainland: Column) -> Column:
     return cov * 10000 - length - near * 500 - crossings * 1000 - length * 0.1 + F.when(mainland, 200).otherwise(0)
 
@@ -171,15 +181,19 @@ def erase(mask: DataFrame, bridges: DataFrame, width: int) -> DataFrame:
     return mask.join(stamped(lines, width), [*LAYER, "x", "y"], "left_anti")
 
 
-def candidates(mask: DataFrame, images: DataFrame, bridges: int = 3, each: int = 20, least: int = 0, mainland_only: bool = False, opposing: bool = False, within: int | None = None) -> DataFrame:
-    """(image_id, layer_id, island, area, sector, sx, sy, tx, ty, target, mainland) for every island of every layer."""
+def candidates(mask: DataFrame, images: DataFrame, bridges: int = 3, each: int = 20, least: int = 0, mainland_only: bool = False, opposing: bool = False, within: int | None = None, single: Column | None = None) -> DataFrame:
+    """(image_id, layer_id, island, area, sector, sx, sy, tx, ty, target, mainland) for every island of every layer.
+
+    ``single``: which layers (a column over layer_id) have one sector only, whatever ``bridges`` is.
+    """
     ink = runs(mask)
     cut = comp.label(comp.complement(ink, images, mask.select(*LAYER).distinct()), images)
     known = comp.mainland_and_islands(comp.facts(cut, images), least)
     edge = cut_boundary(cut, ink).join(known.select(*LAYER, "comp_id", "area", "role", "cx", "cy"), [*LAYER, "comp_id"]).join(images, "image_id")
     edge = edge.withColumn("idx", F.col("y").cast("long") * F.col("width") + F.col("x")).drop("width", "height")
     points = comp._saved(sampled(edge, [*LAYER, "comp_id"], ["idx"], F.when(F.col("role") == "mainland", 2000).otherwise(1000)))
-    sectors = points.where("role = 'island'").withColumn("sector", sector(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), sector_centres(bridges, opposing)))
+    around = sector(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), sector_centres(bridges, opposing))
+    sectors = points.where("role = 'island'").withColumn("sector", around if single is None else F.when(single, F.lit(0)).otherwise(around))
     sources = sampled(sectors, [*LAYER, "comp_id", "sector"], ["idx"], F.lit(each)).select(*LAYER, F.col("comp_id").alias("island"), "area", "sector", F.col("x").alias("sx"), F.col("y").alias("sy"))
     targets = points.select(*LAYER, F.col("comp_id").alias("target"), F.col("area").alias("t_area"), (F.col("role") == "mainland").alias("mainland"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("idx").alias("t_idx"))
     sources = comp._saved(sources)
@@ -205,18 +219,22 @@ def statistics(listed: DataFrame, layers: DataFrame) -> DataFrame:
 def bridge_stack(masks: DataFrame, images: DataFrame, order: list[int], realistic: bool = True, width: int = 2, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """A whole stack: all pictures at once, layers in ``order`` from dark to light.
 
-    Realistic layers are hidden by the darker ones before them, as already bridged, so they go one after another; cartoon
-    layers by the lighter ones after them, unbridged.
+    Realistic layers are hidden by the darker ones before them, as already bridged, so the choice goes layer by layer; cartoon
+    layers by the lighter ones after them, unbridged, so all are chosen at once. Components, boundaries and candidates, the costly
+    part, don't depend on other layers and are found for the whole stack in one pass.
     """
+    stack = masks.where(F.col("layer_id").isin(order)).select(*LAYER, "x", "y")
+    if not realistic:
+        place = F.array_position(F.array(*map(F.lit, order)), F.col("layer_id")).cast("int")
+        found = candidates(stack, images, bridges=3, each=8, least=least, mainland_only=True, opposing=True, single=F.col("layer_id") != order[0])
+        listed = comp._saved(choose(coverage_by_later(found, stack, place), width))
+        return comp._saved(erase(stack, listed.where("selected"), width)), listed
+    found = comp._saved(candidates(stack, images, bridges=3, each=20, least=least))
     done, listed = None, None
-    for place, layer in enumerate(order):
-        own = masks.where(F.col("layer_id") == layer).select(*LAYER, "x", "y")
-        if realistic:
-            new, rows = smart_bridges(own, images, done, width, bridges=3, each=20, least=least)
-        else:
-            over = masks.where(F.col("layer_id").isin(order[place + 1 :])) if order[place + 1 :] else None
-            new, rows = smart_bridges(own, images, over, width, bridges=3 if place == 0 else 1, each=8, least=least, mainland_only=True, opposing=place == 0)
-        new = comp._saved(new)
+    for layer in order:
+        own = F.col("layer_id") == layer
+        rows = comp._saved(choose(coverage(found.where(own), done), width))
+        new = comp._saved(erase(stack.where(own), rows.where("selected"), width))
         done, listed = new if done is None else done.unionByName(new), rows if listed is None else listed.unionByName(rows)
     return done, listed
 

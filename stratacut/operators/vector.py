@@ -63,11 +63,11 @@ def rings_of(d: str) -> list[list[tuple[float, float]]]:
 
 
 def flatten(found: DataFrame) -> DataFrame:
-    """(doc_id, contour_id, seq, x, y): vertices of the rings of (doc_id, path_id, d); contour_id is path_id * 1000000 + ring."""
+    """(doc_id, contour_id, seq, x, y): vertices of the rings of (doc_id, path_id, d); contour_id is path_id * 2^32 + ring."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, path * 1_000_000 + k, s, x, y) for doc, path, d in batch.itertuples(index=False) for k, ring in enumerate(rings_of(d or "")) for s, (x, y) in enumerate(ring)]
+            rows = [(doc, (path << 32) + k, s, x, y) for doc, path, d in batch.itertuples(index=False) for k, ring in enumerate(rings_of(d or "")) for s, (x, y) in enumerate(ring)]
             yield pd.DataFrame(rows, columns=["doc_id", "contour_id", "seq", "x", "y"])
 
     return found.select("doc_id", "path_id", "d").mapInPandas(emit, "doc_id long, contour_id long, seq int, x double, y double")
@@ -327,9 +327,9 @@ def bridged_paths(vertices: DataFrame, width: float = 3, tolerance: float = 0) -
     """
     full = vertices
     vertices = simplify(vertices, tolerance) if tolerance > 0 else vertices
-    shapes = ring_arrays(full).select("doc_id", F.concat(F.lit("c"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("points")).alias("d"))
+    shapes = ring_arrays(full).select("doc_id", F.concat(F.lit("c"), F.lpad(F.col("contour_id").cast("string"), 19, "0")).alias("place"), path_of(F.col("points")).alias("d"))
     joins = shortest_clear(vertices).withColumn("box", bridge_rectangle(width)).where("box is not null")
-    return shapes.unionByName(joins.select("doc_id", F.concat(F.lit("x"), F.lpad(F.col("contour_id").cast("string"), 12, "0")).alias("place"), path_of(F.col("box")).alias("d")))
+    return shapes.unionByName(joins.select("doc_id", F.concat(F.lit("x"), F.lpad(F.col("contour_id").cast("string"), 19, "0")).alias("place"), path_of(F.col("box")).alias("d")))
 
 
 def documents(found: DataFrame, heads: DataFrame, fill: str = "black") -> DataFrame:

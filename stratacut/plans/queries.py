@@ -492,7 +492,7 @@ def v11_path_strings(spark, sf):
 @query
 def v12_documents(spark, sf):
     rings = fixtures.rings(spark, sf)
-    shapes = vector.ring_arrays(rings).select("doc_id", F.lpad(F.col("contour_id").cast("string"), 12, "0").alias("place"), vector.path_of(F.col("points")).alias("d"))
+    shapes = vector.ring_arrays(rings).select("doc_id", F.lpad(F.col("contour_id").cast("string"), 19, "0").alias("place"), vector.path_of(F.col("points")).alias("d"))
     return vector.documents(shapes, svgs(spark, sf), "#123456")
 
 

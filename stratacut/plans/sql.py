@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from stratacut.sources import fixtures as fx
 
 # Fixed values, written out here so that the SQL doesn't depend on the library's own tables: limits and colours of the presets for 2 to 12
@@ -254,8 +256,12 @@ def spread(name: str, cells: str, width: int) -> str:
 
 def shores(view: str, width: int, layers: str, least: int) -> str:
     """Views mk (ink), hole, kn (facts of mainland and islands) and pt (their boundary points) of the layers that meet ``layers``."""
-    return f"""mk as materialized (select image_id, layer_id, y*{width}+x idx from {masks(view)} where {layers}),
-gap as materialized (select p.image_id, l.layer_id, p.y*{width}+p.x idx from {view} p join (select distinct image_id, layer_id from mk) l using (image_id) anti join mk b on b.image_id=p.image_id and b.layer_id=l.layer_id and b.idx=p.y*{width}+p.x), {spread('hole', 'gap', width)},
+    return f"""mk as materialized (select image_id, layer_id, y*{width}+x idx from {masks(view)} where {layers}), {banks(view, width, least)}"""
+
+
+def banks(view: str, width: int, least: int) -> str:
+    """Views hole, kn and pt of ``shores`` for a given view mk."""
+    return f"""gap as materialized (select p.image_id, l.layer_id, p.y*{width}+p.x idx from {view} p join (select distinct image_id, layer_id from mk) l using (image_id) anti join mk b on b.image_id=p.image_id and b.layer_id=l.layer_id and b.idx=p.y*{width}+p.x), {spread('hole', 'gap', width)},
 fa as (select image_id, layer_id, comp_id, count(*) area, avg(idx%{width}) cx, avg(idx//{width}) cy from hole group by 1,2,3),
 kn as (select *, n=1 mainland from (select *, row_number() over (partition by image_id, layer_id order by area desc, comp_id) n from fa) where n=1 or area >= {least}),
 pt as materialized (select distinct h.image_id, h.layer_id, h.comp_id, h.idx, h.idx%{width} x, h.idx//{width} y, area, mainland, cx, cy from hole h join kn using (image_id, layer_id, comp_id)
@@ -264,11 +270,15 @@ pt as materialized (select distinct h.image_id, h.layer_id, h.comp_id, h.idx, h.
 
 def targets(view: str, width: int, layers: str, to: str = "t.mainland or t.comp_id <> s.comp_id and t.area > s.area") -> str:
     """View ca: sources of three sectors, at most 8 points each, with the nearest point of each component that meets ``to``."""
+    return f"{shores(view, width, layers, 2)}, {sources(8, to)}"
+
+
+def sources(each: int, to: str = "t.mainland or t.comp_id <> s.comp_id and t.area > s.area") -> str:
+    """View ca of ``targets`` from pt, with at most ``each`` points of a sector."""
     d2 = "((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*100000+t.idx"
-    return f"""{shores(view, width, layers, 2)},
-se as (select *, case when {TURNED[0]} <= {TURNED[1]} and {TURNED[0]} <= {TURNED[2]} then 0 when {TURNED[1]} <= {TURNED[2]} then 1 else 2 end sector from pt where not mainland),
+    return f"""se as (select *, case when {TURNED[0]} <= {TURNED[1]} and {TURNED[0]} <= {TURNED[2]} then 0 when {TURNED[1]} <= {TURNED[2]} then 1 else 2 end sector from pt where not mainland),
 sr as (select *, row_number() over (partition by image_id, layer_id, comp_id, sector order by idx)-1 r, count(*) over (partition by image_id, layer_id, comp_id, sector) n from se),
-so as (select * from sr where n <= 8 or list_contains(list_transform(range(8), lambda i: cast(floor(i*(n/8::DOUBLE)) as bigint)), r)),
+so as (select * from sr where n <= {each} or list_contains(list_transform(range({each}), lambda i: cast(floor(i*(n/{each}::DOUBLE)) as bigint)), r)),
 ca as materialized (select s.image_id, s.layer_id, s.comp_id island, s.area, s.sector, s.x sx, s.y sy, t.comp_id target, t.mainland, arg_min(t.x, {d2}) tx, arg_min(t.y, {d2}) ty
  from so s join pt t on t.image_id=s.image_id and t.layer_id=s.layer_id and ({to}) group by all)"""
 
@@ -319,6 +329,37 @@ st as (select distinct s.image_id, s.layer_id, (l.y+b)*{canvas}+l.x+a idx from s
 select k.image_id, k.layer_id, count(*) filter (where st.idx is null) ink from mk k left join st on st.image_id=k.image_id and st.layer_id=k.layer_id and st.idx=k.idx group by 1,2"""
 
 
+def numbered(text: str, k: int) -> str:
+    """Views of layer ``k``: the names of line_members and chosen with a number."""
+    return re.sub(r"\b(fo|cf|g|sl|pt2|listed|ln)\b", rf"\g<1>{k}", text)
+
+
+def realistic_stack(n: int, canvas: int, width: int) -> str:
+    """Views listed<k> and er<k> (ink that is left) of the layers of mk and ca: each layer covered by what is left of those before it."""
+    half, parts = width // 2, []
+    for k in range(n):
+        under = " union ".join(f"select image_id, idx from er{j}" for j in range(k)) or "select image_id, idx from mk where false"
+        lines = line_members(f"sg{k}")
+        parts.append(f"""sg{k} as (select distinct image_id, sx, sy, tx, ty from ca where layer_id={k}), {numbered(lines, k)}, up{k} as materialized ({under}),
+cv{k} as (select l.image_id, sx, sy, tx, ty, count(u.idx)/count(*)::DOUBLE coverage from ln{k} l left join up{k} u on u.image_id=l.image_id and u.idx=l.y*{canvas}+l.x group by 1,2,3,4,5),
+fo{k} as materialized (select * from ca join cv{k} using (image_id, sx, sy, tx, ty) where layer_id={k}), {numbered(chosen(width), k)},
+pl{k} as (select distinct image_id, sx::int sx, sy::int sy, tx::int tx, ty::int ty from sl{k}), {numbered(line_members(f"pl{k}"), 100 + k)},
+st{k} as (select distinct image_id, (y+b)*{canvas}+x+a idx from ln{100 + k}, range(-{half}, {half + 1}) t(a), range(-{half}, {half + 1}) u(b) where x+a between 0 and {canvas - 1}),
+er{k} as materialized (select m.image_id, m.layer_id, m.idx from mk m anti join st{k} s on s.image_id=m.image_id and s.idx=m.idx where m.layer_id={k})""")
+    return ",\n".join(parts)
+
+
+def cleaned(view: str, width: int, radius: int, least: int) -> str:
+    """Views sf (blurred pixels) and whole (cells of the four layers without specks and inner holes under ``least`` pixels)."""
+    return f"""p0 as (select image_id, x, y, r, g, b, a, luma from {lit(view)}), h0 as (select *, cast({blur_pass('luma', 'x', 'y', radius)} as float) hh from p0),
+sf as materialized (select image_id, x, y, r, g, b, a, cast(floor({blur_pass('hh', 'y', 'x', radius)}+0.5) as int) luma from h0), low as (select image_id, max(y) bottom from sf group by 1),
+mk0 as materialized (select image_id, layer_id, y*{width}+x idx from sf join {FOUR} on {INSIDE} where a >= 10), {spread('ink0', 'mk0', width)},
+big as materialized (select image_id, layer_id, idx from (select *, count(*) over (partition by image_id, layer_id, comp_id) n from ink0) where n >= {least}),
+gap0 as materialized (select p.image_id, l.layer_id, p.y*{width}+p.x idx from sf p join (select distinct image_id, layer_id from mk0) l using (image_id) anti join big b on b.image_id=p.image_id and b.layer_id=l.layer_id and b.idx=p.y*{width}+p.x), {spread('hole0', 'gap0', width)},
+filled as (select image_id, layer_id, comp_id from hole0 join low using (image_id) group by 1,2,3 having count(*) < {least} and not bool_or(idx%{width} in (0,{width - 1}) or idx//{width} in (0, bottom))),
+whole as materialized (select * from big union all select image_id, layer_id, idx from hole0 semi join filled using (image_id, layer_id, comp_id))"""
+
+
 THUMB_STACK = (THUMBS, 8, "true")
 SWATCH_STACK = (SWATCHES, 24, "layer_id < 2")
 SIMPLE = f"""{shores(SWATCHES, 24, "layer_id < 2", 0)}, tot as (select image_id, count(*) total from {SWATCHES} group by 1),
@@ -428,7 +469,7 @@ select * from {runs("g")}""",
     "b05_line_pixels": f"select distinct image_id, 0 sx, y sy, r%40 tx, g%40 ty, cast(greatest(r%40, abs(g%40-y))+1 as bigint) n, 0 x_min, r%40 x_max, least(y, g%40) y_min, greatest(y, g%40) y_max from {THUMBS} where x=0",
     "b07_crossings": f"with {EDGES}, p as (select a.doc_id, a.contour_id c1, b.contour_id c2, a.nx-a.x ux, a.ny-a.y uy, b.nx-b.x vx, b.ny-b.y vy, b.x-a.x wx, b.y-a.y wy from e a join e b on a.doc_id=b.doc_id and a.contour_id < b.contour_id), q as (select *, ux*vy-uy*vx det from p) select doc_id, c1, c2, count(*) n from q where {CROSS.format(m='0.01::DOUBLE')} group by 1,2,3",
     "v01_paths": f"select doc_id, cast(n-1 as int) path_id, d from (select doc_id, unnest(regexp_extract_all(svg, 'd=\"([^\"]*)\"', 1)) d, generate_subscripts(regexp_extract_all(svg, 'd=\"([^\"]*)\"', 1), 1) n from {SVGS})",
-    "v02_flatten": f"select doc_id, (dense_rank() over (partition by doc_id order by contour_id)-1)*1000000 contour_id, seq, x, y from {RINGS}",
+    "v02_flatten": f"select doc_id, (dense_rank() over (partition by doc_id order by contour_id)-1)*4294967296 contour_id, seq, x, y from {RINGS}",
     "v03_areas": f"with {AREAS} select doc_id, contour_id, round(area, 6) area from ar",
     "v04_mainland": f"with {AREAS} select doc_id, contour_id, role from ro",
     "v06_feet": f"with {CANDS} select doc_id, contour_id, count(*) n, min(round(d2, 6)) d2 from cand group by 1,2",
@@ -461,6 +502,22 @@ select image_id, coalesce({STACK_SQL}[layer_id%8+1], 'transparent') color, count
     "k05_palette": f"with {palette(4, 12)} select * from pal",
     "v09_rectangles": f"with {CANDS}, first as (select * from (select *, row_number() over (partition by doc_id, contour_id order by d2, seq, edge) n from cand) where n=1), {corners('first')} select doc_id, contour_id, {', '.join(f'round({c}{k}, 6) {c}{k}' for k in range(4) for c in 'xy')} from corner",
     "v10_bridged_paths": f"with {BEST}, {corners('best')}, b as (select doc_id, count(*) n from corner group by 1) select doc_id, count(*) + coalesce(any_value(n), 0) n_paths, coalesce(any_value(n), 0) n_bridges from (select distinct doc_id, contour_id from e) left join b using (doc_id) group by 1",
+    "t05_tone_layers": f"with recursive {cleaned(SWATCHES, 24, 2, 5)} select image_id, layer_id, count(*) ink from whole group by 1,2",
+    "b15_bridged_stack": f"""with recursive mk as materialized (select image_id, layer_id, y*8+x idx from {masks(THUMBS)}), {banks(THUMBS, 8, 0)}, {sources(20)}, {realistic_stack(4, 8, 2)}
+select image_id, layer_id, count(e.idx) ink from (select distinct image_id, layer_id from mk) l left join ({' union all '.join(f'select * from er{k}' for k in range(4))}) e using (image_id, layer_id) group by 1,2""",
+    "w1_realistic_stack": f"""with recursive {cleaned(THUMBS, 8, 2, 3)}, mk as materialized (select * from whole), {banks(THUMBS, 8, 0)}, {sources(20)}, {realistic_stack(4, 8, 2)},
+be as (select image_id, layer_id, count(*) ink from mk group by 1,2), af as (select image_id, layer_id, count(*) ink_left from ({' union all '.join(f'select * from er{k}' for k in range(4))}) group by 1,2),
+bs as (select image_id, layer_id, count(distinct island) island_count, count(*) filter (where selected) bridges_created from ({' union all '.join(f'select image_id, layer_id, island, selected from listed{k}' for k in range(4))}) group by 1,2),
+cl as (select image_id, layer_id, cast(floor(sum(r)/count(*)+0.5) as int) r, cast(floor(sum(g)/count(*)+0.5) as int) g, cast(floor(sum(b)/count(*)+0.5) as int) b from sf join {BANDS} bb on lower <= luma and luma < upper where a >= 10 group by 1,2)
+select i.image_id, t.layer_id, case when t.layer_id=0 then 'Layer 1 (Black)' when t.layer_id=3 then 'Layer 4 (White)' else 'Layer ' || (t.layer_id+1) end as name,
+ '#' || printf('%02x%02x%02x', coalesce(r,0), coalesce(g,0), coalesce(b,0)) color, coalesce(ink, 0) ink, coalesce(ink_left, 0) ink_left, coalesce(island_count, 0) island_count, coalesce(bridges_created, 0) bridges_created
+from (select distinct image_id from sf) i cross join {BANDS} t left join cl using (image_id, layer_id) left join be using (image_id, layer_id) left join af using (image_id, layer_id) left join bs using (image_id, layer_id)""",
+    "w3_simplified_documents": f"""with recursive v as materialized (select * from {RINGS}), part as (select doc_id, contour_id, min(seq) a, max(seq) b from v group by 1,2 union all
+ select doc_id, contour_id, unnest([a, k]), unnest([k, b]) from (select doc_id, contour_id, a, b, arg_max(seq, (d, -seq)) k, max(d) d from (select p.*, m.seq,
+  case when y.x=x.x and y.y=x.y then sqrt((m.x-x.x)*(m.x-x.x)+(m.y-x.y)*(m.y-x.y)) else abs((m.x-x.x)*(y.y-x.y)-(m.y-x.y)*(y.x-x.x))/sqrt((y.x-x.x)*(y.x-x.x)+(y.y-x.y)*(y.y-x.y)) end d
+  from part p join v m on m.doc_id=p.doc_id and m.contour_id=p.contour_id and m.seq > p.a and m.seq < p.b join v x on x.doc_id=p.doc_id and x.contour_id=p.contour_id and x.seq=p.a join v y on y.doc_id=p.doc_id and y.contour_id=p.contour_id and y.seq=p.b) group by 1,2,3,4) where d > 12),
+sim as materialized (select v.* from v semi join (select doc_id, contour_id, unnest([a, b]) seq from part) k using (doc_id, contour_id, seq)), {BEST.replace(RINGS, "sim")}, {corners('best')}
+select doc_id, count(*) + coalesce(any_value(n), 0) n_paths from (select distinct doc_id, contour_id from v) left join (select doc_id, count(*) n from corner group by 1) using (doc_id) group by 1""",
     "w3_bridged_documents": f"""with {BEST}, {corners('best')}, paths as (select doc_id, 0 part, contour_id, d from {path(RINGS)} union all
  select doc_id, 1, contour_id, 'M ' || {" || ' L ' || ".join(f"{NUM.format(v=f'x{k}')} || ' ' || {NUM.format(v=f'y{k}')}" for k in range(4))} || ' Z' from corner)
 select doc_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000" width="1000" height="1000">' || string_agg('<path d="' || d || '" fill="#123456" fill-rule="evenodd"/>', '' order by part, contour_id) || '</svg>' svg from paths group by 1""",

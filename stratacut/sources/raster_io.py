@@ -63,22 +63,57 @@ def shrink(dense: DataFrame, most: int = 4096) -> DataFrame:
     return moved.groupBy("image_id", "x", "y").agg(*(rounded(F.avg(c)).cast("int").alias(c) for c in "rgba"))
 
 
-def png_bytes(width: int, height: int, x: np.ndarray, y: np.ndarray, rgba: np.ndarray) -> bytes:
-    canvas = np.zeros((height, 1 + 4 * width), np.uint8)
-    for k in range(4):
-        canvas[y, 1 + 4 * x + k] = rgba[:, k]
-    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(canvas.tobytes())) + part(b"IEND", b"")
-
-
-def to_png(coloured: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, layer_id, png) of (image_id, layer_id, x, y, r, g, b, a); pixels that aren't there are transparent."""
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        png = png_bytes(int(rows["width"].iloc[0]), int(rows["height"].iloc[0]), rows["x"].to_numpy(), rows["y"].to_numpy(), rows[["r", "g", "b", "a"]].to_numpy(np.uint8))
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "layer_id": rows["layer_id"].iloc[:1], "png": [png]})
-
-    return coloured.join(images, "image_id").groupBy("image_id", "layer_id").applyInPandas(draw, "image_id long, layer_id int, png binary")
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def _deflated(canvas: np.ndarray) -> tuple[bytes, int, int]:
+    """Rows of a picture as a part of a deflate stream that refers to no other part, with the rows' Adler-32 and their number of bytes."""
+    raw, coder = canvas.tobytes(), zlib.compressobj(wbits=-15)
+    return coder.compress(raw) + coder.flush(zlib.Z_FULL_FLUSH), zlib.adler32(raw), len(raw)
+
+
+def adler_of_both(first: int, second: int, size: int) -> int:
+    """Adler-32 of two byte strings one after the other, from theirs and the second's size."""
+    low = ((first & 0xFFFF) + (second & 0xFFFF) - 1) % 65521
+    high = ((first >> 16) + (second >> 16) + size * ((first & 0xFFFF) - 1)) % 65521
+    return high << 16 | low
+
+
+def to_png(coloured: DataFrame, images: DataFrame, part: int = 1 << 18) -> DataFrame:
+    """(image_id, layer_id, png) of (image_id, layer_id, x, y, r, g, b, a); pixels that aren't there are transparent.
+
+    Rows of about ``part`` pixels are coded by themselves, so no task holds a whole picture's pixels; a last step puts the coded
+    parts of a picture, each a chunk of its file, in order.
+    """
+    key = ["image_id", "layer_id"]
+
+    def code(rows: pd.DataFrame) -> pd.DataFrame:
+        width, height, per, k = (int(rows[c].iloc[0]) for c in ("width", "height", "_per", "_part"))
+        canvas = np.zeros((min(per, height - k * per), 1 + 4 * width), np.uint8)
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy() - k * per
+        for i, c in enumerate("rgba"):
+            canvas[y, 1 + 4 * x + i] = rows[c].to_numpy(np.uint8)
+        data, adler, _ = _deflated(canvas)
+        return rows[[*key, "width", "height", "_per", "_part"]].head(1).assign(data=data, adler=adler)
+
+    def join(parts: pd.DataFrame) -> pd.DataFrame:
+        width, height, per = (int(parts[c].iloc[0]) for c in ("width", "height", "_per"))
+        there, adler, chunks = {k: (data, own) for k, data, own in zip(parts["_part"], parts["data"], parts["adler"], strict=True)}, 1, []
+        n = -(-height // per)
+        for k in range(n):
+            rows = min(per, height - k * per)
+            size = rows * (1 + 4 * width)
+            data, own = there[k] if k in there else _deflated(np.zeros((rows, 1 + 4 * width), np.uint8))[:2]
+            adler = adler_of_both(adler, own, size)
+            chunks.append(_chunk(b"IDAT", (b"\x78\x9c" if k == 0 else b"") + data + (zlib.compressobj(wbits=-15).flush() + struct.pack(">I", adler) if k == n - 1 else b"")))
+        png = b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + b"".join(chunks) + _chunk(b"IEND", b"")
+        return parts[key].head(1).assign(png=[png])
+
+    per = F.greatest(F.lit(1), F.floor(F.lit(part) / F.col("width"))).cast("int")
+    placed = coloured.join(images, "image_id").withColumn("_per", per).withColumn("_part", F.floor(F.col("y") / F.col("_per")).cast("int"))
+    coded = placed.groupBy(*key, "_part").applyInPandas(code, "image_id long, layer_id int, width int, height int, _per int, _part int, data binary, adler long")
+    return coded.groupBy(*key).applyInPandas(join, "image_id long, layer_id int, png binary")
 
 
 def enlarged(coloured: DataFrame, images: DataFrame, scale: int = 4) -> DataFrame:
