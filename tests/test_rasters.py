@@ -1,5 +1,6 @@
 """Hand-made masks, round trips and streams."""
 
+import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratacut.operators import bridges, components, compose, export, neighborhood, palette, vector, workloads
-from stratacut.sources import fixtures, raster_io
+from stratacut.sources import fixtures, png, raster_io
 from stratacut.streaming import live
 
 RING = ["#####", "#...#", "#...#", "#...#", "#####"]
@@ -218,3 +219,55 @@ def test_own_number_of_colours(spark, sf):
     counts = {r.image_id: r.n_colors for r in palette.estimate_count(pixels).collect()}
     made = {r.image_id: r["count"] for r in workloads.colour_stack(pixels, None, bleed=0).layers.groupBy("image_id").count().collect()}
     assert made.keys() == counts.keys() and all(2 <= made[k] <= counts[k] for k in made)
+
+
+@pytest.mark.parametrize("part", [9, 20, 1 << 18])
+def test_png_in_blocks_of_rows(spark, tmp_path, part):
+    """Blocks of one, two and all rows give the same picture; rows without pixels are transparent; the file's own checksums hold."""
+    pixels = [(1, 0, x, y, x * 20, y * 30, 200 - x, 255) for x in range(9) for y in (1, 2, 5)]
+    rows = spark.createDataFrame(pixels, "image_id long, layer_id int, x int, y int, r int, g int, b int, a int")
+    images = spark.createDataFrame([(1, 9, 7)], "image_id long, width int, height int")
+    (made,) = raster_io.to_png(rows, images, part).collect()
+    expected = np.zeros((7, 9, 4), np.uint8)
+    for _, _, x, y, *rgba in pixels:
+        expected[y, x] = rgba
+    assert (png.decode(bytes(made.png)) == expected).all()
+    (tmp_path / "a.png").write_bytes(made.png)
+    assert raster_io.pixels(raster_io.read_images(spark, str(tmp_path))).where("a = 255").count() == len(pixels)
+
+
+def test_adler_of_parts():
+    a, b = bytes(range(256)) * 300, b"\xff" * 70_000
+    for x, y in ((a, b), (b, a), (b"", a), (a, b""), (b, b)):
+        assert raster_io.adler_of_both(zlib.adler32(x), zlib.adler32(y), len(y)) == zlib.adler32(x + y)
+
+
+def test_cartoon_stack_at_once_equals_layer_by_layer(spark, sf):
+    """One pass over all layers chooses and erases what layers by themselves do, whatever the order of the layers."""
+    rng = np.random.default_rng(5)
+    shade = rng.integers(0, 3, (4, 14, 14))
+    inked = [(k, int(shade[k, y, x]), x, y) for k in range(4) for y in range(14) for x in range(14) if (x * y + k) % 5]
+    masks = spark.createDataFrame(inked, "image_id long, layer_id int, x int, y int")
+    images = spark.createDataFrame([(k, 14, 14) for k in range(4)], "image_id long, width int, height int")
+    order = [2, 0, 1]
+    done, listed = bridges.bridge_stack(masks, images, order, False, 2, 1)
+    kept, rows = set(), set()
+    for place, layer in enumerate(order):
+        later = order[place + 1 :]
+        over = masks.where(F.col("layer_id").isin(later)) if later else None
+        new, found = bridges.smart_bridges(masks.where(F.col("layer_id") == layer), images, over, 2, bridges=3 if place == 0 else 1, each=8, least=1, mainland_only=True, opposing=place == 0)
+        kept |= {tuple(r) for r in new.collect()}
+        rows |= {tuple(r) for r in found.collect()}
+    assert {tuple(r) for r in done.collect()} == kept and len(kept) < len(inked)
+    assert {tuple(r) for r in listed.collect()} == rows
+    assert {r[1] for r in rows if r[-1]} == {0, 1, 2} and any(0 < r[10] < 1 for r in rows)
+
+
+def test_places_of_many_rings(spark):
+    """Rings of neighbouring paths never share an id, however many rings a path has; documents keep all of them in order."""
+    d = "M 0 0 L 4 0 L 4 4 Z M 1 1 L 2 1 L 2 2 Z"
+    found = spark.createDataFrame([(1, 0, d), (1, 1, d), (1, 2_000_000_000, d)], "doc_id long, path_id int, d string")
+    ids = sorted({r.contour_id for r in vector.flatten(found).collect()})
+    assert len(ids) == 6 and ids[2] - ids[0] > 1_000_000 and all(i >> 32 in (0, 1, 2_000_000_000) for i in ids)
+    places = [r.place for r in vector.bridged_paths(vector.flatten(found)).collect() if r.place.startswith("c")]
+    assert len(set(places)) == 6 and [int(p[1:]) for p in sorted(places)] == ids
