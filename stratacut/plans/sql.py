@@ -168,12 +168,15 @@ def reached(name: str, cells: str) -> str:
 SQUARE = "({a}.r-{b}.r)*({a}.r-{b}.r)+({a}.g-{b}.g)*({a}.g-{b}.g)+({a}.b-{b}.b)*({a}.b-{b}.b)"
 
 
-def palette(n: int, rounds: int) -> str:
-    """Views pal0 ... pal<rounds> (image_id, k, r, g, b) of the 8x8 pictures: farthest seeds and Lloyd's rounds."""
+def palette(n: int, rounds: int, only: str = "true") -> str:
+    """Views pal0 ... pal<rounds> (image_id, k, r, g, b) of the 8x8 pictures: farthest seeds and Lloyd's rounds.
+
+    ``only``: a condition on image_id for seed {k} after the first.
+    """
     parts = [f"px as materialized (select image_id, y*8+x idx, cast(r as double) r, cast(g as double) g, cast(b as double) b from {THUMBS} where a >= 10)", "s0 as materialized (select image_id, 0 k, r, g, b from (select *, row_number() over (partition by image_id order by idx) n from px) where n=1)"]
     for k in range(1, n):
         parts.append(f"""s{k} as materialized (select * from s{k - 1} union all select image_id, {k}, r, g, b from (select *, row_number() over (partition by image_id order by d desc, idx) n from
- (select p.image_id, p.idx, any_value(p.r) r, any_value(p.g) g, any_value(p.b) b, min({SQUARE.format(a="p", b="s")}) d from px p join s{k - 1} s using (image_id) group by 1,2)) where n=1 and d > 0)""")
+ (select p.image_id, p.idx, any_value(p.r) r, any_value(p.g) g, any_value(p.b) b, min({SQUARE.format(a="p", b="s")}) d from px p join s{k - 1} s using (image_id) group by 1,2)) where n=1 and d > 0 and {only.format(k=k)})""")
     parts.append(f"pal0 as (select * from s{n - 1})")
     for j in range(1, rounds + 1):
         parts.append(f"""pal{j} as materialized (select s.image_id, s.k, coalesce(mr,s.r) r, coalesce(mg,s.g) g, coalesce(mb,s.b) b from pal{j - 1} s left join (select image_id, k, sum(r)/count(*) mr, sum(g)/count(*) mg, sum(b)/count(*) mb from
@@ -242,6 +245,7 @@ def line_members(segments: str) -> str:
 
 
 TURN = "(atan2(y-cy, x-cx)+pi())"
+OPPOSING = [f"(case when abs({TURN}-{c}) > pi() then 2*pi()-abs({TURN}-{c}) else abs({TURN}-{c}) end)" for c in ("0", "pi()", "(pi()/2)")]
 TURNED = [f"(case when abs({TURN}-{c}) > pi() then 2*pi()-abs({TURN}-{c}) else abs({TURN}-{c}) end)" for c in ("0", "(2*pi()/3)", "(4*pi()/3)")]
 
 
@@ -273,10 +277,13 @@ def targets(view: str, width: int, layers: str, to: str = "t.mainland or t.comp_
     return f"{shores(view, width, layers, 2)}, {sources(8, to)}"
 
 
-def sources(each: int, to: str = "t.mainland or t.comp_id <> s.comp_id and t.area > s.area") -> str:
+THIRDS = f"case when {TURNED[0]} <= {TURNED[1]} and {TURNED[0]} <= {TURNED[2]} then 0 when {TURNED[1]} <= {TURNED[2]} then 1 else 2 end"
+
+
+def sources(each: int, to: str = "t.mainland or t.comp_id <> s.comp_id and t.area > s.area", sector: str = THIRDS) -> str:
     """View ca of ``targets`` from pt, with at most ``each`` points of a sector."""
     d2 = "((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))*100000+t.idx"
-    return f"""se as (select *, case when {TURNED[0]} <= {TURNED[1]} and {TURNED[0]} <= {TURNED[2]} then 0 when {TURNED[1]} <= {TURNED[2]} then 1 else 2 end sector from pt where not mainland),
+    return f"""se as (select *, {sector} sector from pt where not mainland),
 sr as (select *, row_number() over (partition by image_id, layer_id, comp_id, sector order by idx)-1 r, count(*) over (partition by image_id, layer_id, comp_id, sector) n from se),
 so as (select * from sr where n <= {each} or list_contains(list_transform(range({each}), lambda i: cast(floor(i*(n/{each}::DOUBLE)) as bigint)), r)),
 ca as materialized (select s.image_id, s.layer_id, s.comp_id island, s.area, s.sector, s.x sx, s.y sy, t.comp_id target, t.mainland, arg_min(t.x, {d2}) tx, arg_min(t.y, {d2}) ty
@@ -540,6 +547,17 @@ mask as (select * from flat anti join gone using (image_id, idx)),
 bled as (select distinct image_id, layer_id, idx%8+dx x, idx//8+dy y from mask, (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dx,dy) where (layer_id > 0 or dx=0 and dy=0) and idx%8+dx between 0 and 7 and idx//8+dy between 0 and 7)
 select o.image_id, cast(o.layer_id as int) layer_id, 'Color ' || (k+1) as name, upper('#' || printf('%02x%02x%02x', r, g, b)) description, '#' || printf('%02x%02x%02x', r, g, b) color, coalesce(ink, 0) ink
 from ord o left join (select image_id, layer_id, count(*) ink from bled group by 1,2) using (image_id, layer_id)""",
+    "w2_colour_stack": f"""with recursive cnt as materialized ({leaders(THUMBS, 8)}), {reach("least(r,g,b) >= 240")}, bg as (select distinct image_id, comp_id from l where idx%8 in (0,7) or idx//8 in (0,7)), gone as (select l.image_id, idx from l join bg using (image_id, comp_id)),
+{palette(20, 12, "image_id in (select image_id from cnt where n_colors > {k})")}, ord as materialized (select *, row_number() over (partition by image_id order by (0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b)/255, k)-1 layer_id from pal),
+flat as materialized (select image_id, idx, layer_id from (select *, row_number() over (partition by image_id, idx order by d, k) n from (select p.image_id, p.idx, o.k, o.layer_id, {SQUARE.format(a="p", b="o")} d from px p join ord o using (image_id))) where n=1),
+mk as materialized (select distinct image_id, layer_id, (idx//8+dy)*8+idx%8+dx idx from (select * from flat anti join gone using (image_id, idx)), (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dx,dy) where (layer_id > 0 or dx=0 and dy=0) and idx%8+dx between 0 and 7 and idx//8+dy between 0 and 7),
+{banks(THUMBS, 8, 1)}, {sources(8, 't.mainland', f"case when layer_id > 0 or {OPPOSING[0]} <= {OPPOSING[1]} and {OPPOSING[0]} <= {OPPOSING[2]} then 0 when {OPPOSING[1]} <= {OPPOSING[2]} then 1 else 2 end")},
+sg as (select distinct image_id, layer_id, sx, sy, tx, ty from ca), si as (select distinct image_id, sx, sy, tx, ty from ca), {line_members('si')}, tp as (select image_id, idx, max(layer_id) top from mk group by 1,2),
+cv as (select g.image_id, g.layer_id, sx, sy, tx, ty, count(*) filter (where top > g.layer_id)/count(*)::DOUBLE coverage from sg g join ln using (image_id, sx, sy, tx, ty) left join tp on tp.image_id=g.image_id and tp.idx=ln.y*8+ln.x group by 1,2,3,4,5,6),
+fo as materialized (select * from ca join cv using (image_id, layer_id, sx, sy, tx, ty)), {chosen(2)}, sj as (select distinct image_id, sx::int sx, sy::int sy, tx::int tx, ty::int ty from sl), {numbered(line_members('sj'), 100)},
+st as (select distinct s.image_id, s.layer_id, (l.y+b)*8+l.x+a idx from sl s join ln100 l using (image_id, sx, sy, tx, ty), range(-1, 2) t(a), range(-1, 2) u(b) where l.x+a between 0 and 7),
+er as (select image_id, idx, max(layer_id) layer_id from mk anti join st using (image_id, layer_id, idx) group by 1,2)
+select t.image_id, coalesce('#' || printf('%02x%02x%02x', o.r, o.g, o.b), 'transparent') color, count(*) n_pixels from {THUMBS} t left join er on er.image_id=t.image_id and er.idx=t.y*8+t.x left join ord o on o.image_id=er.image_id and o.layer_id=er.layer_id group by 1,2""",
     "r03_settings": f"with {STATE} select session_id, mode, n_layers from st",
     "r03_layer_state": f"""with {STATE}, si as (select session_id, max((ts, event_id)) s from lv where setting='layers' group by 1), ed as (select lv.* from lv left join si using (session_id) where setting in ('threshold','color') and (s is null or (ts, event_id) > s)),
 li as (select session_id, l layer_id, arg_max(least(254, greatest(1, value)), (ts, event_id)) lim from (select *, unnest(case when layer_id < 2 then [0,1] else [layer_id] end) l from ed where setting='threshold') group by 1,2),
