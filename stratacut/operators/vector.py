@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacut.operators import batches
 from stratacut.operators.components import _saved
 
 CELLS = 64
@@ -118,19 +119,19 @@ VERTICES = "doc_id long, contour_id long, seq int, x double, y double"
 
 
 def simplify(vertices: DataFrame, tolerance: float = 1.5, most: int = 100_000) -> DataFrame:
-    """Vertices that Douglas-Peucker keeps, numbered anew. Contours of up to ``most`` vertices take one task each, larger ones rounds over all parts."""
+    """Vertices that Douglas-Peucker keeps, numbered anew. Contours of up to ``most`` vertices stay whole in a task, larger ones take rounds over all parts."""
 
-    def one(ring: pd.DataFrame) -> pd.DataFrame:
-        ring = ring.sort_values("seq", ignore_index=True)
-        ring = ring[kept_points(ring["x"].to_numpy(), ring["y"].to_numpy(), tolerance)].copy()
-        ring["seq"] = np.arange(len(ring), dtype=np.int32)
-        return ring
+    def some(rings: pd.DataFrame) -> pd.DataFrame:
+        x, y, first = rings["x"].to_numpy(), rings["y"].to_numpy(), batches.starts(rings, key)
+        kept = [kept_points(x[a:b], y[a:b], tolerance) for a, b in zip(first, [*first[1:], len(x)], strict=True)]
+        seq = np.concatenate([np.arange(k.sum(), dtype=np.int32) for k in kept])
+        return rings[np.concatenate(kept)].assign(seq=seq)
 
     key = ["doc_id", "contour_id"]
     listed = vertices.select(*key, "seq", "x", "y")
     sizes = listed.groupBy(*key).agg(F.count("*").alias("_n"))
     large = sizes.where(F.col("_n") > most).select(*key)
-    small = listed.join(large, key, "left_anti").groupBy(*key).applyInPandas(one, VERTICES)
+    small = batches.by_groups(listed.join(large, key, "left_anti"), key, ["seq"], some, VERTICES)
     return small if large.isEmpty() else small.unionByName(_simplified_by_rounds(_saved(listed.join(large, key, "left_semi")), tolerance))
 
 
@@ -203,32 +204,55 @@ def extents(vertices: DataFrame) -> DataFrame:
     return sides.select("doc_id", "low_x", "low_y", F.when(F.col("wide") > 0, F.col("wide") / CELLS).otherwise(1.0).alias("size"))
 
 
-def in_cells(segments: DataFrame, extent: DataFrame, ends: tuple[str, str, str, str], scale: int = 1) -> DataFrame:
-    """``segments`` (ends x1, y1, x2, y2) once for each cell (cx, cy) of their document's grid that they pass.
-
-    What meets shares a cell, so joins by (doc_id, cx, cy) compare neighbours, and a large document isn't one key. ``scale``: cells of so
-    many times the side.
-    """
+def _columns_and_rows(ends: tuple[str, str, str, str], scale: int) -> tuple[Column, Callable[[Column], Column]]:
+    """The columns of cells that a segment passes, and a function of a column to the rows that it passes in it."""
     x1, y1, x2, y2 = (F.col(c) for c in ends)
     side = F.col("size") * scale
     column = lambda v: F.floor((v - F.col("low_x")) / side)
     row = lambda v: F.floor((v - F.col("low_y")) / side)
-    wide = segments.join(extent, "doc_id").withColumn("cx", F.explode(F.sequence(column(F.least(x1, x2)), column(F.greatest(x1, x2)))))
-    left, right = (F.greatest(F.least(x1, x2), F.col("low_x") + F.col("cx") * side), F.least(F.greatest(x1, x2), F.col("low_x") + (F.col("cx") + 1) * side))
     slope = F.when(x1 != x2, (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
     at = lambda x: y1 + (x - x1) * slope
-    bottom = F.coalesce(F.greatest(F.least(at(left), at(right)), F.least(y1, y2)), F.least(y1, y2)) - F.lit(1e-6)
-    top = F.coalesce(F.least(F.greatest(at(left), at(right)), F.greatest(y1, y2)), F.greatest(y1, y2)) + F.lit(1e-6)
-    return wide.withColumn("cy", F.explode(F.sequence(row(bottom), row(top)))).drop("low_x", "low_y", "size")
+
+    def rows(cx: Column) -> Column:
+        left, right = F.greatest(F.least(x1, x2), F.col("low_x") + cx * side), F.least(F.greatest(x1, x2), F.col("low_x") + (cx + 1) * side)
+        bottom = F.coalesce(F.greatest(F.least(at(left), at(right)), F.least(y1, y2)), F.least(y1, y2)) - F.lit(1e-6)
+        top = F.coalesce(F.least(F.greatest(at(left), at(right)), F.greatest(y1, y2)), F.greatest(y1, y2)) + F.lit(1e-6)
+        return F.sequence(row(bottom), row(top))
+
+    return F.sequence(column(F.least(x1, x2)), column(F.greatest(x1, x2))), rows
+
+
+def passed(ends: tuple[str, str, str, str], scale: int = 1) -> Column:
+    """array<struct<cx,cy>>: the cells that a segment passes, column by column; for short segments, (low_x, low_y, size) beside them."""
+    columns, rows = _columns_and_rows(ends, scale)
+    return F.flatten(F.transform(columns, lambda cx: F.transform(rows(cx), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+
+def in_cells(segments: DataFrame, extent: DataFrame, ends: tuple[str, str, str, str], scale: int = 1) -> DataFrame:
+    """``segments`` (ends x1, y1, x2, y2) once for each cell (cx, cy) of their document's grid that they pass.
+
+    What meets shares a cell, so joins by (doc_id, cx, cy) compare neighbours, and a large document isn't one key. ``scale``: cells of so
+    many times the side.
+    """
+    columns, rows = _columns_and_rows(ends, scale)
+    return segments.join(extent, "doc_id").withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows(F.col("cx")))).drop("low_x", "low_y", "size")
 
 
 def clear(found: DataFrame, walls: DataFrame, extent: DataFrame, margin: float = 1e-4) -> DataFrame:
-    """Candidates that cross no third contour. ``walls``: edges (doc_id, _c, wx, wy, vx, vy) in the cells (cx, cy) that they pass."""
+    """Candidates that cross no third contour. ``walls``: edges (doc_id, _c, wx, wy, vx, vy) in the cells (cx, cy) that they pass.
+
+    A candidate first meets the walls of the cell that it begins in, up to the first one that it crosses; only what is left goes through
+    all its cells. Where contours are crowded nearly all end in the first step, so that the work doesn't grow with candidates times cells.
+    """
     hit = cross(tuple(F.col(c) for c in ("x", "y", "fx", "fy")), tuple(F.col(c) for c in ("wx", "wy", "vx", "vy")), margin)
+    here = lambda df, names: [df[a] == walls[b] for a, b in zip(names, ("doc_id", "cx", "cy"), strict=True)]
+    place = lambda v, low: F.floor((F.col(v) - F.col(low)) / F.col("size"))
+    begun = found.join(extent, "doc_id").withColumn("_x", place("x", "low_x")).withColumn("_y", place("y", "low_y")).drop("low_x", "low_y", "size")
+    left = _saved(begun.join(walls, [*here(begun, ("doc_id", "_x", "_y")), begun["contour_id"] != walls["_c"], begun["mainland"] != walls["_c"], hit], "left_anti"))
+    met = in_cells(left, extent, ("x", "y", "fx", "fy")).where((F.col("cx") != F.col("_x")) | (F.col("cy") != F.col("_y")))
     key = ["doc_id", "contour_id", "seq", "edge"]
-    met = in_cells(found, extent, ("x", "y", "fx", "fy")).join(walls, ["doc_id", "cx", "cy"])
-    crossing = met.where((F.col("_c") != F.col("contour_id")) & (F.col("_c") != F.col("mainland")) & hit).select(*key).distinct()
-    return found.join(crossing, key, "left_anti")
+    crossing = met.join(walls, [*here(met, ("doc_id", "cx", "cy")), met["contour_id"] != walls["_c"], met["mainland"] != walls["_c"], hit], "left_semi").select(*key).distinct()
+    return left.drop("_x", "_y").join(crossing, key, "left_anti")
 
 
 def walls_of(vertices: DataFrame, extent: DataFrame) -> DataFrame:
@@ -237,19 +261,28 @@ def walls_of(vertices: DataFrame, extent: DataFrame) -> DataFrame:
 
 
 def crossings(vertices: DataFrame, margin: float) -> DataFrame:
-    """(doc_id, c1, c2, n): how many edges of two contours of a document cross; a pair of edges that shares several cells counts once."""
+    """(doc_id, c1, c2, n): how many edges of two contours of a document cross.
+
+    A pair of edges that shares several cells counts in the first of them alone, so pairs of edges are never dealt out again: only
+    counts of pairs of contours are.
+    """
     extent = extents(vertices)
-    side = lambda k: in_cells(edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), F.col("seq").alias(f"s{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny"))), extent, (f"x{k}", f"y{k}", f"nx{k}", f"ny{k}"))
+
+    def side(k: int) -> DataFrame:
+        own = edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))
+        return own.join(extent, "doc_id").withColumn(f"p{k}", passed((f"x{k}", f"y{k}", f"nx{k}", f"ny{k}"))).drop("low_x", "low_y", "size").withColumn("_p", F.explode(f"p{k}")).withColumn("cx", F.col("_p.cx")).withColumn("cy", F.col("_p.cy")).drop("_p")
+
     hit = cross(*(tuple(F.col(f"{c}{k}") for c in ("x", "y", "nx", "ny")) for k in (1, 2)), margin)
     met = side(1).join(side(2), ["doc_id", "cx", "cy"]).where((F.col("c1") < F.col("c2")) & hit)
-    return met.select("doc_id", "c1", "c2", "s1", "s2").distinct().groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
+    once = met.where(F.array_intersect("p1", "p2")[0] == F.struct("cx", "cy"))
+    return once.groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
 
 
 def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...] = (16, CELLS)) -> DataFrame:
     """The shortest clear bridge of each island, nearest feet first.
 
-    Vertices look for edges of the mainland in the nine cells around them, in ever wider cells: all feet within a cell's side are known
-    then. These are tested in order of length, ``first`` of each island and then the others. Islands that have their bridge look and test no
+    Edges of the mainland, a few hundred a document, are dealt to the nine cells around each that they pass, in ever wider cells, so a
+    vertex meets each of them once, and all feet within a cell's side are known. These are tested in order of length, ``first`` of each island and then the others. Islands that have their bridge look and test no
     more, so that only islands that are blocked all around reach all edges.
     """
     vertices = _saved(vertices)
@@ -262,8 +295,9 @@ def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...]
     for scale in scales:
         whole = scale == scales[-1]
         side = F.col("size") * scale
-        own = island.join(extent, "doc_id").withColumn("_o", F.explode(nine)).withColumn("cx", F.floor((F.col("x") - F.col("low_x")) / side) + F.col("_o.a")).withColumn("cy", F.floor((F.col("y") - F.col("low_y")) / side) + F.col("_o.b"))
-        met = own.drop("_o", "low_x", "low_y").join(in_cells(shore, extent, ("ax", "ay", "bx", "by"), scale), ["doc_id", "cx", "cy"]).drop("cx", "cy").dropDuplicates(["doc_id", "contour_id", "seq", "edge"])
+        own = island.join(extent, "doc_id").withColumn("cx", F.floor((F.col("x") - F.col("low_x")) / side)).withColumn("cy", F.floor((F.col("y") - F.col("low_y")) / side)).drop("low_x", "low_y", "size")
+        reached = in_cells(shore, extent, ("ax", "ay", "bx", "by"), scale).withColumn("_o", F.explode(nine)).withColumn("cx", F.col("cx") + F.col("_o.a")).withColumn("cy", F.col("cy") + F.col("_o.b")).drop("_o").distinct()
+        met = own.join(reached, ["doc_id", "cx", "cy"]).drop("cx", "cy")
         sized = _feet(met).join(extent.select("doc_id", "size"), "doc_id")
         reach = lambda k: F.col("size") * F.col("size") * float(k * k)
         near = sized if before < 0 else sized.where(F.col("d2") > reach(before))
