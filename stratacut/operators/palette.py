@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacut.functions.scalars import near_white, opaque, rounded
+from stratacut.operators import batches
 from stratacut.operators.components import _saved, background
 from stratacut.operators.neighborhood import images_of
 
@@ -188,11 +189,14 @@ def quantize(pixels: DataFrame, n: int, rounds: int = 12, counts: DataFrame | No
     own = samples.withColumn("n", F.lit(n)) if counts is None else samples.join(counts.select("image_id", F.least("n_colors", F.lit(n)).alias("n")), "image_id")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", ignore_index=True)
-        p = _lloyd(rows[["r", "g", "b"]].to_numpy(float), int(rows["n"].iloc[0]), rounds)
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "k": np.arange(len(p), dtype=np.int32), "r": p[:, 0], "g": p[:, 1], "b": p[:, 2]})
-
-    return own.groupBy("image_id").applyInPandas(fit, PALETTE)
+        first = batches.starts(rows, ["image_id"])
+        c, many, ids = rows[["r", "g", "b"]].to_numpy(float), rows["n"].to_numpy(), rows["image_id"].to_numpy()
+        made = [_lloyd(c[a:b], int(many[a]), rounds) for a, b in zip(first, [*first[1:], len(c)], strict=True)]
+        p, sizes = np.concatenate(made), [len(m) for m in made]
+        k = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        return pd.DataFrame({"image_id": np.repeat(ids[first], sizes), "k": k, "r": p[:, 0], "g": p[:, 1], "b": p[:, 2]})
+
+    return batches.by_groups(own, ["image_id"], ["idx"], fit, PALETTE)
 
 
 def colour_layers(pixels: DataFrame, palette: DataFrame, tolerance: int = 15) -> DataFrame:

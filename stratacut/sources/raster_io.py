@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacut.functions.scalars import luma, rounded
+from stratacut.operators import batches
 from stratacut.operators.neighborhood import images_of
 
 PIXELS = "image_id long, x int, y int, r int, g int, b int, a int"
@@ -89,15 +90,19 @@ def to_png(coloured: DataFrame, images: DataFrame, part: int = 1 << 18) -> DataF
     key = ["image_id", "layer_id"]
 
     def code(rows: pd.DataFrame) -> pd.DataFrame:
-        width, height, per, k = (int(rows[c].iloc[0]) for c in ("width", "height", "_per", "_part"))
-        canvas = np.zeros((min(per, height - k * per), 1 + 4 * width), np.uint8)
-        x, y = rows["x"].to_numpy(), rows["y"].to_numpy() - k * per
-        for i, c in enumerate("rgba"):
-            canvas[y, 1 + 4 * x + i] = rows[c].to_numpy(np.uint8)
-        data, adler, _ = _deflated(canvas)
-        return rows[[*key, "width", "height", "_per", "_part"]].head(1).assign(data=data, adler=adler)
-
-    def join(parts: pd.DataFrame) -> pd.DataFrame:
+        first = batches.starts(rows, [*key, "_part"])
+        heads = rows.iloc[first]
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        rgba, coded = rows[list("rgba")].to_numpy(np.uint8), []
+        sizes = heads[["width", "height", "_per", "_part"]].to_numpy().tolist()
+        for a, b, (width, height, per, k) in zip(first, [*first[1:], len(rows)], sizes, strict=True):
+            canvas = np.zeros((min(per, height - k * per), 1 + 4 * width), np.uint8)
+            for i in range(4):
+                canvas[y[a:b] - k * per, 1 + 4 * x[a:b] + i] = rgba[a:b, i]
+            coded.append(_deflated(canvas)[:2])
+        return heads[[*key, "width", "height", "_per", "_part"]].assign(data=[d for d, _ in coded], adler=[v for _, v in coded])
+
+    def file(parts: pd.DataFrame) -> bytes:
         width, height, per = (int(parts[c].iloc[0]) for c in ("width", "height", "_per"))
         there, adler, chunks = {k: (data, own) for k, data, own in zip(parts["_part"], parts["data"], parts["adler"], strict=True)}, 1, []
         n = -(-height // per)
@@ -107,13 +112,17 @@ def to_png(coloured: DataFrame, images: DataFrame, part: int = 1 << 18) -> DataF
             data, own = there[k] if k in there else _deflated(np.zeros((rows, 1 + 4 * width), np.uint8))[:2]
             adler = adler_of_both(adler, own, size)
             chunks.append(_chunk(b"IDAT", (b"\x78\x9c" if k == 0 else b"") + data + (zlib.compressobj(wbits=-15).flush() + struct.pack(">I", adler) if k == n - 1 else b"")))
-        png = b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + b"".join(chunks) + _chunk(b"IEND", b"")
-        return parts[key].head(1).assign(png=[png])
+        return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + b"".join(chunks) + _chunk(b"IEND", b"")
+
+    def join(parts: pd.DataFrame) -> pd.DataFrame:
+        first = batches.starts(parts, key)
+        made = [file(parts.iloc[a:b]) for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
+        return parts.iloc[first][key].assign(png=made)
 
     per = F.greatest(F.lit(1), F.floor(F.lit(part) / F.col("width"))).cast("int")
     placed = coloured.join(images, "image_id").withColumn("_per", per).withColumn("_part", F.floor(F.col("y") / F.col("_per")).cast("int"))
-    coded = placed.groupBy(*key, "_part").applyInPandas(code, "image_id long, layer_id int, width int, height int, _per int, _part int, data binary, adler long")
-    return coded.groupBy(*key).applyInPandas(join, "image_id long, layer_id int, png binary")
+    coded = batches.by_groups(placed, [*key, "_part"], [], code, "image_id long, layer_id int, width int, height int, _per int, _part int, data binary, adler long")
+    return batches.by_groups(coded, key, ["_part"], join, "image_id long, layer_id int, png binary", 64)
 
 
 def enlarged(coloured: DataFrame, images: DataFrame, scale: int = 4) -> DataFrame:
