@@ -78,22 +78,35 @@ def outlines(mask: DataFrame) -> DataFrame:
 
 
 def with_raster_marks(mask: DataFrame, images: DataFrame, arm: int = 14, width: int = 3, margin: int = 24) -> DataFrame:
-    """(image_id, layer_id, x, y): masks on a canvas with ``margin`` on every side and crosses in its corners."""
+    """(image_id, layer_id, x, y): masks on a canvas with ``margin`` on every side and crosses in its corners.
+
+    Some 700 pixels of marks a layer are far more than a small mask, so they are made without repeats where they are made: pixels of an
+    earlier bar, or of the mask under a bar, are left out by comparing coordinates. Only the mask's own pixels are shuffled.
+    """
     half = width // 2
-    moved = mask.select("image_id", "layer_id", (F.col("x") + margin).alias("x"), (F.col("y") + margin).alias("y"))
-    size = mask.select("image_id", "layer_id").distinct().join(images, "image_id").select("image_id", "layer_id", (F.col("width") + 2 * margin).alias("w"), (F.col("height") + 2 * margin).alias("h"))
     m = F.lit(margin / 2)
-    corner = lambda x, y: F.struct(x.alias("cx"), y.alias("cy"))
     far_x, far_y = F.col("w") - m, F.col("h") - m
-    centres = size.withColumn("c", F.explode(F.array(corner(m, m), corner(far_x, m), corner(m, far_y), corner(far_x, far_y))))
-    across = F.sequence(rounded(F.col("c.cx") - arm).cast("int"), rounded(F.col("c.cx") + arm).cast("int"))
-    down = F.sequence(rounded(F.col("c.cy") - arm).cast("int"), rounded(F.col("c.cy") + arm).cast("int"))
-    thick = F.sequence(F.lit(-half), F.lit(half))
-    keys = ("image_id", "layer_id", "w", "h", "c")
-    flat = centres.select(*keys, F.explode(across).alias("x")).select(*keys, "x", F.explode(thick).alias("d")).select("image_id", "layer_id", "w", "h", "x", (rounded(F.col("c.cy")) + F.col("d")).cast("int").alias("y"))
-    upright = centres.select(*keys, F.explode(down).alias("y")).select(*keys, "y", F.explode(thick).alias("d")).select("image_id", "layer_id", "w", "h", (rounded(F.col("c.cx")) + F.col("d")).cast("int").alias("x"), "y")
-    marks = flat.unionByName(upright).where("x >= 0 and x < w and y >= 0 and y < h").drop("w", "h")
-    return moved.unionByName(marks).distinct()
+    centres = [(m, m), (far_x, m), (m, far_y), (far_x, far_y)]
+    size = images.select("image_id", (F.col("width") + 2 * margin).alias("w"), (F.col("height") + 2 * margin).alias("h"))
+    # bars as first and last column and row: level and upright ones of each cross, in turn
+    bars = []
+    for cx, cy in centres:
+        x, y = rounded(cx).cast("int"), rounded(cy).cast("int")
+        bars += [(rounded(cx - arm).cast("int"), rounded(cx + arm).cast("int"), y - half, y + half), (x - half, x + half, rounded(cy - arm).cast("int"), rounded(cy + arm).cast("int"))]
+    under = lambda b: F.col("x").between(b[0], b[1]) & F.col("y").between(b[2], b[3])
+    marked = F.lit(False)
+    for b in bars:
+        marked = marked | under(b)
+    keys = ["image_id", "layer_id"]
+    moved = mask.select(*keys, (F.col("x") + margin).alias("x"), (F.col("y") + margin).alias("y")).distinct()
+    ink = moved.join(size, "image_id").where(~marked).select(*keys, "x", "y")
+    listed = F.array(*(F.struct(F.lit(k).alias("k"), *(v.alias(n) for n, v in zip(("x0", "x1", "y0", "y1"), b, strict=True))) for k, b in enumerate(bars)))
+    layers = mask.select(*keys).distinct().join(size, "image_id").withColumn("b", F.explode(listed))
+    points = layers.withColumn("x", F.explode(F.sequence("b.x0", "b.x1"))).withColumn("y", F.explode(F.sequence("b.y0", "b.y1")))
+    before = F.lit(False)
+    for k, b in enumerate(bars):
+        before = before | ((F.col("b.k") > k) & under(b))
+    return ink.unionByName(points.where(~before & F.expr("x >= 0 and x < w and y >= 0 and y < h")).select(*keys, "x", "y"))
 
 
 def with_size(svg: Column, width_mm: Column, height_mm: Column) -> Column:
