@@ -17,10 +17,15 @@ def stack_colour(layer_id: Column) -> Column:
 def composite(masks: DataFrame, layers: DataFrame) -> DataFrame:
     """(image_id, x, y, color): of the visible layers with ink at a pixel, the one painted last.
 
-    ``layers`` (image_id, layer_id, paint_order, color, visible) are few rows for each picture.
+    ``layers`` (image_id, layer_id, paint_order, color, visible) are few rows for each picture. Pixels keep one number, order and layer
+    together, so they are aggregated by hash and not sorted with their colours, which are joined to what is on top. Of equal orders the
+    larger layer_id counts.
     """
     shown = layers.where("visible").select("image_id", "layer_id", "paint_order", "color")
-    return masks.join(shown, ["image_id", "layer_id"]).groupBy("image_id", "x", "y").agg(F.max_by("color", "paint_order").alias("color"))
+    place = F.col("paint_order").cast("long") * (1 << 32) + F.col("layer_id")
+    top = masks.join(shown.drop("color"), ["image_id", "layer_id"]).groupBy("image_id", "x", "y").agg(F.max(place).alias("_top"))
+    own = top.withColumn("layer_id", F.pmod("_top", F.lit(1 << 32)).cast("int"))
+    return own.join(shown.drop("paint_order"), ["image_id", "layer_id"]).select("image_id", "x", "y", "color")
 
 
 def on_canvas(pixels: DataFrame, drawn: DataFrame) -> DataFrame:
