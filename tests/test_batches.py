@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratacut.operators import batches, components, vector
+from stratacut.operators import batches, components, compose, export, vector
 
 
 @pytest.mark.parametrize("size", [1, 3, 1000])
@@ -84,3 +84,38 @@ def test_crowded_documents(spark):
     met = own(1).join(own(2), "doc_id").where((F.col("c1") < F.col("c2")) & vector.cross(*(tuple(F.col(f"{c}{k}") for c in ("x", "y", "nx", "ny")) for k in (1, 2)), 0.01))
     plan = vector.crossings(df, 0.01)
     assert sorted(plan.collect()) == sorted(met.groupBy("doc_id", "c1", "c2").count().collect())
+
+
+def test_marks_without_repeats(spark):
+    """Marks of canvases of odd, tiny and long shapes, without repeats though nothing but the mask is made distinct."""
+    sizes = {1: (1, 1), 2: (8, 8), 3: (3, 40), 4: (41, 6)}
+    images = spark.createDataFrame([(i, w, h) for i, (w, h) in sizes.items()], "image_id long, width int, height int")
+    mask = spark.createDataFrame([(i, 0, x, y) for i, (w, h) in sizes.items() for x in range(w) for y in range(h) if (x + y) % 3 == 0] + [(1, 0, 0, 0)], "image_id long, layer_id int, x int, y int")
+    got = [tuple(r) for r in export.with_raster_marks(mask, images).collect()]
+    expect = set()
+    for r in mask.collect():
+        expect.add((r.image_id, 0, r.x + 24, r.y + 24))
+    for i, (w, h) in sizes.items():
+        for cx in (12, w + 36):
+            for cy in (12, h + 36):
+                for d in range(-14, 15):
+                    for t in (-1, 0, 1):
+                        expect |= {(i, 0, x, y) for x, y in ((cx + d, cy + t), (cx + t, cy + d)) if 0 <= x < w + 48 and 0 <= y < h + 48}
+    assert len(got) == len(set(got)) and set(got) == expect
+    made = export.with_raster_marks(mask, images)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("Aggregate [") == 2  # of the mask and of its layers, not of the marks
+
+
+def test_composite_by_hash(spark):
+    masks = spark.createDataFrame([(1, k, x, 0) for k in range(3) for x in range(k, 4)], "image_id long, layer_id int, x int, y int")
+    layers = spark.createDataFrame([(1, 0, 2, "#a", True), (1, 1, 0, "#b", True), (1, 2, 5, "#c", False)], "image_id long, layer_id int, paint_order int, color string, visible boolean")
+    found = compose.composite(masks, layers)
+    assert sorted(map(tuple, found.collect())) == [(1, x, 0, "#a") for x in range(4)]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_tables_are_not_sent_to_all(spark):
+    saved = components._saved(spark.range(2000).selectExpr("id as image_id", "1 as layer_id"))
+    joined = saved.join(spark.range(500_000).selectExpr("id as image_id"), "image_id").join(components._saved(saved), ["image_id", "layer_id"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in spark.range(9).selectExpr("id as image_id").join(F.broadcast(saved), "image_id")._jdf.queryExecution().executedPlan().toString()
