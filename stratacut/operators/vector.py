@@ -286,7 +286,7 @@ def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...]
     more, so that only islands that are blocked all around reach all edges.
     """
     vertices = _saved(vertices)
-    extent = _saved(extents(vertices))
+    extent = _saved(extents(vertices), small=True)
     island, shore = (_saved(x) for x in _ends(vertices))
     walls = _saved(walls_of(vertices, extent))
     order = Window.partitionBy("doc_id", "contour_id").orderBy("d2", "seq", "edge")
