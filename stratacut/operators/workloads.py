@@ -27,10 +27,10 @@ def tone_stack(pixels: DataFrame, n: int, given: list[int] | None = None, blur:
     """Pictures to tone layers: blur, bands, clean-up, a copy kept before bridges, bridges from dark to light, names, limits and colours."""
     upper = tone.thresholds(pixels.sparkSession, [n], given)
     images = _saved(neighborhood.images_of(pixels))
-    soft = neighborhood.blur(pixels.withColumn("luma", luma()), blur)
+    soft = _saved(neighborhood.blur(pixels.withColumn("luma", luma()), blur, images=images))
     masks = tone.layer_masks(soft, upper)
     if cleanup > 0:
-        masks = neighborhood.pixels_of(components.clean(neighborhood.runs(masks), images, cleanup))
+        masks = neighborhood.pixels_of(components.clean(masks, images, cleanup))
     clean = _saved(masks)
     means = tone.band_colours(soft, upper).select("image_id", "layer_id", to_hex(F.col("r"), F.col("g"), F.col("b")).alias("color"))
     facts = tone.layer_texts(upper).join(tone.bands(upper), ["n_layers", "layer_id"])
