@@ -22,6 +22,7 @@ CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 SCHEMA = "path string, width int, height int, x int, y int, r int, g int, b int, a int, error string"
 ARROW = pa.schema([("path", pa.string()), *((c, pa.int32()) for c in ("width", "height", "x", "y", "r", "g", "b", "a")), ("error", pa.string())])
 BLOCK = 1 << 18
+ROWS = 1 << 15  # of a batch at least, but for the last one
 
 
 def _unfiltered(rows: np.ndarray, kinds: np.ndarray, bpp: int) -> np.ndarray:
@@ -130,10 +131,12 @@ class PngReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         store, base = fs.FileSystem.from_uri(self.folder)
         found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and f.path.lower().endswith(".png"))
+        # opening a file costs about as much as reading a megabyte, and less where 64 tasks are busy anyhow: a task costs as much as some hundred small files
+        cost = min(1 << 20, max(1 << 16, 64 * self.most // max(1, len(found))))
         parts, held, size = [], [], 0
         for path, n in found:
             held.append(path)
-            size += n + (1 << 20)  # opening a file costs about as much as reading a megabyte
+            size += n + cost
             if size >= self.most:
                 parts.append(Files(held))
                 held, size = [], 0
@@ -141,6 +144,7 @@ class PngReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.folder)
+        held, n = [], 0
         for path in partition.paths:
             try:
                 with store.open_input_stream(path) as f:
@@ -151,10 +155,24 @@ class PngReader(DataSourceReader):
             height, width = rgba.shape[:2]
             flat = rgba.reshape(-1, 4)
             for k in range(0, len(flat), BLOCK):
-                part = flat[k : k + BLOCK].astype(np.int32)
-                at = np.arange(k, k + len(part))
-                columns = [np.full(len(part), width, np.int32), np.full(len(part), height, np.int32), (at % width).astype(np.int32), (at // width).astype(np.int32), *part.T]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), *(pa.array(c) for c in columns), pa.nulls(len(part), pa.string())], schema=ARROW)
+                held.append((path, width, height, k, flat[k : k + BLOCK]))
+                n += len(held[-1][-1])
+                if n >= ROWS:  # a batch for each small file would cost more than its pixels
+                    yield self.rows(held)
+                    held, n = [], 0
+        if held:
+            yield self.rows(held)
+
+    @staticmethod
+    def rows(held: list[tuple[str, int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        """Rows of parts of pictures: path, width, height, number of the first pixel, and bytes of the pixels."""
+        sizes = np.array([len(part) for *_, part in held])
+        own = np.repeat(np.arange(len(held)), sizes)
+        width, height, first = (np.array([h[k] for h in held], np.int64)[own] for k in (1, 2, 3))
+        at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first
+        paths = pa.array([h[0] for h in held]).take(pa.array(own))
+        columns = [width, height, at % width, at // width, *np.concatenate([part for *_, part in held]).T]
+        return pa.RecordBatch.from_arrays([paths, *(pa.array(c.astype(np.int32)) for c in columns), pa.nulls(len(own), pa.string())], schema=ARROW)
 
 
 class PngSource(DataSource):

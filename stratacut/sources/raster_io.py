@@ -102,9 +102,9 @@ def to_png(coloured: DataFrame, images: DataFrame, part: int = 1 << 18) -> DataF
             coded.append(_deflated(canvas)[:2])
         return heads[[*key, "width", "height", "_per", "_part"]].assign(data=[d for d, _ in coded], adler=[v for _, v in coded])
 
-    def file(parts: pd.DataFrame) -> bytes:
-        width, height, per = (int(parts[c].iloc[0]) for c in ("width", "height", "_per"))
-        there, adler, chunks = {k: (data, own) for k, data, own in zip(parts["_part"], parts["data"], parts["adler"], strict=True)}, 1, []
+    def file(parts: list[tuple]) -> bytes:
+        width, height, per = parts[0][:3]
+        there, adler, chunks = {k: (data, own) for *_, k, data, own in parts}, 1, []
         n = -(-height // per)
         for k in range(n):
             rows = min(per, height - k * per)
@@ -116,7 +116,8 @@ def to_png(coloured: DataFrame, images: DataFrame, part: int = 1 << 18) -> DataF
 
     def join(parts: pd.DataFrame) -> pd.DataFrame:
         first = batches.starts(parts, key)
-        made = [file(parts.iloc[a:b]) for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
+        rows = list(zip(*(parts[c].tolist() for c in ("width", "height", "_per", "_part", "data", "adler")), strict=True))
+        made = [file(rows[a:b]) for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
         return parts.iloc[first][key].assign(png=made)
 
     per = F.greatest(F.lit(1), F.floor(F.lit(part) / F.col("width"))).cast("int")

@@ -72,3 +72,18 @@ def test_source_and_sink(spark, tmp_path):
     ours = sorted((r.path.rsplit("/", 1)[1], r.width, r.height) for r in read.where("x = 0 and y = 0").collect())
     theirs = spark.read.format("image").option("dropInvalid", True).load(f"{tmp_path}/in/*.png").select("image.origin", "image.width", "image.height").collect()
     assert ours == sorted((r.origin.rsplit("/", 1)[1], r.width, r.height) for r in theirs)
+
+
+def test_small_files_share_batches_and_tasks(tmp_path):
+    rgba = np.arange(4 * 6, dtype=np.uint8).reshape(2, 3, 4)
+    lines = b"".join(b"\0" + row.tobytes() for row in rgba)
+    for k in range(300):
+        (tmp_path / f"{k:03}.png").write_bytes(png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+    assert len(png.PngReader(f"file://{tmp_path}", 1 << 20).partitions()) <= 64
+    reader = png.PngReader(f"file://{tmp_path}", 301 << 20)
+    parts = reader.partitions()
+    assert len(parts) == 1
+    (batch,) = reader.read(parts[0])
+    rows = batch.to_pylist()
+    assert len(rows) == 1800 and [(r["x"], r["y"], r["r"], r["a"]) for r in rows[6:12]] == [(k % 3, k // 3, 4 * k, 4 * k + 3) for k in range(6)]
+    assert rows[6]["path"].endswith("001.png") and rows[0]["width"] == 3 and rows[0]["height"] == 2
