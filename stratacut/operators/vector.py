@@ -260,24 +260,105 @@ def walls_of(vertices: DataFrame, extent: DataFrame) -> DataFrame:
     return in_cells(walls, extent, ("wx", "wy", "vx", "vy"))
 
 
-def crossings(vertices: DataFrame, margin: float) -> DataFrame:
+def crossings(vertices: DataFrame, margin: float, few: int = 32, block: int = 2000) -> DataFrame:
     """(doc_id, c1, c2, n): how many edges of two contours of a document cross.
 
-    A pair of edges that shares several cells counts in the first of them alone, so pairs of edges are never dealt out again: only
-    counts of pairs of contours are.
+    Contours of at most ``few`` vertices are dealt whole to the cells that their boxes pass, and a pair is compared in the first cell of
+    both alone, so no pair is shuffled: crowded documents have far more pairs than contours. Pairs with a larger contour go edge by edge.
     """
+    known = _saved(vertices.where("doc_id is not null and contour_id is not null").select("doc_id", "contour_id", "seq", "x", "y"))
+    key = ["doc_id", "contour_id"]
+    large = known.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*key)
+    if large.isEmpty():
+        return _crossings_of_contours(known, margin, block)
+    large = _saved(large)
+    pairs = _crossings_by_edges(known.join(large.withColumn("big", F.lit(True)), key, "left").withColumn("big", F.coalesce("big", F.lit(False))), margin)
+    return _crossings_of_contours(known.join(large, key, "left_anti"), margin, block).unionByName(pairs)
+
+
+def _crossings_by_edges(vertices: DataFrame, margin: float) -> DataFrame:
+    """Of pairs of which one is ``big`` at least. A pair of edges that shares several cells counts in the first of them alone, so only counts of pairs of contours are dealt out again."""
     extent = extents(vertices)
 
     def side(k: int) -> DataFrame:
-        own = edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))
+        own = edges(vertices).select("doc_id", F.col("contour_id").alias(f"c{k}"), F.col("big").alias(f"big{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))
         return own.join(extent, "doc_id").withColumn(f"p{k}", passed((f"x{k}", f"y{k}", f"nx{k}", f"ny{k}"))).drop("low_x", "low_y", "size").withColumn("_p", F.explode(f"p{k}")).withColumn("cx", F.col("_p.cx")).withColumn("cy", F.col("_p.cy")).drop("_p")
 
     hit = cross(*(tuple(F.col(f"{c}{k}") for c in ("x", "y", "nx", "ny")) for k in (1, 2)), margin)
-    met = side(1).join(side(2), ["doc_id", "cx", "cy"]).where((F.col("c1") < F.col("c2")) & hit)
+    met = side(1).join(side(2), ["doc_id", "cx", "cy"]).where((F.col("c1") < F.col("c2")) & (F.col("big1") | F.col("big2")) & hit)
     once = met.where(F.array_intersect("p1", "p2")[0] == F.struct("cx", "cy"))
     return once.groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("n"))
 
 
+def _crossings_of_contours(vertices: DataFrame, margin: float, block: int) -> DataFrame:
+    """Of pairs of small contours. Cells are as wide as a document's contours by the mean square, so a contour has some four of them; those of over ``block`` contours are dealt out by pairs of blocks."""
+    ends = [f(c).alias(n) for c in "xy" for f, n in ((F.min, f"{c}0"), (F.max, f"{c}1"))]
+    rings = vertices.groupBy("doc_id", "contour_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("v"), *ends)
+    rings = _saved(rings.select("doc_id", "contour_id", F.col("v.x").alias("vx"), F.col("v.y").alias("vy"), "x0", "x1", "y0", "y1"))
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    grid = rings.groupBy("doc_id").agg(F.min("x0").alias("low_x"), F.min("y0").alias("low_y"), F.sqrt(F.avg((wide * wide + high * high) / 2)).alias("size"))
+    grid = grid.withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(1.0))
+    place = lambda v: F.floor((F.col(v) - F.col(f"low_{v[0]}")) / F.col("size"))
+    spots = rings.join(grid, "doc_id").withColumns({"fx": place("x0"), "fy": place("y0"), "lx": place("x1"), "ly": place("y1")})
+    placed = spots.withColumn("cx", F.explode(F.sequence("fx", "lx"))).withColumn("cy", F.explode(F.sequence("fy", "ly"))).drop("low_x", "low_y", "size", "lx", "ly")
+    crowded = _saved(placed.groupBy("doc_id", "cx", "cy").agg(F.ceil(F.count("*") / block).alias("k")).where("k > 1"), small=True)
+    dealt = placed.withColumns({"own": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long")})
+    if not crowded.isEmpty():
+        own = placed.join(crowded, ["doc_id", "cx", "cy"], "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("contour_id"), "k"))
+        dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumns({"lo": F.least("own", "_o"), "hi": F.greatest("own", "_o")}).drop("_o", "k")
+    group = ["doc_id", "cx", "cy", "lo", "hi"]
+
+    def run(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches.whole_groups((b for b in some if len(b)), group, batches.ROWS):
+            yield from _crossing_pairs(rows, batches.starts(rows, group), margin)
+
+    parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *group).sortWithinPartitions(*group, "contour_id").mapInPandas(run, "doc_id long, c1 long, c2 long, n long")
+
+
+def _crossing_pairs(rows: pd.DataFrame, starts: np.ndarray, margin: float, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Pairs of contours of a cell that cross, ``most`` pairs at a time; rows are sorted by cell and contour."""
+    sizes = rows["vx"].map(len).to_numpy()
+    at = np.arange(int(sizes.max())) < sizes[:, None]
+
+    def padded(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The edges' begins and ends; those past a ring's last are points, which cross nothing."""
+        flat = np.concatenate(rows[name].to_numpy())
+        first = np.cumsum(sizes) - sizes
+        then = np.append(flat[1:], 0.0)
+        then[first + sizes - 1] = flat[first]
+        begin, end = np.zeros(at.shape), np.zeros(at.shape)
+        begin[at], end[at] = flat, then
+        return begin, end
+
+    (ax, bx), (ay, by) = padded("vx"), padded("vy")
+    dx, dy = bx - ax, by - ay
+    doc, contour, fx, fy, cx, cy, own, lo, hi, x0, x1, y0, y1 = (rows[c].to_numpy() for c in ("doc_id", "contour_id", "fx", "fy", "cx", "cy", "own", "lo", "hi", "x0", "x1", "y0", "y1"))
+    ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
+    partners = ends - np.arange(len(rows)) - 1
+    cuts = np.searchsorted(np.cumsum(partners), np.arange(most, partners.sum(), most)) + 1
+    step = max(1, (1 << 18) // at.shape[1] ** 2)
+    for some in np.split(np.arange(len(rows)), np.unique(cuts)):
+        n = partners[some]
+        i = np.repeat(some, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        here = (np.maximum(fx[i], fx[j]) == cx[i]) & (np.maximum(fy[i], fy[j]) == cy[i]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+        here &= (x0[i] <= x1[j]) & (x0[j] <= x1[i]) & (y0[i] <= y1[j]) & (y0[j] <= y1[i])
+        i, j = i[here], j[here]
+        found = np.zeros(len(i), np.int64)
+        for a in range(0, len(i), step):
+            k, m = i[a : a + step], j[a : a + step]
+            ux, uy, vx, vy = dx[k][:, :, None], dy[k][:, :, None], dx[m][:, None], dy[m][:, None]
+            wx, wy = ax[m][:, None] - ax[k][:, :, None], ay[m][:, None] - ay[k][:, :, None]
+            det = ux * vy - uy * vx
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t, u = (wx * vy - wy * vx) / det, (wx * uy - wy * ux) / det
+                hit = (np.abs(det) >= 1e-10) & (t > margin) & (t < 1 - margin) & (u > margin) & (u < 1 - margin)
+            found[a : a + step] = hit.sum((1, 2))
+        cut = found > 0
+        yield pd.DataFrame({"doc_id": doc[i[cut]], "c1": contour[i[cut]], "c2": contour[j[cut]], "n": found[cut]})
+
+
 def shortest_clear(vertices: DataFrame, first: int = 8, scales: tuple[int, ...] = (16, CELLS)) -> DataFrame:
     """The shortest clear bridge of each island, nearest feet first.
 

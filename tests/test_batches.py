@@ -119,3 +119,29 @@ def test_saved_tables_are_not_sent_to_all(spark):
     joined = saved.join(spark.range(500_000).selectExpr("id as image_id"), "image_id").join(components._saved(saved), ["image_id", "layer_id"])
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in spark.range(9).selectExpr("id as image_id").join(F.broadcast(saved), "image_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def all_pairs(df, margin=0.01):
+    own = lambda k: vector.edges(df).select("doc_id", F.col("contour_id").alias(f"c{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("x", "y", "nx", "ny")))
+    met = own(1).join(own(2), "doc_id").where((F.col("c1") < F.col("c2")) & vector.cross(*(tuple(F.col(f"{c}{k}") for c in ("x", "y", "nx", "ny")) for k in (1, 2)), margin))
+    return sorted(map(tuple, met.groupBy("doc_id", "c1", "c2").count().collect()))
+
+
+@pytest.mark.parametrize(("few", "block"), [(32, 2000), (32, 7), (7, 2000), (4, 2000)])
+def test_crossings_of_contours_and_of_edges(spark, few, block):
+    """Pairs of small contours, of large ones and of both, in cells of one block and of many; odd rings and null keys."""
+    rng = np.random.default_rng(7)
+    rows = [r for doc in (1, 2) for c in range(50) for r in octagon(doc, c, *rng.integers(0, 120, 2), 90 if c == 0 else rng.integers(4, 15))]
+    rows += [(1, 60 + c, s, float(rng.integers(0, 120)), float(rng.integers(0, 120))) for c in range(12) for s in range(1 + c // 2)]  # of one vertex to six
+    rows += [(3, 1, 0, 5.0, 5.0), (3, 2, 0, 5.0, 5.0)]
+    df = spark.createDataFrame([*rows, (None, 1, 0, 1.0, 1.0), (1, None, 0, 1.0, 1.0)], vector.VERTICES)
+    expect = all_pairs(spark.createDataFrame(rows, vector.VERTICES))
+    assert sorted(map(tuple, vector.crossings(df, 0.01, few, block).collect())) == expect and len(expect) > 200
+    assert vector.crossings(df.limit(0), 0.01).count() == 0
+
+
+def test_pairs_that_cross_are_not_shuffled(spark):
+    """Pairs of contours are far more than contours; none is dealt out after it is found."""
+    df = spark.createDataFrame([r for c in range(40) for r in octagon(1, c, 50 + c, 50, 9)], vector.VERTICES)
+    plan = vector.crossings(df, 0.01)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInPandas")] and "Join" not in plan[: plan.index("MapInPandas")]
