@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacut.functions.scalars import rounded
+from stratacut.operators import batches
 from stratacut.operators.components import _saved
 
+CORNERS = "image_id long, layer_id int, contour_id long, seq int, x double, y double"
+
 
 def rectangles(spans: DataFrame) -> DataFrame:
     """(image_id, layer_id, x0, x1, y0, y1): equal runs of successive rows as one rectangle."""
@@ -46,13 +51,87 @@ def sides(mask: DataFrame) -> DataFrame:
                         F.when(level, end).otherwise(F.col("line")).alias("tx"), F.when(level, F.col("line")).otherwise(end).alias("ty"))
 
 
-def outlines(mask: DataFrame) -> DataFrame:
+def outlines(mask: DataFrame, most: int = 65_536) -> DataFrame:
     """(image_id, layer_id, contour_id, seq, x, y): corners of the closed rings around a mask's pixels, ink to the right.
 
     Each side is followed by the one that begins where it ends; where two rings touch, the right turn keeps to the same 4-connected
-    ink. Rings are ranked by pointer jumping: each round a side knows the first one (topmost, then leftmost) among twice as many
-    sides ahead, and how far that is, until nothing changes. So no ring and no mask has to fit one task; rounds are the logarithm of the
-    longest ring's corners. Rings are numbered by their first corner, which is their seq 0.
+    ink. Rings are numbered by their first corner (topmost, then leftmost), which is their seq 0. Masks of at most ``most`` pixels are
+    dealt once and worked out many at a time; larger ones by windows and rounds, so no task has one whole.
+    """
+    layer = ["image_id", "layer_id"]
+    pixels = _saved(mask.select(F.col("image_id").cast("long"), F.col("layer_id").cast("int"), F.col("x").cast("int"), F.col("y").cast("int")).dropna())
+    large = pixels.groupBy(*layer).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*layer)
+    if large.isEmpty():
+        return batches.by_groups(pixels, layer, ["y", "x"], _traced, CORNERS)
+    large = _saved(large)
+    few = batches.by_groups(pixels.join(large, layer, "left_anti"), layer, ["y", "x"], _traced, CORNERS)
+    return few.unionByName(_outlines_by_rounds(pixels.join(large, layer, "left_semi")))
+
+
+def _traced(rows: pd.DataFrame) -> pd.DataFrame:
+    """Corners of the rings of whole masks; ``rows`` are sorted by mask, y and x."""
+    image, layer, x, y = (rows[c].to_numpy() for c in ("image_id", "layer_id", "x", "y"))
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    mask = np.zeros(len(rows), np.int64)
+    mask[batches.starts(rows, ["image_id", "layer_id"])[1:]] = 1
+    mask = np.cumsum(mask)
+    left, top = x.min(), y.min()
+    width, height = x.max() - left + 2, y.max() - top + 2
+    at = lambda m, x, y: (m * height + y - top) * width + x - left
+    own = at(mask, x, y)
+    new = np.append(True, own[1:] != own[:-1])
+    own, x, y, mask, first = own[new], x[new], y[new], mask[new], np.flatnonzero(new)
+
+    def among(some: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Where ``wanted`` are in sorted ``some``; -1: nowhere."""
+        k = np.minimum(np.searchsorted(some, wanted), len(some) - 1)
+        return np.where(some[k] == wanted, k, -1)
+
+    # sides of single pixels: 0 to the right over ink, 1 down, 2 to the left under ink, 3 up. A column and a row more than the
+    # pixels have keep neighbours of different rows and masks apart
+    bare = lambda dx, dy: among(own, own + dy * width + dx) < 0
+    parts = [(bare(0, -1), 0, 0, 0), (bare(1, 0), 1, 0, 1), (bare(0, 1), 1, 1, 2), (bare(-1, 0), 0, 1, 3)]
+    m, sx, sy = (np.concatenate([v[b] + d for b, v, d in some]) for some in ([(b, mask, 0) for b, *_ in parts], [(b, x, d) for b, d, _, _ in parts], [(b, y, d) for b, _, d, _ in parts]))
+    kind = np.repeat(np.arange(4), [b.sum() for b, *_ in parts])
+    code = at(m, sx, sy) * 4 + kind
+    order = np.argsort(code)
+    code, m, sx, sy, kind = code[order], m[order], sx[order], sy[order], kind[order]
+    tx, ty = sx + np.array([1, 0, -1, 0])[kind], sy + np.array([0, 1, 0, -1])[kind]
+    spot = at(m, tx, ty) * 4
+    then = np.full(len(code), -1)
+    for turn in (3, 0, 1):  # a right turn before going on, and that before a left turn
+        k = among(code, spot + (kind + turn) % 4)
+        then = np.where(k >= 0, k, then)
+    # corners: sides that don't go on in the direction of the one before; a corner's next is the first one after it
+    corner = np.zeros(len(code), bool)
+    corner[then] = kind[then] != kind
+    jump = then
+    while not corner[jump].all():
+        jump = np.where(corner[jump], jump, jump[jump])
+    keep = np.flatnonzero(corner)
+    to = np.cumsum(corner)[jump[keep]] - 1
+    m, sx, sy = m[keep], sx[keep], sy[keep]
+    # by pointer jumping: the least corner of a ring, and how far ahead it is
+    least, ahead, jump, span = np.arange(len(keep)), np.zeros(len(keep), np.int64), to, 1
+    while True:
+        there = least[jump]
+        better = there < least
+        if not better.any():
+            break
+        least, ahead = np.where(better, there, least), np.where(better, ahead[jump] + span, ahead)
+        jump, span = jump[jump], 2 * span
+    n = np.bincount(least, minlength=len(keep))
+    begins = np.flatnonzero(n)
+    before = np.searchsorted(m[begins], m[begins])
+    number = np.zeros(len(keep), np.int64)
+    number[begins] = np.arange(len(begins)) - before
+    some = first[np.searchsorted(mask, m)]
+    return pd.DataFrame({"image_id": image[some], "layer_id": layer[some], "contour_id": number[least], "seq": ((n[least] - ahead) % n[least]).astype(np.int32), "x": sx.astype(float), "y": sy.astype(float)})
+
+
+def _outlines_by_rounds(mask: DataFrame) -> DataFrame:
+    """Rings are ranked by pointer jumping: each round a side knows the first one among twice as many sides ahead, and how far that
+    is, until nothing changes. So no ring and no mask has to fit one task; rounds are the logarithm of the longest ring's corners.
     """
     layer = ["image_id", "layer_id"]
     spot = lambda x, y: (F.col(y).cast("long") * (1 << 24) + F.col(x)) * 4

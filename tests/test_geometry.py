@@ -132,3 +132,27 @@ def test_simplified_by_rounds(spark, tolerance):
     for c, p in rings.items():
         kept = p[vector.kept_points(p[:, 0], p[:, 1], tolerance)]
         assert [r[2:] for r in got if r[1] == c] == [(k, float(x), float(y)) for k, (x, y) in enumerate(kept)]
+
+
+@pytest.mark.parametrize("most", [1, 120, 65_536])
+def test_outlines_of_small_and_large_masks(spark, most):
+    """Masks many at a time, by rounds, and some of each give the rings of a walk; rows without an image have none."""
+    rng = np.random.default_rng(4)
+    masks = {(i, k): {(x - 5, y - 3) for x in range(16) for y in range(12) if rng.random() < 0.1 + 0.2 * k} for i in range(6) for k in range(5)}
+    masks[7, 0] = {(0, 0), (1, 1), (2, 0)}
+    masks[8, 2] = {(4_000, 9), (1, 2)}
+    rows = [(i, k, x, y) for (i, k), m in masks.items() for x, y in m]
+    mask = spark.createDataFrame([*rows, (None, 0, 1, 1)], "image_id long, layer_id int, x int, y int")
+    got = {}
+    for r in export.outlines(mask, most).collect():
+        got.setdefault((r.image_id, r.layer_id), {}).setdefault(r.contour_id, []).append((r.seq, (int(r.x), int(r.y))))
+    assert got.keys() == {k for k, m in masks.items() if m}
+    for k, rings in got.items():
+        assert [[p for _, p in sorted(rings[c])] for c in sorted(rings)] == chained(masks[k])
+        assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in rings.values())
+
+
+def test_small_outlines_take_no_rounds(spark):
+    mask = spark.range(3000).selectExpr("id as image_id", "0 as layer_id", "cast(id % 7 as int) x", "2 as y")
+    plan = export.outlines(mask)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
